@@ -1,0 +1,78 @@
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from tillflow.functions.messages import decode_sales  # noqa: E402
+from tillflow.schemas import MASTER_SCHEMA, SALES_SCHEMA  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def session(tmp_path_factory):
+    spark = (
+        SparkSession.builder.master("local[*]")
+        .appName("tillflow-tests")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.maxMetadataStringLength", "10000")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+        .getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    yield spark
+    spark.stop()
+
+
+@pytest.fixture
+def spark(session):
+    """The session, with whatever settings a test changes put back afterwards."""
+    before = dict(session.conf.getAll)
+    yield session
+    for name, value in dict(session.conf.getAll).items():
+        if before.get(name) != value:
+            if name in before:
+                session.conf.set(name, before[name])
+            else:
+                session.conf.unset(name)
+
+
+@pytest.fixture
+def messages(spark):
+    """Messages from CSV lines, as a Kafka ``value`` column would hold them."""
+
+    def build(*lines):
+        rows = [(None if line is None else bytearray(line, "utf-8"),) for line in lines]
+        return spark.createDataFrame(rows, "value BINARY")
+
+    return build
+
+
+@pytest.fixture
+def sales(messages):
+    return lambda *lines: decode_sales(messages(*lines))
+
+
+@pytest.fixture
+def table(spark):
+    """A master or sales table from tuples."""
+
+    def build(kind, *rows):
+        return spark.createDataFrame(rows, {"master": MASTER_SCHEMA, "sales": SALES_SCHEMA}[kind])
+
+    return build
+
+
+@pytest.fixture
+def small_master(table):
+    return table(
+        "master",
+        ("A", "Apple", "F", "Fruit"),
+        ("B", "Bolt", "H", "Hardware"),
+        ("C", "Cup", None, "Kitchen"),
+    )

@@ -1,0 +1,42 @@
+"""Helpers to read results and plans."""
+
+import re
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def short(df):
+    """Statistics as (start, end, item, amount, quantity), sorted, times as HH:MM."""
+    return sorted(
+        (
+            r.window_start.strftime("%H:%M"),
+            r.window_end.strftime("%H:%M"),
+            r.item_code,
+            r.total_sales_amount,
+            r.total_sales_quantity,
+        )
+        for r in df.collect()
+    )
+
+
+def cents(df):
+    """All rows with sums in cents, sorted."""
+    return sorted(
+        (
+            *[str(v) for v in r[:6]],
+            round(r.total_sales_amount, 2),
+            round(r.total_sales_quantity, 2),
+        )
+        for r in df.collect()
+    )
+
+
+def plan(df):
+    """Physical plan text, one operator per line."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def count(pattern, df):
+    return len(re.findall(pattern, plan(df)))

@@ -1,0 +1,57 @@
+"""The command line hands its arguments to the jobs."""
+
+import json
+
+import pytest
+
+from tillflow import cli
+from tillflow.schemas import STATISTICS_SCHEMA
+from tillflow.settings import WindowSettings
+from tillflow.sources.files import read_csv
+from test_files import inputs  # noqa: F401
+from test_statistics import CASE_A_REPORT
+from util import short
+
+
+def test_batch(spark, inputs, tmp_path):  # noqa: F811
+    out = str(tmp_path / "out")
+    cli.main(["batch", "--sales", inputs[0], "--master", inputs[1], "--output", out, "--files", "1"])
+    assert short(read_csv(spark, out, STATISTICS_SCHEMA)) == CASE_A_REPORT
+
+
+def test_stream(spark, tmp_path, monkeypatch):
+    secrets = tmp_path / "jdbc.json"
+    secrets.write_text(json.dumps({"user": "u", "password": "p", "driver": "d"}))
+    calls = {}
+
+    class Query:
+        def awaitTermination(self):
+            calls["waited"] = True
+
+    def start(spark, source, master, sink, checkpoint, **settings):
+        calls.update(source=source, master=master, sink=sink, cp=checkpoint, settings=settings)
+        return Query()
+
+    monkeypatch.setattr(cli, "start_statistics_job", start)
+    cli.main(
+        "stream --servers h:1 --jdbc-url jdbc:x --checkpoint /cp --max-offsets-per-trigger 5".split()
+        + ["--jdbc-properties", str(secrets), "--processing-time", "1 minute", "--slide", "2 minutes"]
+    )
+    assert calls["waited"] and calls["cp"] == "/cp"
+    assert calls["source"].reader_options() == {
+        "kafka.bootstrap.servers": "h:1",
+        "subscribe": "sales_topic",
+        "maxOffsetsPerTrigger": "5",
+    }
+    assert calls["sink"].topic == "sales_data_statistics_topic"
+    assert calls["master"].properties["user"] == "u"
+    assert calls["settings"] == {
+        "unique_master": True,
+        "trigger": {"processingTime": "1 minute"},
+        "windows": WindowSettings(slide="2 minutes"),
+    }
+
+
+def test_a_job_is_required():
+    with pytest.raises(SystemExit):
+        cli.main([])

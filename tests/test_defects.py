@@ -1,0 +1,63 @@
+"""Mistakes that are easy to make in this job, each with what must hold instead."""
+
+import inspect
+
+import pytest
+
+import tillflow
+from tillflow.functions.messages import encode_statistics
+from tillflow.operators.windows import order_statistics
+from tillflow.schemas import SALES_COLUMNS, STATISTICS_COLUMNS, STATISTICS_SCHEMA
+from tillflow.sources.files import stream_files
+from tillflow.streaming.job import run_to_end, statistics_stream
+
+
+@pytest.fixture
+def stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.txt").write_text("2024-01-01,10:00:00.000,A,1,2,sale,Y\n")
+    return stream_files(spark, str(tmp_path / "in"), "value STRING", "text")
+
+
+def test_public_functions_import_and_take_their_arguments():
+    process = inspect.signature(tillflow.process_item_sales_data)
+    assert list(process.parameters)[:3] == ["spark", "item_sales_data_df", "item_master_data_df"]
+    analyze = inspect.signature(tillflow.analyze_item_sales_data_statistics)
+    assert list(analyze.parameters)[0] == "processed_sales_data_df"
+    for function in (process, analyze):
+        assert all(
+            p.default is not p.empty
+            for p in list(function.parameters.values())[3 if function is process else 1 :]
+        )
+
+
+def test_report_columns_come_from_the_aggregate(spark, sales, small_master):
+    processed = tillflow.process_item_sales_data(spark, sales("x"), small_master)
+    report = order_statistics(tillflow.analyze_item_sales_data_statistics(processed))
+    assert report.columns == STATISTICS_COLUMNS
+    assert report.collect() == []
+
+
+def test_watermark_survives_to_the_aggregate_so_append_mode_runs(stream, small_master, tmp_path):
+    query = run_to_end(
+        statistics_stream(stream, small_master)
+        .writeStream.format("noop")
+        .option("checkpointLocation", str(tmp_path / "cp"))
+        .outputMode("append")
+    )
+    assert query.exception() is None
+    assert query.lastProgress["eventTime"]["watermark"].startswith("2024-01-01T09:45")
+
+
+def test_statistics_of_a_stream_carry_no_sort(stream, small_master):
+    plan = statistics_stream(stream, small_master)._jdf.queryExecution().analyzed().toString()
+    assert "Sort" not in plan
+
+
+def test_records_decode_from_a_ddl_string_into_columns(sales):
+    assert sales("a,b,c,1,2,sale,Y").columns == SALES_COLUMNS
+
+
+def test_payload_has_the_columns_a_kafka_sink_needs(spark):
+    sent = encode_statistics(spark.createDataFrame([], STATISTICS_SCHEMA))
+    assert sent.dtypes == [("key", "string"), ("value", "string")]

@@ -7,47 +7,51 @@ dates that do not parse.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillflow.sources.files import stream_files
 
-def _sales(events: DataFrame, clock: Column) -> DataFrame:
+
+# The columns of the given tables that become sales and items.
+EVENTS_SCHEMA = (
+    "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+    "value DOUBLE, props STRING"
+)
+CUSTOMER_SCHEMA = "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_mktsegment STRING"
+
+
+def _sales(events: DataFrame) -> DataFrame:
     event_id = F.col("event_id")
-    return events.select(
+    return events.select("*", F.json_tuple("props", "k").alias("k")).select(
         F.when(event_id % 11 == 0, "not-a-date")
-        .otherwise(F.date_format(clock, "yyyy-MM-dd"))
+        .otherwise(F.date_format("ts", "yyyy-MM-dd"))
         .alias("sales_date"),
-        F.date_format(clock, "HH:mm:ss.SSS").alias("sales_time"),
+        F.date_format("ts", "HH:mm:ss.SSS").alias("sales_time"),
         F.col("user_id").cast("string").alias("item_code"),
-        F.get_json_object("props", "$.k").cast("double").alias("sales_quantity"),
+        F.col("k").cast("double").alias("sales_quantity"),
         F.col("value").alias("sales_price"),
         F.when(F.col("event_type") == "error", "return").otherwise("sale").alias("sales_return"),
         F.when(event_id % 7 != 0, "N").alias("is_discount"),
     )
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
-
-
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sales(_events(spark, sf_dir), F.col("ts"))
+    return _sales(spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet"))
 
 
 def sales_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same sales, as a stream fed by the events file."""
-    events = (
-        spark.readStream.schema(_events(spark, sf_dir).schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
+    return _sales(
+        stream_files(spark, sf_dir, EVENTS_SCHEMA, "parquet", name_glob="events.parquet")
     )
-    return _sales(events, F.col("ts"))
 
 
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer as an item; one code in ten is a code no sale carries."""
+    customers = spark.read.schema(CUSTOMER_SCHEMA).parquet(f"{sf_dir}/customer.parquet")
     code = F.col("c_custkey").cast("string")
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+    return customers.select(
         F.when(F.col("c_custkey") % 10 == 9, F.concat(F.lit("old-"), code))
         .otherwise(code)
         .alias("item_code"),

@@ -68,7 +68,9 @@ def test_other_window_settings(spark):
     assert uneven.count() in (2, 3)
 
 
-def test_case_a_both_ways(spark, sales, small_master):
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_case_a_both_ways(spark, sales, small_master, ansi):
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
     composed = analyze_item_sales_data_statistics(
         process_item_sales_data(spark, sales(*CASE_A), small_master)
     )

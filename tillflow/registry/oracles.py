@@ -95,7 +95,7 @@ SELECT s.*, m.* EXCLUDE (item_code) FROM sales s JOIN master m ON s.item_code =
     "event_time": f"{_with(_SALES, _TIMED)}\nSELECT * FROM timed",
     "drop_incomplete": f"""{_with(_SALES, _MASTER, _TIMED, _JOINED, _COMPLETE)}
 SELECT * FROM complete""",
-    "completed_sales_only": f"{_SALES_ROWS} WHERE sales_return = 'sale'",
+    "completed_sales": f"{_SALES_ROWS} WHERE sales_return = 'sale'",
     "sales_amount": f"""{_with(_SALES)}
 SELECT *, sales_quantity * sales_price AS sales_amount FROM sales""",
     "process_sales": f"""{_with(_SALES, _MASTER, _TIMED, _JOINED, _COMPLETE, _PROCESSED)}

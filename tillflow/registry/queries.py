@@ -14,12 +14,7 @@ from tillflow.functions.messages import (
     encode_sales,
     encode_statistics,
 )
-from tillflow.operators.cleaning import (
-    complete_rows,
-    completed_sales,
-    with_event_time,
-    with_sales_amount,
-)
+from tillflow.operators import cleaning
 from tillflow.operators.windows import assign_windows, order_statistics
 from tillflow.plans import statistics as reports
 from tillflow.plans.batch_job import run_batch_job
@@ -71,22 +66,23 @@ def join_sales_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_event_time(tables.sales(spark, sf_dir))
+    return cleaning.with_event_time(tables.sales(spark, sf_dir))
 
 
 @query
 def drop_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return complete_rows(with_event_time(join_sales_master.__wrapped__(spark, sf_dir)))
+    joined = join_sales_master.__wrapped__(spark, sf_dir)
+    return cleaning.complete_rows(cleaning.with_event_time(joined))
 
 
 @query
-def completed_sales_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return completed_sales(tables.sales(spark, sf_dir))
+def completed_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.completed_sales(tables.sales(spark, sf_dir))
 
 
 @query
 def sales_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_sales_amount(tables.sales(spark, sf_dir))
+    return cleaning.with_sales_amount(tables.sales(spark, sf_dir))
 
 
 @query
@@ -98,7 +94,7 @@ def process_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sliding_window_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_windows(with_event_time(tables.sales(spark, sf_dir)))
+    return assign_windows(cleaning.with_event_time(tables.sales(spark, sf_dir)))
 
 
 @query

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tillflow.operators.joins import join_master, table_bytes
+from tillflow.operators.joins import join_master, salt_of, table_bytes
 from tillflow.plans.process import join_sales_and_master, process_item_sales_data
 from tillflow.schemas import JOINED_COLUMNS, PROCESSED_COLUMNS
 from tillflow.settings import JoinSettings
@@ -75,6 +75,16 @@ def test_salt_spreads_copies_of_one_sale(spark, table, many_sales):
     assert len(sizes) >= 4
 
 
+def test_a_rerun_gives_each_sale_the_same_salt(spark, many_sales, tmp_path):
+    """A lost task is computed again; its rows must go where they went before."""
+    many_sales.repartition(4).write.parquet(str(tmp_path / "sales"))
+    stored = spark.read.parquet(str(tmp_path / "sales"))
+    where = stored.withColumn("part", F.spark_partition_id()).select("part", salt_of(stored, 8))
+    first, again = (rows(where.groupBy("part", "salt").count()) for _ in range(2))
+    assert first == again
+    assert {r[1] for r in first} <= set(range(8)) and len({r[1] for r in first}) > 4
+
+
 def test_size_decides_between_broadcast_and_salt(spark, table, many_sales):
     master = table("master", *[(c, f"item {c}", "F", "Fruit") for c in "A12345"])
     size = table_bytes(master)

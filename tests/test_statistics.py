@@ -5,6 +5,7 @@ import random
 from datetime import datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tillflow.operators.windows import assign_windows, order_statistics
@@ -59,13 +60,46 @@ def test_window_bounds(spark, time, expected):
     assert sorted(bounds) == expected
 
 
-def test_other_window_settings(spark):
-    df = spark.sql("SELECT TIMESTAMP '2024-01-01 10:07:00' sales_datetime")
-    tumbling = assign_windows(df, WindowSettings(length="1 hour", slide="1 hour"))
-    assert [f"{r.window_start:%H:%M}" for r in tumbling.collect()] == ["10:00"]
-    uneven = assign_windows(df, WindowSettings(length="7 minutes", slide="3 minutes"))
-    assert all(r.window_start <= r.sales_datetime < r.window_end for r in uneven.collect())
-    assert uneven.count() in (2, 3)
+WINDOWS_TRIED = [("10 minutes", "5 minutes"), ("1 hour", "1 hour"), ("7 minutes", "3 minutes")]
+
+
+@pytest.mark.parametrize("length, slide", WINDOWS_TRIED)
+def test_windows_against_brute_force(spark, length, slide):
+    rng = random.Random(11)
+    minute = {"minutes": 60, "hour": 3600}
+    size, step = (int(t.split()[0]) * minute[t.split()[1]] * 1000 for t in (length, slide))
+    times = [rng.randint(-(10**9), 2 * 10**12) for _ in range(500)]
+    times += [step * k + d for k in range(-5, 5) for d in (-1, 0, 1)]
+    expected = sorted(
+        (start, start + size, t)
+        for t in times
+        for start in range(t - t % step, t - size, -step)
+    )
+    df = spark.createDataFrame([(t,) for t in times], "t BIGINT")
+    windows = assign_windows(
+        df.withColumn("sales_datetime", F.timestamp_millis("t")), WindowSettings(length, slide)
+    )
+    found = windows.select(F.unix_millis("window_start"), F.unix_millis("window_end"), "t")
+    assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_a_slide_longer_than_the_window_is_refused(sales, small_master):
+    with pytest.raises(AnalysisException):
+        sales_statistics(sales("x"), small_master, WindowSettings("5 minutes", "10 minutes"))
+
+
+def test_sums_that_are_not_numbers(spark, sales, small_master):
+    """Infinite quantities are values; their product with a price of zero is NaN."""
+    given = sales(
+        "2024-01-01,10:00:00.000,A,Infinity,0,sale,Y", "2024-01-01,10:00:00.000,B,Infinity,2,sale,Y"
+    )
+    composed = analyze_item_sales_data_statistics(
+        process_item_sales_data(spark, given, small_master)
+    )
+    for report in (composed, sales_statistics(given, small_master)):
+        sums = {r.item_code: (r.total_sales_amount, r.total_sales_quantity) for r in report.collect()}
+        assert math.isnan(sums["A"][0]) and sums["A"][1] == math.inf
+        assert sums["B"] == (math.inf, math.inf)
 
 
 @pytest.mark.parametrize("ansi", ["true", "false"])
@@ -81,14 +115,7 @@ def test_case_a_both_ways(spark, sales, small_master, ansi):
     assert short(direct) == CASE_A_REPORT
 
 
-@pytest.mark.parametrize(
-    "windows",
-    [
-        WindowSettings(),
-        WindowSettings(length="1 hour", slide="1 hour"),
-        WindowSettings(length="7 minutes", slide="3 minutes"),
-    ],
-)
+@pytest.mark.parametrize("windows", [WindowSettings(*w) for w in WINDOWS_TRIED])
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_direct_report_equals_process_then_analyze(spark, table, windows, seed):
     """Also with missing values, unparsable times, and codes listed repeatedly."""

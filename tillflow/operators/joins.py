@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillflow.settings import JoinSettings
@@ -19,6 +19,16 @@ def table_bytes(df: DataFrame) -> int:
     return int(total["bytes"] or 0)
 
 
+def salt_of(sales: DataFrame, buckets: int) -> Column:
+    """A number below ``buckets`` for each sale.
+
+    The input partition is part of the hash, so even copies of one and the
+    same sale spread out, and a task that runs again gives the same salts.
+    """
+    row = F.xxhash64(F.spark_partition_id(), *sales.columns)
+    return F.pmod(row, F.lit(buckets)).cast("int").alias("salt")
+
+
 def join_master(
     sales: DataFrame, master: DataFrame, settings: JoinSettings = JoinSettings()
 ) -> DataFrame:
@@ -35,12 +45,8 @@ def join_master(
     if broadcast:
         return sales.join(F.broadcast(master), "item_code", "inner")
 
-    buckets = settings.salt_buckets
-    # The input partition is part of the hash, so even copies of one and the
-    # same sale spread out, and a rerun task still gives each row the same salt.
-    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *sales.columns), F.lit(buckets).cast("long"))
-    every_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long")))
-    salted_sales = sales.select("*", salt.alias("salt"))
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(settings.salt_buckets - 1)))
+    salted_sales = sales.select("*", salt_of(sales, settings.salt_buckets))
     # The hint keeps the replicated master from being broadcast after all.
     salted_master = master.select("*", every_salt.alias("salt")).hint("merge")
     return salted_sales.join(salted_master, ["item_code", "salt"], "inner").drop("salt")

@@ -87,6 +87,8 @@ def _with(*parts: str) -> str:
 
 _ALL = _with(_SALES, _MASTER, _TIMED, _JOINED, _COMPLETE, _PROCESSED, _STATISTICS)
 _REPORT = f"{_ALL}\nSELECT * FROM statistics"
+_PROCESSED_ROWS = f"""{_with(_SALES, _MASTER, _TIMED, _JOINED, _COMPLETE, _PROCESSED)}
+SELECT * FROM processed"""
 _SALES_ROWS = f"{_with(_SALES)}\nSELECT * FROM sales"
 
 ORACLES: dict[str, str] = {
@@ -98,8 +100,8 @@ SELECT * FROM complete""",
     "completed_sales": f"{_SALES_ROWS} WHERE sales_return = 'sale'",
     "sales_amount": f"""{_with(_SALES)}
 SELECT *, sales_quantity * sales_price AS sales_amount FROM sales""",
-    "process_sales": f"""{_with(_SALES, _MASTER, _TIMED, _JOINED, _COMPLETE, _PROCESSED)}
-SELECT * FROM processed""",
+    "process_sales": _PROCESSED_ROWS,
+    "process_sales_salted": _PROCESSED_ROWS,
     "sliding_window_assign": f"{_with(_SALES, _TIMED)}{_windows('timed')}",
     "sales_statistics": _REPORT,
     "analyzed_process_sales": _REPORT,

@@ -21,7 +21,7 @@ from tillflow.plans.batch_job import run_batch_job
 from tillflow.plans.process import join_sales_and_master, process_item_sales_data
 from tillflow.registry import tables
 from tillflow.schemas import STATISTICS_SCHEMA
-from tillflow.settings import use_utc
+from tillflow.settings import JoinSettings, use_utc
 from tillflow.sinks.files import write_statistics_csv
 from tillflow.sources.files import read_csv, read_master, read_sales
 from tillflow.streaming.job import run_to_end, statistics_stream
@@ -92,6 +92,17 @@ def process_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def process_sales_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``process_sales``, with the join for a master too large to broadcast."""
+    return process_item_sales_data(
+        spark,
+        tables.sales(spark, sf_dir),
+        tables.master(spark, sf_dir),
+        JoinSettings(broadcast=False),
+    )
+
+
 @query
 def sliding_window_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_windows(cleaning.with_event_time(tables.sales(spark, sf_dir)))

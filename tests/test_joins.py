@@ -3,12 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tillflow.operators.cleaning import countable_sales, with_sales_amount
 from tillflow.operators.joins import join_master, salt_of, table_bytes
 from tillflow.plans.process import join_sales_and_master, process_item_sales_data
-from tillflow.schemas import JOINED_COLUMNS, PROCESSED_COLUMNS
-from tillflow.settings import JoinSettings
+from tillflow.plans.statistics import analyze_item_sales_data_statistics, sales_statistics
+from tillflow.schemas import JOINED_COLUMNS, MASTER_COLUMNS, PROCESSED_COLUMNS
+from tillflow.settings import JoinSettings, WindowSettings
 from tillflow.sources.master import duplicate_codes, require_unique_codes
-from util import plan, rows
+from util import cents, plan, rows
 
 SALTED = JoinSettings(broadcast=False, salt_buckets=8)
 
@@ -155,3 +157,41 @@ def test_duplicate_codes(table, small_master):
     assert [tuple(r) for r in duplicate_codes(twice).collect()] == [("A", 2)]
     with pytest.raises(ValueError, match="'A' 2 times"):
         require_unique_codes(twice)
+
+
+def test_a_hot_item_can_be_split_with_the_salt(spark, tmp_path):
+    """Without it, the sums of tumbling windows reuse the join's partitioning, hot task and all."""
+    for name, value in {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }.items():
+        spark.conf.set(name, value)
+    spark.range(0, 200000, 1, 8).select(
+        F.lit("2024-01-01").alias("sales_date"),
+        F.concat(F.lit("10:00:00."), (F.col("id") % 1000).cast("string")).alias("sales_time"),
+        F.when(F.col("id") % 3 == 0, "A").otherwise((F.col("id") % 211).cast("string")).alias(
+            "item_code"
+        ),
+        F.rand(1).alias("sales_quantity"),
+        F.lit(1.0).alias("sales_price"),
+        F.lit("sale").alias("sales_return"),
+        F.lit("Y").alias("is_discount"),
+    ).write.parquet(str(tmp_path / "sales"))
+    sales = spark.read.parquet(str(tmp_path / "sales"))
+    master = sales.select("item_code", *(F.lit("x").alias(c) for c in MASTER_COLUMNS[1:])).distinct()
+
+    hours = WindowSettings("1 hour", "1 hour")
+    join = JoinSettings(broadcast=False, salt_buckets=2)
+    salted = analyze_item_sales_data_statistics(
+        process_item_sales_data(spark, sales, master, join), hours
+    )
+    joined = countable_sales(sales).join(master, "item_code")
+    unsalted = analyze_item_sales_data_statistics(with_sales_amount(joined), hours)
+    direct = sales_statistics(sales, master, hours)
+    assert cents(salted) == cents(unsalted) == cents(direct)
+    assert "SortMergeJoin(skew=true)" in plan(salted)
+    assert "SortMergeJoin(skew=true)" not in plan(unsalted)
+    assert "SortMergeJoin(skew=true)" not in plan(direct)

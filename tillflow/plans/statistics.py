@@ -47,9 +47,8 @@ def sales_statistics(
         .groupBy("window_start", "window_end", "item_code")
         .agg(*totals())
     )
-    master = (
-        usable_master(item_master_data_df).groupBy(*MASTER_COLUMNS).agg(F.count("*").alias("copies"))
-    )
+    usable = usable_master(item_master_data_df)
+    master = usable.groupBy(*MASTER_COLUMNS).agg(F.count("*").alias("copies"))
     return (
         per_item.join(master, "item_code")
         .withColumns(

@@ -9,11 +9,13 @@ import os
 import pytest
 from pyspark.errors import AnalysisException
 
+from tillflow.functions.messages import decode_statistics, encode_statistics
 from tillflow.operators.windows import order_statistics
 from tillflow.plans.process import process_item_sales_data
 from tillflow.plans.statistics import analyze_item_sales_data_statistics
 from tillflow.settings import JoinSettings, WindowSettings, bound_broadcasts
 from tillflow.sources.files import stream_files
+from tillflow.streaming import job
 from tillflow.streaming.job import run_to_end, statistics_stream, use_rocksdb_state
 from master_source import live_master
 from test_statistics import CASE_A, CASE_A_REPORT
@@ -256,3 +258,41 @@ def test_a_master_that_outgrows_its_broadcast_fails_the_query(spark, feed, table
     )
     with pytest.raises(Exception, match="(?i)broadcast"):
         run(statistics, tmp_path / "cp")
+
+
+def test_the_whole_job_with_files_in_place_of_services(
+    spark, case_a, small_master, tmp_path, monkeypatch
+):
+    """Everything but the three connector calls is the job's own."""
+    monkeypatch.setattr(job, "stream_sales_messages", lambda spark, source: source.stream(spark))
+    monkeypatch.setattr(job, "read_master_jdbc", lambda spark, master: master)
+
+    def to_files(statistics, sink, checkpoint):
+        return (
+            encode_statistics(statistics)
+            .writeStream.format("parquet")
+            .option("path", sink)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+        )
+
+    monkeypatch.setattr(job, "statistics_writer", to_files)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def start(**settings):
+        query = job.start_statistics_job(
+            spark, case_a, small_master, out, checkpoint, trigger={"availableNow": True}, **settings
+        )
+        query.awaitTermination()
+        return spark.read.parquet(out)
+
+    sent = start()
+    assert short(decode_statistics(sent)) == CASE_A_REPORT[:7]
+    assert sent.select("key").distinct().count() == 7
+    # Started again with a later sale, it continues and repeats nothing.
+    case_a.add("2024-01-01,12:40:00.000,B,1,5,sale,Y")
+    assert short(decode_statistics(start())) == CASE_A_REPORT
+
+    repeated = small_master.union(small_master)
+    with pytest.raises(ValueError, match="2 times"):
+        job.start_statistics_job(spark, case_a, repeated, out, checkpoint)

@@ -6,8 +6,9 @@ import pytest
 
 from tillflow import cli
 from tillflow.schemas import STATISTICS_SCHEMA
-from tillflow.settings import WindowSettings
+from tillflow.settings import JoinSettings, WindowSettings
 from tillflow.sources.files import read_csv
+from tillflow.sources.jdbc import JdbcTable
 from test_files import inputs  # noqa: F401
 from test_statistics import CASE_A_REPORT
 from util import short
@@ -15,7 +16,7 @@ from util import short
 
 def test_batch(spark, inputs, tmp_path):  # noqa: F811
     out = str(tmp_path / "out")
-    cli.main(["batch", "--sales", inputs[0], "--master", inputs[1], "--output", out, "--files", "1"])
+    cli.main(["batch", "--sales", inputs[0], "--master", inputs[1], "--output", out])
     assert short(read_csv(spark, out, STATISTICS_SCHEMA)) == CASE_A_REPORT
 
 
@@ -34,8 +35,10 @@ def test_stream(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(cli, "start_statistics_job", start)
     cli.main(
-        "stream --servers h:1 --jdbc-url jdbc:x --checkpoint /cp --max-offsets-per-trigger 5".split()
-        + ["--jdbc-properties", str(secrets), "--processing-time", "1 minute", "--slide", "2 minutes"]
+        "stream --servers h:1 --jdbc-url jdbc:x --checkpoint /cp --max-offsets-per-trigger 5 "
+        "--jdbc-column id --jdbc-lower-bound 0 --jdbc-upper-bound 9 --jdbc-partitions 3 "
+        f"--salt-buckets 7 --jdbc-properties {secrets}".split()
+        + ["--processing-time", "1 minute", "--slide", "2 minutes"]
     )
     assert calls["waited"] and calls["cp"] == "/cp"
     assert calls["source"].reader_options() == {
@@ -44,11 +47,19 @@ def test_stream(spark, tmp_path, monkeypatch):
         "maxOffsetsPerTrigger": "5",
     }
     assert calls["sink"].topic == "sales_data_statistics_topic"
-    assert calls["master"].properties["user"] == "u"
+    assert calls["master"] == JdbcTable(
+        "jdbc:x",
+        properties={"user": "u", "password": "p", "driver": "d"},
+        column="id",
+        lower_bound="0",
+        upper_bound="9",
+        num_partitions=3,
+    )
     assert calls["settings"] == {
         "unique_master": True,
         "trigger": {"processingTime": "1 minute"},
         "windows": WindowSettings(slide="2 minutes"),
+        "join": JoinSettings(salt_buckets=7),
     }
 
 

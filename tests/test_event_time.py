@@ -42,10 +42,12 @@ def odd_texts(n=4000):
     """Well-formed, slightly broken and plainly wrong dates and times."""
     rng = random.Random(7)
     for _ in range(n):
-        date = f"{rng.choice([0, 1, 1582, 1900, 1970, 2024, 9999]):04d}-{rng.randint(0, 13):02d}-{rng.randint(0, 32):02d}"
+        year = rng.choice([0, 1, 1582, 1900, 1970, 2024, 9999])
+        date = f"{year:04d}-{rng.randint(0, 13):02d}-{rng.randint(0, 32):02d}"
         digits = rng.randint(0, 4)
         fraction = "." + "".join(rng.choice("0123456789") for _ in range(digits))
-        time = f"{rng.randint(0, 25):02d}:{rng.randint(0, 61):02d}:{rng.randint(0, 61):02d}{fraction}"
+        clock = [rng.randint(0, 25), rng.randint(0, 61), rng.randint(0, 61)]
+        time = ":".join(f"{part:02d}" for part in clock) + fraction
         if rng.random() < 0.3:
             text = list(date if rng.random() < 0.5 else time)
             at = rng.randrange(len(text))

@@ -114,3 +114,14 @@ def test_single_file_keeps_the_aggregation_parallel(spark, inputs):
 
 def test_sales_schema_has_seven_fields(spark):
     assert len(spark.createDataFrame([], SALES_SCHEMA).columns) == 7
+
+
+@pytest.mark.parametrize("files", [None, 1])
+def test_a_report_without_rows_still_has_a_header(spark, inputs, tmp_path, files):
+    (tmp_path / "none.csv").write_text(SALES_HEADER + "\n" + CASE_A[2] + "\n")
+    out = str(tmp_path / "out")
+    run_batch_job(spark, str(tmp_path / "none.csv"), inputs[1], out, files=files)
+    report = read_csv(spark, out, STATISTICS_SCHEMA, check_header=True)
+    assert report.collect() == []
+    parts = glob.glob(out + "/part-*.csv")
+    assert [open(part).read().strip() for part in parts] == [",".join(STATISTICS_COLUMNS)]

@@ -97,7 +97,9 @@ def test_sums_that_are_not_numbers(spark, sales, small_master):
         process_item_sales_data(spark, given, small_master)
     )
     for report in (composed, sales_statistics(given, small_master)):
-        sums = {r.item_code: (r.total_sales_amount, r.total_sales_quantity) for r in report.collect()}
+        sums = {
+            r.item_code: (r.total_sales_amount, r.total_sales_quantity) for r in report.collect()
+        }
         assert math.isnan(sums["A"][0]) and sums["A"][1] == math.inf
         assert sums["B"] == (math.inf, math.inf)
 

@@ -13,6 +13,7 @@ from tillflow.functions.messages import decode_statistics, encode_statistics
 from tillflow.operators.windows import order_statistics
 from tillflow.plans.process import process_item_sales_data
 from tillflow.plans.statistics import analyze_item_sales_data_statistics
+from tillflow.schemas import STATISTICS_SCHEMA
 from tillflow.settings import JoinSettings, WindowSettings, bound_broadcasts
 from tillflow.sources.files import stream_files
 from tillflow.streaming import job
@@ -210,7 +211,8 @@ def test_lateness_setting(spark, feed, small_master, tmp_path):
 def test_many_files_append_equals_closed_windows_of_batch(spark, small_master, feed, tmp_path):
     """Sales in order of time: nothing is late, however they are cut into files."""
     lines = [
-        f"2024-01-01,{10 + i // 60:02d}:{i % 60:02d}:{i % 7:02d}.000,{'AB'[i % 3 == 0]},{i % 5},1.5,sale,Y"
+        f"2024-01-01,{10 + i // 60:02d}:{i % 60:02d}:{i % 7:02d}.000,"
+        f"{'AB'[i % 3 == 0]},{i % 5},1.5,sale,Y"
         for i in range(300)
     ]
     for start in range(0, 300, 37):
@@ -296,3 +298,15 @@ def test_the_whole_job_with_files_in_place_of_services(
     repeated = small_master.union(small_master)
     with pytest.raises(ValueError, match="2 times"):
         job.start_statistics_job(spark, case_a, repeated, out, checkpoint)
+
+
+def test_a_file_sink_before_any_window_has_closed(spark, feed, small_master, tmp_path):
+    feed.add(CASE_A[0])
+    out = str(tmp_path / "out")
+    run_to_end(
+        statistics_stream(feed.stream(spark), small_master)
+        .writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", str(tmp_path / "cp"))
+    )
+    assert spark.read.schema(STATISTICS_SCHEMA).parquet(out).collect() == []

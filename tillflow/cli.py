@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from tillflow import schemas
 from tillflow.plans.batch_job import run_batch_job
-from tillflow.settings import WindowSettings
+from tillflow.settings import JoinSettings, WindowSettings
 from tillflow.sinks.kafka import KafkaSink
 from tillflow.sources.jdbc import JdbcTable
 from tillflow.sources.kafka import KafkaSource
@@ -54,6 +54,14 @@ def parser() -> argparse.ArgumentParser:
     stream.add_argument(
         "--jdbc-properties", type=_json_file, default={}, help="JSON file: user, password, driver"
     )
+    stream.add_argument("--jdbc-column", help="numeric, date or timestamp, to read in ranges")
+    stream.add_argument("--jdbc-lower-bound")
+    stream.add_argument("--jdbc-upper-bound")
+    stream.add_argument("--jdbc-partitions", type=int)
+    stream.add_argument(
+        "--broadcast-limit", type=int, default=JoinSettings.broadcast_limit_bytes, help="bytes"
+    )
+    stream.add_argument("--salt-buckets", type=int, default=JoinSettings.salt_buckets)
     stream.add_argument("--checkpoint", required=True, help="durable shared folder")
     stream.add_argument("--processing-time", help="trigger interval, such as '1 minute'")
     return top
@@ -86,11 +94,20 @@ def main(arguments: list[str] | None = None) -> None:
             min_partitions=args.min_partitions,
             options=args.kafka_options,
         ),
-        JdbcTable(args.jdbc_url, args.jdbc_table, args.jdbc_properties),
+        JdbcTable(
+            args.jdbc_url,
+            args.jdbc_table,
+            args.jdbc_properties,
+            column=args.jdbc_column,
+            lower_bound=args.jdbc_lower_bound,
+            upper_bound=args.jdbc_upper_bound,
+            num_partitions=args.jdbc_partitions,
+        ),
         KafkaSink(args.servers, args.statistics_topic, args.kafka_options),
         args.checkpoint,
         unique_master=not args.allow_duplicates,
         trigger={"processingTime": args.processing_time} if args.processing_time else None,
         windows=windows,
+        join=JoinSettings(args.broadcast_limit, args.salt_buckets),
     )
     query.awaitTermination()

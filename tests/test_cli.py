@@ -51,8 +51,8 @@ def test_stream(spark, tmp_path, monkeypatch):
         "jdbc:x",
         properties={"user": "u", "password": "p", "driver": "d"},
         column="id",
-        lower_bound="0",
-        upper_bound="9",
+        lower_bound=0,
+        upper_bound=9,
         num_partitions=3,
     )
     assert calls["settings"] == {

@@ -62,7 +62,14 @@ def test_credentials_are_not_printed():
     assert "secret" not in repr(KafkaSource("s", options={"kafka.sasl.jaas.config": "secret"}))
 
 
-@pytest.mark.parametrize("split", [{}, {"predicates": ["1 = 1"]}])
+@pytest.mark.parametrize(
+    "split",
+    [
+        {},
+        {"predicates": ["1 = 1"]},
+        {"column": "id", "lower_bound": 0, "upper_bound": 9, "num_partitions": 3},
+    ],
+)
 def test_spark_accepts_the_jdbc_call(spark, split):
     """It gets as far as looking for a driver for the made-up URL."""
     with pytest.raises(Exception, match="(?i)suitable driver|no suitable"):

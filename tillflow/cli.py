@@ -17,7 +17,7 @@ from tillflow.sources.kafka import KafkaSource
 from tillflow.streaming.job import start_statistics_job
 
 
-def _json_file(path: str) -> dict[str, str]:
+def _json_file(path: str) -> dict[str, str] | list[str]:
     return json.loads(Path(path).read_text())
 
 
@@ -54,9 +54,10 @@ def parser() -> argparse.ArgumentParser:
     stream.add_argument(
         "--jdbc-properties", type=_json_file, default={}, help="JSON file: user, password, driver"
     )
-    stream.add_argument("--jdbc-column", help="numeric, date or timestamp, to read in ranges")
-    stream.add_argument("--jdbc-lower-bound")
-    stream.add_argument("--jdbc-upper-bound")
+    stream.add_argument("--jdbc-predicates", type=_json_file, help="JSON file: one per task")
+    stream.add_argument("--jdbc-column", help="numeric, to read in ranges")
+    stream.add_argument("--jdbc-lower-bound", type=int)
+    stream.add_argument("--jdbc-upper-bound", type=int)
     stream.add_argument("--jdbc-partitions", type=int)
     stream.add_argument(
         "--broadcast-limit", type=int, default=JoinSettings.broadcast_limit_bytes, help="bytes"
@@ -98,6 +99,7 @@ def main(arguments: list[str] | None = None) -> None:
             args.jdbc_url,
             args.jdbc_table,
             args.jdbc_properties,
+            predicates=args.jdbc_predicates,
             column=args.jdbc_column,
             lower_bound=args.jdbc_lower_bound,
             upper_bound=args.jdbc_upper_bound,

@@ -14,8 +14,9 @@ class JdbcTable:
     """Where the master lives. Credentials and driver go into ``properties``.
 
     A large master is read in parallel either by one ``predicates`` entry per
-    task, or by ranges of a numeric, date or timestamp ``column``. Without
-    either, one task reads the whole table over one connection.
+    task (conditions that together cover each row once), or by ranges of a
+    numeric ``column``, for which both bounds and ``num_partitions`` are needed.
+    Without either, one task reads the whole table over one connection.
     """
 
     url: str
@@ -23,8 +24,8 @@ class JdbcTable:
     properties: dict[str, str] = field(default_factory=dict, repr=False)
     predicates: list[str] | None = None
     column: str | None = None
-    lower_bound: int | str | None = None
-    upper_bound: int | str | None = None
+    lower_bound: int | None = None
+    upper_bound: int | None = None
     num_partitions: int | None = None
 
 

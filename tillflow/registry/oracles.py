@@ -69,14 +69,19 @@ def _windows(table: str) -> str:
   WHERE t.sales_datetime IS NOT NULL"""
 
 
-_STATISTICS = f"""
+_WINDOWED = f"""
 windowed AS ({_windows("processed")}
-),
+)"""
+
+
+def _statistics(condition: str) -> str:
+    return f"""
 statistics AS (
   SELECT window_start, window_end, item_code, item_name, category_code, category_name,
          round(sum(sales_amount), 2) AS total_sales_amount,
          round(sum(sales_quantity), 2) AS total_sales_quantity
   FROM windowed
+  WHERE {condition}
   GROUP BY ALL
 )"""
 
@@ -85,10 +90,19 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
-_ALL = _with(_SALES, _MASTER, _TIMED, _JOINED, _COMPLETE, _PROCESSED, _STATISTICS)
-_REPORT = f"{_ALL}\nSELECT * FROM statistics"
-_PROCESSED_ROWS = f"""{_with(_SALES, _MASTER, _TIMED, _JOINED, _COMPLETE, _PROCESSED)}
-SELECT * FROM processed"""
+_TO_PROCESSED = (_SALES, _MASTER, _TIMED, _JOINED, _COMPLETE, _PROCESSED)
+_PROCESSED_ROWS = f"{_with(*_TO_PROCESSED)}\nSELECT * FROM processed"
+
+
+def _report(condition: str = "true") -> str:
+    return f"{_with(*_TO_PROCESSED, _WINDOWED, _statistics(condition))}\nSELECT * FROM statistics"
+
+
+# A run closes the windows its final watermark has passed.
+_CLOSED = """
+WHERE window_end <= (SELECT max(sales_datetime) FROM processed) - INTERVAL 15 MINUTE"""
+_EARLY = "sales_datetime < TIMESTAMP '2024-01-16' AND sales_price < 20"
+_REPORT = _report()
 _SALES_ROWS = f"{_with(_SALES)}\nSELECT * FROM sales"
 
 ORACLES: dict[str, str] = {
@@ -112,8 +126,12 @@ SELECT *, sales_quantity * sales_price AS sales_amount FROM sales""",
     "csv_sink": _REPORT,
     "batch_job": _REPORT,
     "statistics_payload": _REPORT,
-    # One micro-batch closes the windows its final watermark has passed.
-    "stream_statistics_append": f"""{_REPORT}
-WHERE window_end <= (SELECT max(sales_datetime) FROM processed) - INTERVAL 15 MINUTE""",
+    "stream_statistics_append": f"{_REPORT}{_CLOSED}",
     "stream_statistics_complete": _REPORT,
+    # Late sales miss the windows that the first run closed, and only those.
+    "stream_late_sales": _report(
+        f"""({_EARLY}) OR window_end >
+    (SELECT max(sales_datetime) FROM processed WHERE {_EARLY}) - INTERVAL 15 MINUTE"""
+    )
+    + _CLOSED,
 }

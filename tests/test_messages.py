@@ -2,9 +2,11 @@
 
 import json
 import math
+import random
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tillflow.functions.messages import (
     decode_sales,
@@ -12,7 +14,7 @@ from tillflow.functions.messages import (
     encode_sales,
     encode_statistics,
 )
-from tillflow.schemas import SALES_COLUMNS, STATISTICS_SCHEMA
+from tillflow.schemas import SALES_COLUMNS, SALES_SCHEMA, STATISTICS_SCHEMA
 from util import rows
 
 DAY, TIME = "2024-01-01", "10:00:00.000"
@@ -92,3 +94,17 @@ def test_payload_round_trip_and_column_types(spark):
 def test_key_is_stable_and_tells_renamed_items_apart(spark):
     keys = [r.key for r in encode_statistics(statistics(spark, "Apple", "Pear", "Apple")).collect()]
     assert keys[0] == keys[2] != keys[1]
+
+
+def test_any_text_decodes_as_a_plain_projection_would(messages):
+    """One row per message, whatever it holds, and the same fields."""
+    rng = random.Random(9)
+    pieces = [",", ",", ",", '"', "\\", " ", "\t", "\n", "\r", "1", "2.5", "NaN", "-Infinity", "1e400"]
+    pieces += ["sale", "A", "é", " ", "\x00", "2024-01-01", "10:00:00.000", "'", "#", "null"]
+    lines = ["".join(rng.choices(pieces, k=rng.randint(0, 16))) for _ in range(3000)]
+    given = messages(None, *lines)
+    plain = given.select(F.from_csv(F.col("value").cast("string"), SALES_SCHEMA).alias("r"))
+    decoded = decode_sales(given)
+    assert decoded.count() == len(lines) + 1
+    # As text, since NaN does not equal itself.
+    assert repr(rows(decoded)) == repr(rows(plain.select("r.*")))

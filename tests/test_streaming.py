@@ -9,10 +9,10 @@ import os
 import pytest
 from pyspark.errors import AnalysisException
 
-from tillflow.functions.messages import decode_statistics, encode_statistics
+from tillflow.functions.messages import decode_sales, decode_statistics, encode_statistics
 from tillflow.operators.windows import order_statistics
 from tillflow.plans.process import process_item_sales_data
-from tillflow.plans.statistics import analyze_item_sales_data_statistics
+from tillflow.plans.statistics import analyze_item_sales_data_statistics, sales_statistics
 from tillflow.schemas import STATISTICS_SCHEMA
 from tillflow.settings import JoinSettings, WindowSettings, bound_broadcasts
 from tillflow.sources.files import stream_files
@@ -232,6 +232,12 @@ def test_a_stream_cannot_be_sorted_but_its_statistics_run(spark, feed, small_mas
         run(ordered, tmp_path / "cp")
 
 
+def test_the_batch_report_refuses_a_stream(spark, feed, small_master):
+    feed.add(*CASE_A)
+    with pytest.raises(ValueError, match="stream"):
+        sales_statistics(decode_sales(feed.stream(spark)), small_master)
+
+
 def test_stream_and_batch_use_the_same_functions(spark, feed, small_master, sales, tmp_path):
     feed.add(*CASE_A)
     batch = analyze_item_sales_data_statistics(

@@ -40,6 +40,8 @@ def sales_statistics(
     Equal master rows are counted once with their number of copies, since a
     master row listed twice counts its sales twice.
     """
+    if item_sales_data_df.isStreaming:
+        raise ValueError("a stream is processed first and then analysed")
     sales = with_sales_amount(countable_sales(item_sales_data_df))
     narrow = sales.select("sales_datetime", "item_code", "sales_amount", "sales_quantity")
     per_item = (

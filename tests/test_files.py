@@ -6,11 +6,11 @@ import pytest
 
 from tillflow.plans.batch_job import run_batch_job
 from tillflow.plans.statistics import sales_statistics
-from tillflow.schemas import SALES_SCHEMA, STATISTICS_COLUMNS, STATISTICS_SCHEMA
+from tillflow.schemas import GROUP_COLUMNS, SALES_SCHEMA, STATISTICS_COLUMNS, STATISTICS_SCHEMA
 from tillflow.sinks.files import write_statistics_csv
 from tillflow.sources.files import read_csv, read_master, read_sales
 from test_statistics import CASE_A, CASE_A_REPORT
-from util import rows, short
+from util import plan, rows, short
 
 SALES_HEADER = "sales_date,sales_time,item_code,sales_quantity,sales_price,sales_return,is_discount"
 MASTER_HEADER = "item_code,item_name,category_code,category_name"
@@ -54,8 +54,6 @@ def test_columnar_input(spark, table, tmp_path):
 def test_sale_filter_reaches_file_scans(spark, sales, small_master, tmp_path, fmt):
     sales(*CASE_A).write.format(fmt).option("header", True).save(str(tmp_path / "sales"))
     stored = read_sales(spark, str(tmp_path / "sales"), fmt)
-    from util import plan
-
     text = plan(sales_statistics(stored, small_master))
     assert "EqualTo(sales_return,sale)" in text
 
@@ -102,9 +100,6 @@ def test_files_in_name_order_are_sorted(spark, inputs, tmp_path, files):
 
 
 def test_single_file_keeps_the_aggregation_parallel(spark, inputs):
-    from tillflow.schemas import GROUP_COLUMNS
-    from util import plan
-
     report = sales_statistics(read_sales(spark, inputs[0]), read_master(spark, inputs[1]))
     one = report.repartitionByRange(1, *GROUP_COLUMNS).sortWithinPartitions(*GROUP_COLUMNS)
     text = plan(one)

@@ -1,9 +1,17 @@
 """Sales meet the item master."""
 
+import math
+from itertools import product
+
 import pytest
 from pyspark.sql import functions as F
 
-from tillflow.operators.cleaning import countable_sales, with_sales_amount
+from tillflow.operators.cleaning import (
+    completed_sales,
+    countable_sales,
+    with_event_time,
+    with_sales_amount,
+)
 from tillflow.operators.joins import join_master, salt_of, table_bytes
 from tillflow.plans.process import join_sales_and_master, process_item_sales_data
 from tillflow.plans.statistics import analyze_item_sales_data_statistics, sales_statistics
@@ -127,11 +135,6 @@ def test_processed_rows(spark, sales, small_master):
 
 def test_processing_equals_checking_the_joined_row(spark, table, small_master):
     """Checks before the join keep the rows that checks after it would."""
-    import math
-    from itertools import product
-
-    from tillflow.operators.cleaning import completed_sales, with_event_time, with_sales_amount
-
     given = table(
         "sales",
         *product(
@@ -181,7 +184,8 @@ def test_a_hot_item_can_be_split_with_the_salt(spark, tmp_path):
         F.lit("Y").alias("is_discount"),
     ).write.parquet(str(tmp_path / "sales"))
     sales = spark.read.parquet(str(tmp_path / "sales"))
-    master = sales.select("item_code", *(F.lit("x").alias(c) for c in MASTER_COLUMNS[1:])).distinct()
+    names = [F.lit("x").alias(c) for c in MASTER_COLUMNS[1:]]
+    master = sales.select("item_code", *names).distinct()
 
     hours = WindowSettings("1 hour", "1 hour")
     join = JoinSettings(broadcast=False, salt_buckets=2)

@@ -63,10 +63,17 @@ def test_a_repeated_code_multiplies_sales(table, join):
     assert sorted(r.item_name for r in joined.collect()) == ["Apple", "Apple", "Pear", "Pear"]
 
 
-def test_salted_join_gives_the_same_rows(table, many_sales):
+def test_a_salt_needs_a_bucket():
+    with pytest.raises(ValueError, match="at least 1"):
+        JoinSettings(salt_buckets=0)
+
+
+@pytest.mark.parametrize("buckets", [1, 8])
+def test_salted_join_gives_the_same_rows(table, many_sales, buckets):
     master = table("master", *[(c, f"item {c}", "F", "Fruit") for c in "A12345"])
     broadcast = join_sales_and_master(many_sales, master, JoinSettings(broadcast=True))
-    salted = join_sales_and_master(many_sales, master, SALTED)
+    join = JoinSettings(broadcast=False, salt_buckets=buckets)
+    salted = join_sales_and_master(many_sales, master, join)
     assert rows(salted) == rows(broadcast)
     assert salted.columns == broadcast.columns
 

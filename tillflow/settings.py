@@ -31,6 +31,10 @@ class JoinSettings:
     salt_buckets: int = 32
     broadcast: bool | None = None
 
+    def __post_init__(self) -> None:
+        if self.salt_buckets < 1:
+            raise ValueError("salt_buckets must be at least 1")
+
 
 def bound_broadcasts(spark: SparkSession, join: JoinSettings) -> None:
     """Make Spark refuse a broadcast far above the limit of the size check.

@@ -82,26 +82,25 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     windows = saved(line_windows(docs, window), "line-windows")
     gone = later_windows(windows).select(*IDENTITY, F.explode(F.sequence("first", "last")).alias("i"))
     gone = gone.groupBy(*IDENTITY).agg(F.collect_set("i").alias("_gone"))  # lines of one document
-    kept = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    rows = docs.select(*kept, "text", *_identity())
-    same = F.col("d._doc").eqNullSafe(F.col("g._doc")) & (F.col("d._text") == F.col("g._text"))
-    joined = rows.alias("d").join(gone.alias("g"), same, "left")
-    joined = joined.select(
-        *[F.col(f"d.`{c}`") for c in kept],
-        "d.text",
-        "_gone",
-        once(F.when(F.col("_gone").isNotNull(), _lines(F.col("d.text"))), "_lines"),
-    )
+    rows = docs.select(F.struct("*").alias("_row"), *_identity())
+    same = rows["_doc"].eqNullSafe(gone["_doc"]) & (rows["_text"] == gone["_text"])
+    text = F.col("_row.text")
+    lines = F.when(F.col("_gone").isNotNull(), _lines(F.coalesce(text, F.lit(""))))
+    joined = rows.join(gone, same, "left").select("_row", "_gone", once(lines, "_lines"))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - F.lit(1)), F.col("_gone"))
-    text = F.array_join(F.transform(left, lambda i: F.element_at("_lines", i + F.lit(1))), "\n")
-    breaks = F.length("text") - F.length(F.translate("text", "\n", ""))
-    order = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    rest = F.array_join(F.transform(left, lambda i: F.element_at("_lines", i + F.lit(1))), "\n")
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n")))
+    removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone"))
+    new = {
+        "text": F.when(F.col("_gone").isNull(), text).otherwise(rest),
+        "n_lines": F.coalesce(breaks + F.lit(1), F.lit(0)).cast("long"),
+        "n_removed": removed.cast("long"),
+    }
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(
-        *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text).alias("text")
-          if c == "text" else F.col(f"`{c}`") for c in order],
-        F.when(F.col("_gone").isNotNull(), F.size("_lines"))
-        .otherwise(F.coalesce(breaks + F.lit(1), F.lit(0))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *[new[c].alias(c) if c in new else F.col(f"_row.`{c}`") for c in kept],
+        new["n_lines"].alias("n_lines"),
+        new["n_removed"].alias("n_removed"),
     )
 
 

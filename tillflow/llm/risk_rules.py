@@ -210,8 +210,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """Rows of ``docs`` that pass, all columns kept."""
     failed = judged(docs, labels, **settings).filter("NOT kept")
     failed = failed.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (
-        F.xxhash64(empty_if_null("text")) == F.col("_key")
+    same = docs["doc_id"].eqNullSafe(failed["_doc"]) & (
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == failed["_key"]
     )
     return docs.join(failed, same, "left_anti")
 

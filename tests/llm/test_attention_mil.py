@@ -1,0 +1,94 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from tillflow.llm import registry
+from tillflow.llm.attention_mil import (
+    BUCKETS,
+    PASSAGE,
+    SHAPES,
+    Fit,
+    _bags,
+    _forward,
+    _gradients,
+    encoded,
+    fitted,
+    quality_scores,
+    scored,
+)
+
+
+def test_every_passage_is_encoded():
+    assert encoded("").shape == (1, BUCKETS + SHAPES)
+    text = "é😀 x" * 1000
+    assert len(encoded(text)) == -(-len(text) // PASSAGE)
+    assert not np.allclose(encoded("a" * PASSAGE + "b" * 9)[1], encoded("a" * PASSAGE + "c" * 9)[1])
+    assert np.isfinite(encoded("\x00")).all()
+
+
+def test_gradients_are_the_slopes():
+    r = np.random.default_rng(0)
+    shapes = {"w": (6, 5), "b": (5,), "v": (5, 4), "vb": (4,), "u": (5, 4), "ub": (4,), "a": (4,), "c": (5,), "c0": ()}
+    model = {k: r.normal(size=s) for k, s in shapes.items()}
+    x, bag, firsts = _bags([r.normal(size=(n, 6)) for n in (1, 3, 2)])
+    y = np.array([1.0, 0.0, 1.0])
+
+    def loss(m):
+        p = _forward(m, x, bag, firsts)["p"]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+
+    f = _forward(model, x, bag, firsts)
+    found = _gradients(model, x, bag, firsts, f["p"] - y, f)
+    for name, value in model.items():
+        for place in np.ndindex(value.shape):
+            up = {**model, name: value.copy()}
+            up[name][place] += 1e-6
+            assert (loss(up) - loss(model)) / 1e-6 == pytest.approx(found[name][place], abs=1e-3)
+
+
+def test_attention_finds_the_telling_passage():
+    clean = ["lorem ipsum dolor sit amet " * 60] * 60
+    bad = [("lorem ipsum dolor sit amet " * 40) + "%%$ ##& " * 64 + ("lorem ipsum " * 40)] * 60
+    model = fitted(clean + bad, [1] * 60 + [0] * 60, [1.0] * 120, Fit(steps=150))
+    assert scored(model, clean[:1])[0] > 0.9 and scored(model, bad[:1])[0] < 0.1
+
+
+def test_held_out_documents_are_told_apart(spark):
+    sf = "/root/testdata/sf0.1"
+    found = registry.QUERIES["op7_attention_mil"](spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = found.join(labels, "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    held = [(r.score, r.quality) for r in rows if r.held_out]
+    good = np.array([s for s, q in held if q == 1])
+    bad = np.array([s for s, q in held if q == 0])
+    auc = (good[:, None] > bad[None, :]).mean() + 0.5 * (good[:, None] == bad[None, :]).mean()
+    assert auc > 0.95
+    assert (good >= 0.3).mean() > 0.98 and (bad < 0.3).mean() > 0.7
+
+
+def test_learned_from_text_and_labels_not_held_out_only(spark, documents):
+    docs = documents([("good words " if i % 2 else "%%## ") * 30 for i in range(60)])
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality", "0 AS toxic")
+    fit = Fit(steps=60)
+    first = {r.doc_id: r.score for r in quality_scores(docs, labels, fit).collect()}
+    held = "crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0"
+    flipped = labels.selectExpr("doc_id", f"IF({held}, 1 - quality, quality) AS quality", "toxic")
+    moved = docs.selectExpr("doc_id", "text", "'xx' AS lang", "'yy' AS source", "n_chars")
+    assert {r.doc_id: r.score for r in quality_scores(moved, flipped, fit).collect()} == first
+
+
+def test_odd_rows(odd, repeated, spark):
+    labels = spark.createDataFrame(
+        [(5, 1, 0), (6, 0, 0), (7, None, 1), (None, 1, 0), (8, 0, 0), (8, 1, 0), (99, 1, 1)],
+        "doc_id BIGINT, quality INT, toxic INT",
+    )
+    fit = Fit(steps=5)
+    for docs in (odd, repeated):
+        found = quality_scores(docs, labels, fit).collect()
+        assert len(found) == docs.count()
+        assert all(0 <= r.score <= 1 and r.held_out is not None for r in found)
+    assert quality_scores(odd.limit(0), labels, fit).count() == 0
+    assert {r.score for r in quality_scores(odd, labels.limit(0), fit).collect()} == {0.5}

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillflow.llm import entropy_secrets, kd_shards, line_windows, risk_rules, simhash
+from tillflow.llm import (
+    attention_mil,
+    bm25_packing,
+    cover_trees,
+    disguised_pii,
+    entropy_secrets,
+    gumbel_lattice,
+    kd_shards,
+    line_windows,
+    risk_rules,
+    simhash,
+)
 from tillflow.settings import use_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,12 +34,20 @@ def _in_utc(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     query.__name__: _in_utc(query)
     for query in (
+        bm25_packing.op1_bm25_packing,
+        disguised_pii.op2_disguised_pii,
         simhash.op3_simhash_pivots,
+        gumbel_lattice.op4_gumbel_lattice,
         kd_shards.op5_kd_tree_shards,
         risk_rules.op6_risk_rules,
+        attention_mil.op7_attention_mil,
         line_windows.op8_line_windows,
+        cover_trees.op9_cover_trees,
         entropy_secrets.op10_entropy_secrets,
     )
 }
 
-ORACLES: dict[str, str] = {"op8_line_windows": line_windows.OP8_SQL}
+ORACLES: dict[str, str] = {
+    "op8_line_windows": line_windows.OP8_SQL,
+    "op9_cover_trees": cover_trees.OP9_SQL,
+}

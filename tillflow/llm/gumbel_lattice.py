@@ -8,7 +8,8 @@ segmentations in the order of their perturbed values, so the first k are a sampl
 without replacement. The (k+1)-th value gives each its inclusion probability.
 
 Pieces never cross a word border, so a text's lattice is a chain of word
-lattices. A node is what remains of a word; equal remainders share it.
+lattices. A task takes a run of texts at a time: the lattices of their distinct
+words are built together, and the first walk goes through all texts at once.
 """
 
 from __future__ import annotations
@@ -31,16 +32,13 @@ from tillflow.llm.common import bounded_batches, empty_if_null, table
 
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
-#: Remainders of longer words are not shared: they would take the square of its length.
-SHARED_CHARACTERS = 40
-#: Nodes a task keeps between texts.
-MOST_NODES = 500_000
+#: Characters of the texts whose lattices stand side by side in a task.
+RUN_CHARACTERS = 1 << 21
 CERTAIN = 1 - 1e-12
-#: Weight of a character that has no piece, spelled in bytes.
+#: Weight of a character that has no piece and is spelled in bytes.
 BYTES_WEIGHT = -12.0
-#: Columns of the edges, each an array for itself. ``upto`` is the node's number plus
-#: the probability of its edges so far, so one search draws from many nodes at once.
-EDGE = {"node": "i4", "to": "i4", "piece": "i4", "logp": "f8", "upto": "f8"}
+#: Decimal places of a trie key that hold the character.
+CHARACTER_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -53,127 +51,149 @@ class Sampling:
     keep_ids: bool = True
 
 
-class Lattice:
-    """Nodes and edges of all words met so far.
+class Vocabulary:
+    """The model's pieces as a trie in arrays.
 
     The model's merges are in the order of how common they are. A piece weighs
     by Zipf's law of its place, ``1 / (1 + place)`` to the power of ``alpha``.
-    Characters without a piece are spelled in bytes, one edge each.
     """
 
     def __init__(self, model_path: str, alpha: float):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        self.model = model
-        self.pieces: dict[str, tuple[int, float]] = {}
-        self.bytes = [0] * 256
+        self.byte = np.zeros(256, np.int64)
+        #: What each id stands for; a byte as the escape that encodes to it.
+        self.surface = [""] * model.get_piece_size()
+        pieces = {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
-                self.bytes[int(piece[1:-1], 16)] = i
+                byte = int(piece[1:-1], 16)
+                self.byte[byte] = i
+                self.surface[i] = bytes([byte]).decode("utf-8", "surrogateescape")
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 if SPACE not in piece.lstrip(SPACE):
-                    self.pieces[piece] = i, -alpha * math.log1p(-model.get_score(i))
-        self.longest = max(map(len, self.pieces))
-        self.clear()
-
-    def clear(self) -> None:
-        #: Node 0 is the end of a word.
-        self.nodes: dict[str, int] = {"": 0}
-        self.beta = [0.0]
-        self.first = [0, 0]
-        self.edges = {name: np.zeros(1 << 16, kind) for name, kind in EDGE.items()}
-        self.new: list[tuple[int, int, int, float, float]] = []
-
-    def _add(self, edges: list[tuple[int, int, float]]) -> int:
-        """A node with edges ``(to, piece, weight)``."""
-        node, beta = len(self.beta), self.beta
-        values = [w + beta[to] for to, _, w in edges]
-        top = max(values)
-        total = top + math.log(sum([math.exp(v - top) for v in values]))
-        running = float(node)
-        for (to, piece, _), value in zip(edges, values):
-            running += math.exp(value - total)
-            self.new.append((node, to, piece, value - total, running))
-        self.new[-1] = (*self.new[-1][:4], node + 1.0)
-        beta.append(total)
-        self.first.append(self.first[-1] + len(edges))
-        return node
-
-    def node(self, word: str) -> int:
-        """The node of a whole word; new remainders are added from its end."""
-        known = self.nodes.get(word)
-        if known is not None:
-            return known
-        shared = len(word) <= SHARED_CHARACTERS
-        at: list[int] = [0] * (len(word) + 1)
-        for i in range(len(word) - 1, -1, -1):
-            if shared and (found := self.nodes.get(word[i:])) is not None:
-                at[i] = found
-                continue
-            edges = []
-            for j in range(i + 1, min(len(word), i + self.longest) + 1):
-                if found := self.pieces.get(word[i:j]):
-                    edges.append((at[j], found[0], found[1]))
-            if word[i] not in self.pieces:
-                edges.append(self._spelled(word[i], at[i + 1]))
-            at[i] = self._add(edges)
-            if shared:
-                self.nodes[word[i:]] = at[i]
-        return at[0]
-
-    def _spelled(self, character: str, after: int) -> tuple[int, int, float]:
-        """The first edge of a chain of bytes."""
-        first, *rest = character.encode()
-        for byte in reversed(rest):
-            after = self._add([(after, self.bytes[byte], 0.0)])
-        return after, self.bytes[first], BYTES_WEIGHT
-
-    def arrays(self) -> dict[str, np.ndarray]:
-        """All edges, in the order of their nodes; space is doubled when it runs out."""
-        total = self.first[-1]
-        done = total - len(self.new)
-        for (name, held), values in zip(self.edges.items(), zip(*self.new)):
-            if total > len(held):
-                held = np.concatenate([held[:done], np.zeros(2 * total - done, held.dtype)])
-                self.edges[name] = held
-            held[done:total] = values
-        self.new = []
-        return {name: held[:total] for name, held in self.edges.items()}
-
-
-@lru_cache(1)
-def lattice(model_path: str, alpha: float) -> Lattice:
-    return Lattice(model_path, alpha)
-
-
-def _truncated(location: np.ndarray, upper: float, u: np.ndarray) -> np.ndarray:
-    """Gumbel variables at ``location``, given that they are at most ``upper``."""
-    return location - np.log(np.exp(location - upper) - np.log(u))
-
+                    self.surface[i] = piece
+                    pieces[piece] = i, -alpha * math.log1p(-model.get_score(i))
+        alphabet = sorted({c for piece in pieces for c in piece})
+        self.code = np.zeros(0x110000, np.int64)
+        self.code[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        states, keys = {"": 0}, []
+        for piece in sorted(pieces):
+            for i in range(1, len(piece) + 1):
+                if piece[:i] not in states:
+                    states[piece[:i]] = len(states)
+                    key = states[piece[: i - 1]] << CHARACTER_BITS | int(self.code[ord(piece[i - 1])])
+                    keys.append((key, states[piece[:i]]))
+        keys.sort()
+        self.key, self.next = (np.array(column) for column in zip(*keys))
+        self.piece = np.full(len(states), -1)
+        self.weight = np.zeros(len(states))
+        for piece, (i, weight) in pieces.items():
+            self.piece[states[piece]], self.weight[states[piece]] = i, weight
+        self.longest = max(map(len, pieces))
+
+    def matches(self, characters: np.ndarray, left: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per length, the places where a piece starts and its state; ``left`` bounds the length."""
+        codes = self.code[characters]
+        places, state = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        found = []
+        for length in range(1, self.longest + 1):
+            going = left[places] >= length
+            places, state = places[going], state[going]
+            key = state << CHARACTER_BITS | codes[places + length - 1]
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            known = self.key[at] == key
+            places, state = places[known], self.next[at[known]]
+            ends = self.piece[state] >= 0
+            found.append((places[ends], state[ends]))
+        return found
+
+
+class Lattices:
+    """Lattices of distinct words.
+
+    Nodes are numbered by how many characters of their word are left; node 0 is
+    the end of every word. Edges stand by node. A negative piece is a character
+    without a piece. ``upto`` is the probability of a node's edges so far.
+    """
 
-class Text:
-    """Samples of one text, drawn from a generator seeded by its row's key."""
-
-    def __init__(self, text: str, key: str, lattice: Lattice):
-        self.r = np.random.default_rng(xxhash.xxh64_intdigest(key, 42))
-        words = WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
-        self.starts = np.fromiter(map(lattice.node, words), np.int64, len(words))
-        edges = lattice.arrays()
-        self.node, self.to, self.piece = edges["node"], edges["to"], edges["piece"]
-        self.logp, self.upto = edges["logp"], edges["upto"]
-        self.first = lattice.first
-
-    def _drawn(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Edges of a random path from each node to its word's end, and each node's number of them."""
-        size = len(nodes)
-        which, current = np.arange(size), nodes
-        steps, counts = [], np.zeros(size, np.int64)
-        going = current > 0
-        which, current = which[going], current[going]
+    def __init__(self, words: list[str], vocabulary: Vocabulary):
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        characters = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        ends = np.cumsum(lengths)
+        left = np.repeat(ends, lengths) - np.arange(len(characters))
+        order = np.argsort(left, kind="stable")
+        node = np.empty(len(order) + 1, np.int64)
+        node[order] = np.arange(1, len(order) + 1)
+        self.start = node[ends - lengths]
+        self.left = np.concatenate(([0], left[order]))
+
+        matches = vocabulary.matches(characters, left)
+        bare = np.ones(len(characters), bool)
+        bare[matches[0][0]] = False
+        bare = np.flatnonzero(bare)
+        groups = [
+            (places, length, vocabulary.piece[state], vocabulary.weight[state])
+            for length, (places, state) in enumerate(matches, 1)
+        ]
+        groups.append((bare, 1, -1 - characters[bare], np.full(len(bare), BYTES_WEIGHT)))
+        counts = np.zeros(len(node), np.int64)
+        for places, *_ in groups:
+            counts[node[places]] += 1
+        self.first = np.concatenate((np.cumsum(counts) - counts, [counts.sum()]))
+        total, filled = int(self.first[-1]), self.first[:-1].copy()
+        self.node, self.to = np.empty(total, np.int32), np.empty(total, np.int32)
+        self.piece, weight = np.empty(total, np.int32), np.empty(total)
+        for places, length, piece, w in reversed(groups):  # long pieces first: they are likely
+            own = node[places]
+            at = filled[own]
+            filled[own] += 1
+            self.node[at], self.piece[at], weight[at] = own, piece, w
+            self.to[at] = np.where(left[places] == length, 0, node[places + length])
+        self._weigh(weight)
+
+    def _weigh(self, weight: np.ndarray) -> None:
+        """Probabilities of the edges, from the ends of the words to their starts."""
+        beta = np.zeros(len(self.left))
+        self.logp, self.upto = np.empty(len(weight)), np.empty(len(weight))
+        levels = np.searchsorted(self.left, np.arange(1, int(self.left[-1]) + 2))
+        for a, b in zip(levels[:-1], levels[1:]):
+            lo, hi = self.first[a], self.first[b]
+            firsts = self.first[a:b] - lo
+            own = self.node[lo:hi] - a
+            value = weight[lo:hi] + beta[self.to[lo:hi]]
+            top = np.maximum.reduceat(value, firsts)
+            share = np.exp(value - top[own])
+            total = np.add.reduceat(share, firsts)
+            beta[a:b] = top + np.log(total)
+            share /= total[own]
+            self.logp[lo:hi] = value - beta[a:b][own]
+            self.upto[lo:hi] = share
+        # Node by node, so that a word's numbers do not depend on the words beside it.
+        degrees = np.diff(self.first)
+        for place in range(1, int(degrees.max(initial=0))):
+            edges = self.first[:-1][degrees > place] + place
+            self.upto[edges] += self.upto[edges - 1]
+        self.upto[self.first[2:] - 1] = 2.0  # no draw goes beyond the last edge
+
+    def drawn(self, nodes: np.ndarray, ends: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges of a random path from each node to its word's end, and how many they are.
+
+        ``ends`` says where the words end in ``u``, which has a number for each
+        character; a walk uses the numbers of the places it visits.
+        """
+        which = np.flatnonzero(nodes)
+        current = nodes[which]
+        steps, counts = [], np.zeros(len(nodes), np.int64)
         while len(which):
-            edge = np.searchsorted(self.upto, current + self.r.random(len(current)), "right")
+            draw = u[ends[which] - self.left[current]]
+            edge = self.first[current]
+            beyond = np.flatnonzero(draw >= self.upto[edge])
+            while len(beyond):
+                edge[beyond] += 1
+                beyond = beyond[draw[beyond] >= self.upto[edge[beyond]]]
             steps.append((which, edge))
             counts[which] += 1
             current = self.to[edge]
@@ -185,61 +205,150 @@ class Text:
             path[places[which] + step] = edge
         return path, counts
 
-    def _uniform(self, n: int) -> np.ndarray:
-        return np.clip(self.r.random(n), 1e-300, 1 - 2.0**-53)
 
-    def samples(self, k: int) -> tuple[list[tuple[np.ndarray, float, float]], float]:
-        """Up to ``k`` distinct paths with log-probability and perturbed value, and the next value."""
-        value = -math.log(-math.log(float(self._uniform(1)[0])))
-        path, counts = self._drawn(self.starts)
-        words = np.repeat(np.arange(len(counts)), counts)
-        found, heap, serial = [], [], 0
-        kept: tuple[int, frozenset[int]] = (0, frozenset())
+@lru_cache(1)
+def vocabulary(model_path: str, alpha: float) -> Vocabulary:
+    return Vocabulary(model_path, alpha)
+
+
+def _truncated(location: np.ndarray, upper: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Gumbel variables at ``location``, given that they are at most ``upper``."""
+    return location - np.log(np.exp(location - upper) - np.log(u))
+
+
+class Run:
+    """Samples of several texts. Each text's numbers come from a generator of its key."""
+
+    def __init__(self, texts: list[str], keys: list[str], words: Vocabulary):
+        split = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        self.bounds = np.cumsum([0, *map(len, split)])
+        types: dict[str, int] = {}
+        codes = np.array([types.setdefault(w, len(types)) for own in split for w in own], np.int64)
+        self.ends = np.cumsum(np.array([len(w) for w in types], np.int64)[codes])
+        self.lattices = Lattices(list(types), words) if types else None
+        self.starts = self.lattices.start[codes] if types else codes
+        self.sizes = np.diff(np.concatenate(([0], self.ends))[self.bounds])
+        self.generators = [np.random.default_rng(xxhash.xxh64_intdigest(k, 42)) for k in keys]
+
+    def _numbers(self) -> np.ndarray:
+        """A fresh number in (0, 1) for every character of every text."""
+        drawn = [r.random(n) for r, n in zip(self.generators, self.sizes)]
+        return np.clip(np.concatenate(drawn), 1e-300, 1 - 2.0**-53)
+
+    def samples(self, k: int) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
+        """Per text up to ``k`` paths with log-probability and perturbed value, and the next value."""
+        n = len(self.sizes)
+        values = np.array([-math.log(-math.log(min(max(r.random(), 1e-300), 1 - 2.0**-53))) for r in self.generators])
+        found: list[list] = [[] for _ in range(n)]
+        if self.lattices is None:
+            return [([(np.zeros(0, np.int64), 0.0, float(v))], -math.inf) for v in values]
+        heaps: list[list] = [[] for _ in range(n)]
+        path, counts = self.lattices.drawn(self.starts, self.ends, self._numbers())
+        words = np.repeat(np.arange(len(self.starts)), counts)
+        bounds = np.concatenate(([0], np.cumsum(counts)))[self.bounds]
+        kept: list[tuple[int, frozenset[int]]] = [(0, frozenset())] * n
+        active = np.arange(n)
         while True:
-            logp = self.logp[path]
-            before = np.cumsum(logp) - logp
-            found.append((path, float(logp.sum()), value))
-            # Sets that leave this path at one of its nodes, from the one where it left its own parent.
-            at, excluded = kept
-            here = np.exp(logp[at:])
-            if excluded and len(here):
-                here[0] += math.fsum(math.exp(self.logp[e]) for e in excluded)
-            sure = here < CERTAIN
-            places = np.flatnonzero(sure) + at
-            location = before[places] + np.log1p(-here[sure])
-            values = _truncated(location, value, self._uniform(len(places)))
-            for best in np.argsort(-values)[: k + 1 - len(found) + 1]:
-                place = int(places[best])
-                out = (excluded if place == at else frozenset()) | {int(path[place])}
-                heapq.heappush(heap, (-float(values[best]), serial, place, out, path, words))
-                serial += 1
-            if len(found) == k or not heap:
-                return found, -heap[0][0] if heap else -math.inf
-            value, _, place, out, path, words = heapq.heappop(heap)
-            value = -value
-            path, words = self._left(path, words, place, out)
-            kept = (place, out)
-
-    def _left(self, path, words, place: int, out: frozenset[int]) -> tuple[np.ndarray, np.ndarray]:
-        """A path that follows ``path`` up to ``place`` and takes no edge in ``out`` there."""
-        node = int(self.node[path[place]])
-        edges = np.arange(self.first[node], self.first[node + 1])
-        edges = edges[~np.isin(edges, list(out))]
-        weight = np.cumsum(np.exp(self.logp[edges]))
-        edge = int(edges[min(np.searchsorted(weight, self.r.random() * weight[-1], "right"), len(edges) - 1)])
-        word = int(words[place])
-        nodes = np.concatenate(([self.to[edge]], self.starts[word + 1 :]))
-        rest, counts = self._drawn(nodes)
-        numbers = np.repeat(np.arange(word, len(self.starts)), counts)
-        return (
-            np.concatenate([path[:place], [edge], rest]),
-            np.concatenate([words[:place], [word], numbers]),
-        )
-
-
-def decoded(ids: list[int], model) -> str:
-    """The text that ids stand for."""
-    return model.decode(ids) if ids else ""
+            self._branches(active, path, words, bounds, values, kept, heaps, k - len(found[active[0]]))
+            for i, a, b in zip(active, bounds[:-1], bounds[1:]):
+                own = path[a:b]
+                found[i].append((own, float(self.lattices.logp[own].sum()), float(values[i])))
+            active = np.array([i for i in active if heaps[i] and len(found[i]) < k])
+            if not len(active):
+                break
+            path, words, bounds = self._left(active, values, kept, heaps)
+        return [(f, -h[0][0] if h else -math.inf) for f, h in zip(found, heaps)]
+
+    def _branches(self, active, path, words, bounds, values, kept, heaps, most: int) -> None:
+        """Put the best sets that leave the new paths at one of their nodes on the heaps."""
+        if not len(path):
+            return
+        logp = self.lattices.logp[path]
+        sizes = np.diff(bounds)
+        which = np.repeat(np.arange(len(active)), sizes)
+        before = np.concatenate([np.cumsum(logp[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]) - logp
+        here = np.exp(logp)
+        for a, i in zip(bounds[:-1], active):
+            at, out = kept[i]
+            if out:  # earlier branches at the node where this path left its parent
+                here[a + at] += math.fsum(math.exp(self.lattices.logp[e]) for e in out)
+                here[a : a + at] = 1.0  # those nodes' sets are on the heap already
+        sure = here < CERTAIN
+        location = np.full(len(path), -np.inf)
+        location[sure] = before[sure] + np.log1p(-here[sure])
+        u = self._numbers()[self.ends[words] - self.lattices.left[self.lattices.node[path]]]
+        noisy = np.full(len(path), -np.inf)
+        noisy[sure] = _truncated(location[sure], values[active][which][sure], u[sure])
+        filled = np.flatnonzero(sizes)
+        for _ in range(most):
+            best = np.maximum.reduceat(noisy, bounds[:-1][filled])
+            hit = np.flatnonzero((noisy == best[np.searchsorted(filled, which)]) & (noisy > -np.inf))
+            for place in hit:
+                j = which[place]
+                i, a, b = active[j], bounds[j], bounds[j + 1]
+                at, out = kept[i]
+                own = (out if place - a == at else frozenset()) | {int(path[place])}
+                entry = (-float(noisy[place]), len(heaps[i]), int(place - a), own, path[a:b], words[a:b])
+                heapq.heappush(heaps[i], entry)
+            noisy[hit] = -np.inf
+
+    def _left(self, active, values, kept, heaps):
+        """For each text the path of its best set: along the old one, off it, and on at random."""
+        edges = self.lattices
+        heads, nodes, ends = [], [], []
+        for i in active:
+            value, _, place, out, path, words = heapq.heappop(heaps[i])
+            values[i], kept[i] = -value, (place, out)
+            node = int(edges.node[path[place]])
+            others = [e for e in range(edges.first[node], edges.first[node + 1]) if e not in out]
+            weight = np.cumsum(np.exp(edges.logp[others]))
+            draw = self.generators[i].random() * weight[-1]
+            edge = others[min(int(np.searchsorted(weight, draw, "right")), len(others) - 1)]
+            word = int(words[place])
+            heads.append((path[:place], words[:place], edge, word))
+            nodes.append(np.concatenate(([edges.to[edge]], self.starts[word + 1 : self.bounds[i + 1]])))
+            ends.append(self.ends[word : self.bounds[i + 1]])
+        rest, counts = edges.drawn(np.concatenate(nodes), np.concatenate(ends), self._numbers())
+        sizes = np.cumsum([0, *map(len, nodes)])
+        cuts = np.concatenate(([0], np.cumsum(counts)))[sizes]
+        paths, numbers = [], []
+        for j, (path, words, edge, word) in enumerate(heads):
+            own = np.repeat(np.arange(word, word + len(nodes[j])), counts[sizes[j] : sizes[j + 1]])
+            paths += [path, [edge], rest[cuts[j] : cuts[j + 1]]]
+            numbers += [words, [word], own]
+        bounds = np.cumsum([0, *(len(h[0]) + 1 + c for h, c in zip(heads, np.diff(cuts)))])
+        return np.concatenate(paths).astype(np.int64), np.concatenate(numbers).astype(np.int64), bounds
+
+    def ids(self, path: np.ndarray, words: Vocabulary) -> np.ndarray:
+        """Piece ids of a path; characters without a piece become their bytes."""
+        if not len(path):
+            return np.zeros(0, "<u4")
+        ids = self.lattices.piece[path].astype(np.int64)
+        plain = np.flatnonzero((ids < 0) & (ids >= -128))  # one byte each
+        ids[plain] = words.byte[-1 - ids[plain]]
+        if ids.min() < 0:
+            spelled = [[i] if i >= 0 else words.byte[list(chr(-1 - i).encode())] for i in ids.tolist()]
+            ids = np.concatenate(spelled)
+        return ids.astype("<u4")
+
+
+def decoded(ids: list[int], words: Vocabulary) -> str:
+    """The text that ids stand for, bytes put together to characters."""
+    text = "".join([words.surface[i] for i in ids])
+    text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+    return text.replace(SPACE, " ")[1:]
+
+
+def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``RUN_CHARACTERS`` together."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > RUN_CHARACTERS:
+            yield start, i
+            start, size = i, 0
+        size += len(text)
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def sampled(docs: DataFrame, sampling: Sampling) -> DataFrame:
@@ -257,25 +366,25 @@ def sampled(docs: DataFrame, sampling: Sampling) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = lattice(sampling.model_path, sampling.alpha)
+        words = vocabulary(sampling.model_path, sampling.alpha)
+        names = "doc_id sample ids n_pieces ids_crc32 log_prob perturbed inclusion round_trip"
         for batch in batches:
-            rows = []
-            for key, text in zip(batch["doc_id"], batch["text"]):
-                if len(known.beta) > MOST_NODES:
-                    known.clear()
-                own = Text(text, str(key), known)
-                found, after = own.samples(sampling.samples)
-                plain = text.replace(SPACE, " ")
-                for place, (path, logp, value) in enumerate(found, 1):
-                    ids = own.piece[path].astype("<u4")
-                    inclusion = -math.expm1(-math.exp(min(logp - after, 700.0)))
-                    raw = ids.tobytes()
-                    rows.append(
-                        (key, place, raw if sampling.keep_ids else None, len(ids), crc32(raw), logp,
-                         value, inclusion, decoded(ids.tolist(), known.model) == plain)
-                    )
-            names = "doc_id sample ids n_pieces ids_crc32 log_prob perturbed inclusion round_trip"
-            yield pd.DataFrame(rows, columns=names.split())
+            keys, texts = batch["doc_id"].tolist(), batch["text"].tolist()
+            for a, b in _runs(texts):
+                run = Run(texts[a:b], list(map(str, keys[a:b])), words)
+                rows = []
+                for key, text, (found, after) in zip(keys[a:b], texts[a:b], run.samples(sampling.samples)):
+                    plain = text.replace(SPACE, " ")
+                    for place, (path, logp, value) in enumerate(found, 1):
+                        ids = run.ids(path, words)
+                        raw = ids.tobytes()
+                        inclusion = -math.expm1(-math.exp(min(logp - after, 700.0)))
+                        same = decoded(ids.tolist(), words) == plain
+                        rows.append(
+                            (key, place, raw if sampling.keep_ids else None, len(ids), crc32(raw), logp,
+                             value, inclusion, same)
+                        )
+                yield pd.DataFrame(rows, columns=names.split())
 
     keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), empty_if_null("text").alias("text"))
     found = keyed.mapInPandas(

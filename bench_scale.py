@@ -67,7 +67,7 @@ def main() -> None:
         "small_master.aggregate_first": ("10MB", lambda: sales_statistics(sales, master)),
         "small_master.join_first": ("10MB", lambda: composed(JoinSettings())),
         "large_master.aggregate_first": ("-1", lambda: sales_statistics(sales, master)),
-        "large_master.join_first_salted": ("-1", lambda: composed(JoinSettings(broadcast=False))),
+        "large_master.join_first_salted": ("-1", lambda: composed(JoinSettings(salt=True))),
         "large_master.join_first_unsalted": ("-1", lambda: joined_unsalted(sales, master)),
     }
     seconds = {}

@@ -23,6 +23,9 @@ def test_batch(spark, inputs, tmp_path):  # noqa: F811
 def test_stream(spark, tmp_path, monkeypatch):
     secrets = tmp_path / "jdbc.json"
     secrets.write_text(json.dumps({"user": "u", "password": "p", "driver": "d"}))
+    hot, source = tmp_path / "hot.json", tmp_path / "source.json"
+    hot.write_text(json.dumps({"A": 7}))
+    source.write_text(json.dumps({"failOnDataLoss": "false"}))
     calls = {}
 
     class Query:
@@ -37,7 +40,7 @@ def test_stream(spark, tmp_path, monkeypatch):
     cli.main(
         "stream --servers h:1 --jdbc-url jdbc:x --checkpoint /cp --max-offsets-per-trigger 5 "
         "--jdbc-column id --jdbc-lower-bound 0 --jdbc-upper-bound 9 --jdbc-partitions 3 "
-        f"--salt-buckets 7 --jdbc-properties {secrets}".split()
+        f"--hot-items {hot} --source-options {source} --jdbc-properties {secrets}".split()
         + ["--processing-time", "1 minute", "--slide", "2 minutes"]
     )
     assert calls["waited"] and calls["cp"] == "/cp"
@@ -45,7 +48,9 @@ def test_stream(spark, tmp_path, monkeypatch):
         "kafka.bootstrap.servers": "h:1",
         "subscribe": "sales_topic",
         "maxOffsetsPerTrigger": "5",
+        "failOnDataLoss": "false",
     }
+    assert "failOnDataLoss" not in calls["sink"].writer_options()
     assert calls["sink"].topic == "sales_data_statistics_topic"
     assert calls["master"] == JdbcTable(
         "jdbc:x",
@@ -59,7 +64,7 @@ def test_stream(spark, tmp_path, monkeypatch):
         "unique_master": True,
         "trigger": {"processingTime": "1 minute"},
         "windows": WindowSettings(slide="2 minutes"),
-        "join": JoinSettings(salt_buckets=7),
+        "join": JoinSettings(hot_items={"A": 7}),
     }
 
 

@@ -12,7 +12,7 @@ from tillflow.operators.cleaning import (
     with_event_time,
     with_sales_amount,
 )
-from tillflow.operators.joins import join_master, salt_of, table_bytes
+from tillflow.operators.joins import copied_master, hot_items, join_master, salt_of
 from tillflow.plans.process import join_sales_and_master, process_item_sales_data
 from tillflow.plans.statistics import analyze_item_sales_data_statistics, sales_statistics
 from tillflow.schemas import JOINED_COLUMNS, MASTER_COLUMNS, PROCESSED_COLUMNS
@@ -20,7 +20,7 @@ from tillflow.settings import JoinSettings, WindowSettings
 from tillflow.sources.master import duplicate_codes, require_unique_codes
 from util import cents, plan, rows
 
-SALTED = JoinSettings(broadcast=False, salt_buckets=8)
+SALTED = JoinSettings(salt=True, hot_share=0.05)
 
 
 def sale(code, quantity=1.0):
@@ -63,21 +63,52 @@ def test_a_repeated_code_multiplies_sales(table, join):
     assert sorted(r.item_name for r in joined.collect()) == ["Apple", "Apple", "Pear", "Pear"]
 
 
-def test_a_salt_needs_a_bucket():
+def test_settings_that_cannot_be(table):
+    with pytest.raises(ValueError, match="hot_share"):
+        JoinSettings(hot_share=0)
     with pytest.raises(ValueError, match="at least 1"):
-        JoinSettings(salt_buckets=0)
+        JoinSettings(hot_items={"A": 0})
 
 
-@pytest.mark.parametrize("buckets", [1, 8])
-def test_salted_join_gives_the_same_rows(table, many_sales, buckets):
+@pytest.mark.parametrize(
+    "join",
+    [SALTED, JoinSettings(salt=True, hot_share=1.0), JoinSettings(hot_items={"A": 5, "Q": 9})],
+)
+def test_salted_join_gives_the_same_rows(table, many_sales, join):
     master = table("master", *[(c, f"item {c}", "F", "Fruit") for c in "A12345"])
-    broadcast = join_sales_and_master(many_sales, master, JoinSettings(broadcast=True))
-    join = JoinSettings(broadcast=False, salt_buckets=buckets)
-    salted = join_sales_and_master(many_sales, master, join)
+    given = many_sales.union(table("sales", sale(None), sale("unknown")))
+    broadcast = join_sales_and_master(given, master, JoinSettings(broadcast=True))
+    salted = join_sales_and_master(given, master, join)
     assert rows(salted) == rows(broadcast)
     assert salted.columns == broadcast.columns
 
 
+def test_buckets_follow_the_share(spark, many_sales, table):
+    """A has a third of 3000 sales; the other seven codes have 286 or 285 each."""
+    hot = hot_items(many_sales, JoinSettings(salt=True, hot_share=0.1))
+    assert rows(hot) == [("A", 4)]
+    finer = dict(rows(hot_items(many_sales, JoinSettings(salt=True, hot_share=0.02))))
+    assert finer["A"] == 17 and set(finer.values()) == {17, 5} and len(finer) == 8
+    assert hot_items(many_sales.limit(0), SALTED).count() == 0
+    nulls = table("sales", *[sale(None)] * 5, sale("A"))
+    assert rows(hot_items(nulls, JoinSettings(salt=True, hot_share=0.1))) == [("A", 2)]
+
+
+def test_cold_master_rows_are_copied_once(spark, many_sales, table):
+    master = table(
+        "master", ("A", "Apple", "F", "Fruit"), *[(f"c{i}", "x", "F", "Fruit") for i in range(500)]
+    )
+    copies = copied_master(master, hot_items(many_sales, JoinSettings(salt=True, hot_share=0.1)))
+    assert copies.count() == 500 + 4
+    assert copies.filter("item_code = 'A'").count() == 4
+    assert {r.salt for r in copies.filter("item_code <> 'A'").collect()} == {0}
+
+
+def test_no_salt_is_counted_for_unless_asked(spark, many_sales, small_master):
+    text = plan(join_sales_and_master(many_sales, small_master))
+    assert "Aggregate" not in text
+
+
 def test_salt_spreads_copies_of_one_sale(spark, table, many_sales):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "64")
@@ -86,7 +117,7 @@ def test_salt_spreads_copies_of_one_sale(spark, table, many_sales):
     hot = many_sales.filter("item_code = 'A'").coalesce(8).union(
         many_sales.filter("item_code = 'A'").coalesce(8)
     )
-    joined = join_master(hot, master, JoinSettings(broadcast=False, salt_buckets=64))
+    joined = join_master(hot, master, JoinSettings(hot_items={"A": 64}))
     sizes = joined.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in sizes) == 2000
     assert len(sizes) >= 4
@@ -96,27 +127,35 @@ def test_a_rerun_gives_each_sale_the_same_salt(spark, many_sales, tmp_path):
     """A lost task is computed again; its rows must go where they went before."""
     many_sales.repartition(4).write.parquet(str(tmp_path / "sales"))
     stored = spark.read.parquet(str(tmp_path / "sales"))
-    where = stored.withColumn("part", F.spark_partition_id()).select("part", salt_of(stored, 8))
-    first, again = (rows(where.groupBy("part", "salt").count()) for _ in range(2))
+    where = stored.select(
+        F.spark_partition_id().alias("part"), salt_of(stored, F.lit(8)), salt_of(stored, F.lit(None))
+        .alias("cold")
+    )
+    first, again = (rows(where.groupBy("part", "salt", "cold").count()) for _ in range(2))
     assert first == again
     assert {r[1] for r in first} <= set(range(8)) and len({r[1] for r in first}) > 4
+    assert {r[2] for r in first} == {0}
 
 
-def test_size_decides_between_broadcast_and_salt(spark, table, many_sales):
-    master = table("master", *[(c, f"item {c}", "F", "Fruit") for c in "A12345"])
-    size = table_bytes(master)
-    text = len("A" + "item A" + "F" + "Fruit")
-    assert size >= 6 * text
-    assert "BroadcastHashJoin" in plan(
-        join_master(many_sales, master, JoinSettings(broadcast_limit_bytes=size))
+def test_catalyst_chooses_the_join_of_a_batch(spark, table, many_sales, tmp_path):
+    table("master", *[(c, f"item {c}", "F", "Fruit") for c in "A12345"]).write.parquet(
+        str(tmp_path / "master")
     )
-    large = plan(join_master(many_sales, master, JoinSettings(broadcast_limit_bytes=size - 1)))
+    master = spark.read.parquet(str(tmp_path / "master"))
+    assert "BroadcastHashJoin" in plan(join_master(many_sales, master))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    large = plan(join_master(many_sales, master))
     assert "SortMergeJoin" in large and "Broadcast" not in large
 
 
-def test_size_of_an_empty_table_and_of_nulls(table):
-    assert table_bytes(table("master", ("x", "x", "x", "x")).filter("1 = 0")) == 0
-    assert table_bytes(table("master", (None, None, None, None))) > 0
+def test_planning_runs_no_job(spark, many_sales, small_master):
+    spark.sparkContext.setJobGroup("planning", "planning")
+    for join in (JoinSettings(), SALTED, JoinSettings(hot_items={"A": 3})):
+        process_item_sales_data(spark, many_sales, small_master, join)
+    sales_statistics(many_sales, small_master)
+    ran = spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    spark.sparkContext.setJobGroup(None, None)
+    assert list(ran) == []
 
 
 def test_processed_rows(spark, sales, small_master):
@@ -169,6 +208,11 @@ def test_duplicate_codes(table, small_master):
         require_unique_codes(twice)
 
 
+def test_only_rows_that_meet_sales_are_checked_for_repeats(table):
+    master = table("master", ("A", "Apple", "F", "Fruit"), ("A", None, "F", "Fruit"))
+    assert require_unique_codes(master) is master
+
+
 def test_a_hot_item_can_be_split_with_the_salt(spark, tmp_path):
     """Without it, the sums of tumbling windows reuse the join's partitioning, hot task and all."""
     for name, value in {
@@ -195,7 +239,7 @@ def test_a_hot_item_can_be_split_with_the_salt(spark, tmp_path):
     master = sales.select("item_code", *names).distinct()
 
     hours = WindowSettings("1 hour", "1 hour")
-    join = JoinSettings(broadcast=False, salt_buckets=2)
+    join = JoinSettings(hot_items={"A": 2})
     salted = analyze_item_sales_data_statistics(
         process_item_sales_data(spark, sales, master, join), hours
     )

@@ -14,7 +14,7 @@ from tillflow.operators.windows import order_statistics
 from tillflow.plans.process import process_item_sales_data
 from tillflow.plans.statistics import analyze_item_sales_data_statistics, sales_statistics
 from tillflow.schemas import STATISTICS_SCHEMA
-from tillflow.settings import JoinSettings, WindowSettings, bound_broadcasts
+from tillflow.settings import JoinSettings, WindowSettings
 from tillflow.sources.files import stream_files
 from tillflow.streaming import job
 from tillflow.streaming.job import run_to_end, statistics_stream, use_rocksdb_state
@@ -124,20 +124,23 @@ def test_update_mode_emits_changed_windows_again(spark, case_a, small_master, tm
     assert sorted(last.values()) == CASE_A_REPORT
 
 
-@pytest.mark.parametrize("join", [JoinSettings(broadcast=False, salt_buckets=4), JoinSettings()])
-def test_both_joins_on_a_stream(spark, case_a, small_master, tmp_path, join):
+@pytest.mark.parametrize(
+    "join",
+    [JoinSettings(), JoinSettings(broadcast=True), JoinSettings(hot_items={"A": 4, "Z": 2})],
+)
+def test_all_joins_on_a_stream(spark, case_a, small_master, tmp_path, join):
     statistics = statistics_stream(case_a.stream(spark), small_master, join=join)
     assert run(statistics, tmp_path / "cp").rows == CASE_A_REPORT[:7]
 
 
 def test_restart_goes_on_where_the_last_run_ended(spark, feed, small_master, tmp_path):
-    """Also when the master has outgrown the broadcast limit in between."""
+    """Also when an item has become hot in between."""
     for part in (CASE_A[:6], CASE_A[6:7]):
         feed.add(*part)
     first = run(statistics_stream(feed.stream(spark), small_master), tmp_path / "cp")
     for part in (CASE_A[7:9], CASE_A[9:]):
         feed.add(*part)
-    salted = JoinSettings(broadcast_limit_bytes=1, salt_buckets=4)
+    salted = JoinSettings(hot_items={"A": 4})
     second = run(
         statistics_stream(feed.stream(spark), small_master, join=salted), tmp_path / "cp"
     )
@@ -257,15 +260,37 @@ def test_a_file_sink_needs_a_checkpoint(spark, feed, small_master, tmp_path):
         run_to_end(writer.option("path", str(tmp_path / "out")))
 
 
-def test_a_master_that_outgrows_its_broadcast_fails_the_query(spark, feed, table, tmp_path):
+def test_a_master_that_grows_between_batches_changes_nothing(spark, feed, tmp_path):
+    """It passes every limit a broadcast could have had, and the query goes on."""
+    spark.dataSource.register(live_master())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10KB")
+    path = tmp_path / "master.csv"
+    path.write_text("A,Apple,F,Fruit\nB,Bolt,H,Hardware\n")
+    for part in (CASE_A[:6], CASE_A[6:7], CASE_A[7:9], CASE_A[9:]):
+        feed.add(*part)
+
+    def grow(batch_id):
+        if batch_id == 1:
+            with open(path, "a") as file:
+                file.writelines(f"new-{i},{'x' * 100},F,Fruit\n" for i in range(20000))
+
+    master = spark.read.format("live_master").option("path", str(path)).load()
+    sink = run(statistics_stream(feed.stream(spark), master), tmp_path / "cp", Sink(grow))
+    assert path.stat().st_size > 2_000_000
+    assert sink.rows == CASE_A_REPORT[:7]
+    assert spark.conf.get("spark.sql.maxBroadcastTableSize") == "8589934592b"
+
+
+def test_the_join_of_a_stream_is_no_broadcast(spark, feed, small_master, tmp_path):
     feed.add(*CASE_A)
-    master = table("master", *[(f"{i}", "x" * 200, "F", "Fruit") for i in range(5000)])
-    bound_broadcasts(spark, JoinSettings(broadcast_limit_bytes=1000))
-    statistics = statistics_stream(
-        feed.stream(spark), master, join=JoinSettings(broadcast=True)
+    query = run_to_end(
+        statistics_stream(feed.stream(spark), small_master)
+        .writeStream.format("noop")
+        .option("checkpointLocation", str(tmp_path / "cp"))
+        .outputMode("append")
     )
-    with pytest.raises(Exception, match="(?i)broadcast"):
-        run(statistics, tmp_path / "cp")
+    text = query._jsq.explainInternal(False)
+    assert "SortMergeJoin" in text and "Broadcast" not in text
 
 
 def test_the_whole_job_with_files_in_place_of_services(

@@ -33,12 +33,13 @@ def parser() -> argparse.ArgumentParser:
         "--allow-duplicates", action="store_true", help="accept a master that repeats codes"
     )
 
-    batch = jobs.add_parser("batch", parents=[shared], help="files to CSV files")
+    batch = jobs.add_parser("batch", parents=[shared], help="files to files")
     batch.add_argument("--sales", required=True)
     batch.add_argument("--master", required=True)
     batch.add_argument("--output", required=True)
     batch.add_argument("--format", default="csv", help="of the input: csv, parquet, orc")
     batch.add_argument("--check-header", action="store_true")
+    batch.add_argument("--output-format", default="csv", help="csv, parquet, orc")
     batch.add_argument("--files", type=int, help="number of output files")
 
     stream = jobs.add_parser("stream", parents=[shared], help="Kafka to Kafka")
@@ -48,7 +49,8 @@ def parser() -> argparse.ArgumentParser:
     stream.add_argument("--starting-offsets")
     stream.add_argument("--max-offsets-per-trigger", type=int)
     stream.add_argument("--min-partitions", type=int)
-    stream.add_argument("--kafka-options", type=_json_file, default={}, help="JSON file")
+    stream.add_argument("--source-options", type=_json_file, default={}, help="JSON file")
+    stream.add_argument("--sink-options", type=_json_file, default={}, help="JSON file")
     stream.add_argument("--jdbc-url", required=True)
     stream.add_argument("--jdbc-table", default=schemas.MASTER_TABLE)
     stream.add_argument(
@@ -60,9 +62,9 @@ def parser() -> argparse.ArgumentParser:
     stream.add_argument("--jdbc-upper-bound", type=int)
     stream.add_argument("--jdbc-partitions", type=int)
     stream.add_argument(
-        "--broadcast-limit", type=int, default=JoinSettings.broadcast_limit_bytes, help="bytes"
+        "--broadcast-master", action="store_true", help="only if it is small and stays so"
     )
-    stream.add_argument("--salt-buckets", type=int, default=JoinSettings.salt_buckets)
+    stream.add_argument("--hot-items", type=_json_file, help="JSON file: tasks by item code")
     stream.add_argument("--checkpoint", required=True, help="durable shared folder")
     stream.add_argument("--processing-time", help="trigger interval, such as '1 minute'")
     return top
@@ -82,6 +84,7 @@ def main(arguments: list[str] | None = None) -> None:
             check_header=args.check_header,
             unique_master=not args.allow_duplicates,
             files=args.files,
+            output_fmt=args.output_format,
             windows=windows,
         )
         return
@@ -93,7 +96,7 @@ def main(arguments: list[str] | None = None) -> None:
             starting_offsets=args.starting_offsets,
             max_offsets_per_trigger=args.max_offsets_per_trigger,
             min_partitions=args.min_partitions,
-            options=args.kafka_options,
+            options=args.source_options,
         ),
         JdbcTable(
             args.jdbc_url,
@@ -105,11 +108,11 @@ def main(arguments: list[str] | None = None) -> None:
             upper_bound=args.jdbc_upper_bound,
             num_partitions=args.jdbc_partitions,
         ),
-        KafkaSink(args.servers, args.statistics_topic, args.kafka_options),
+        KafkaSink(args.servers, args.statistics_topic, args.sink_options),
         args.checkpoint,
         unique_master=not args.allow_duplicates,
         trigger={"processingTime": args.processing_time} if args.processing_time else None,
         windows=windows,
-        join=JoinSettings(args.broadcast_limit, args.salt_buckets),
+        join=JoinSettings(broadcast=args.broadcast_master, hot_items=args.hot_items),
     )
     query.awaitTermination()

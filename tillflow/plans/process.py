@@ -33,8 +33,7 @@ def process_item_sales_data(
     Each side is checked before the join: the same rows as checking the joined
     row, but the checks reach the scans and the join meets less data.
 
-    The plan is lazy, but for one look at the size of the master that settings
-    may spare. ``spark`` is part of the public signature; the session of the
+    The plan is lazy. ``spark`` is part of the public signature; the session of the
     tables is the one that runs.
     """
     sales = countable_sales(item_sales_data_df)

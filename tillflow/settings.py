@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
 
@@ -22,30 +23,22 @@ class WindowSettings:
 class JoinSettings:
     """How the item master meets row-level sales.
 
-    The master is broadcast only when its measured size is at most
-    ``broadcast_limit_bytes``; a larger one is joined by a salted sort-merge
-    join. ``broadcast`` skips the measurement and decides by hand.
+    ``broadcast`` is the caller's word that the master is small and stays so.
+    ``salt`` counts a batch's sales per item and spreads each item that has more
+    than ``hot_share`` of them over several tasks. A stream cannot count ahead:
+    there ``hot_items`` names such items, with the number of tasks for each.
     """
 
-    broadcast_limit_bytes: int = 64 * 1024 * 1024
-    salt_buckets: int = 32
-    broadcast: bool | None = None
+    broadcast: bool = False
+    salt: bool = False
+    hot_share: float = 0.01
+    hot_items: Mapping[str, int] | None = field(default=None, hash=False)
 
     def __post_init__(self) -> None:
-        if self.salt_buckets < 1:
-            raise ValueError("salt_buckets must be at least 1")
-
-
-def bound_broadcasts(spark: SparkSession, join: JoinSettings) -> None:
-    """Make Spark refuse a broadcast far above the limit of the size check.
-
-    The master of a running stream is read again in every micro-batch and may
-    outgrow the size measured at the start. Such a query then fails instead of
-    filling the executors, and its restart measures again and salts the join.
-    The factor allows for the hash table Spark builds, which took up to three
-    times the measured size in trials with short, long, few and many rows.
-    """
-    spark.conf.set("spark.sql.maxBroadcastTableSize", f"{4 * join.broadcast_limit_bytes}b")
+        if not 0 < self.hot_share <= 1:
+            raise ValueError("hot_share must be above 0 and at most 1")
+        if any(buckets < 1 for buckets in (self.hot_items or {}).values()):
+            raise ValueError("a hot item needs at least 1 bucket")
 
 
 def use_utc(spark: SparkSession) -> None:

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tillflow.functions.messages import decode_sales
 from tillflow.plans.process import process_item_sales_data
 from tillflow.plans.statistics import analyze_item_sales_data_statistics
-from tillflow.settings import JoinSettings, WindowSettings, bound_broadcasts, use_utc
+from tillflow.settings import JoinSettings, WindowSettings, use_utc
 from tillflow.sinks.kafka import KafkaSink, statistics_writer
 from tillflow.sources.jdbc import JdbcTable, read_master_jdbc
 from tillflow.sources.kafka import KafkaSource, stream_sales_messages
 from tillflow.sources.master import require_unique_codes
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def use_rocksdb_state(spark: SparkSession) -> None:
@@ -24,10 +32,23 @@ def use_rocksdb_state(spark: SparkSession) -> None:
     a large catalogue that is more than executor heaps should hold, and a
     changelog uploads what a micro-batch changed instead of whole snapshots.
     """
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true"
-    )
+    for name, value in _ROCKSDB.items():
+        spark.conf.set(name, value)
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """:func:`use_rocksdb_state` for the queries started within, then as before."""
+    before = {name: spark.conf.get(name, None) for name in _ROCKSDB}
+    use_rocksdb_state(spark)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def statistics_stream(
@@ -39,9 +60,8 @@ def statistics_stream(
     """Statistics from messages and a static master; also valid in batch.
 
     The join stays in front of the aggregation here, unlike in the batch
-    report: a sale belongs to the name its item has when it arrives. The size
-    of the master is checked each time this plan is built, that is at every
-    start of a query.
+    report: a sale belongs to the name its item has when it arrives. The join
+    does not depend on the master's size, which may change between batches.
     """
     sales = decode_sales(messages)
     processed = process_item_sales_data(messages.sparkSession, sales, master, join)
@@ -70,11 +90,13 @@ def start_statistics_job(
 ) -> StreamingQuery:
     """Start Kafka to Kafka with a JDBC master; the caller owns the query.
 
+    The master is checked for repeated codes at the start, not again later: a
+    code repeated from then on counts its sales again.
+
     ``trigger`` is what ``DataStreamWriter.trigger`` takes, for instance
     ``{"processingTime": "1 minute"}``; Spark's default otherwise.
     """
     use_utc(spark)
-    bound_broadcasts(spark, join)
     if rocksdb:
         use_rocksdb_state(spark)
     master_table = read_master_jdbc(spark, master)

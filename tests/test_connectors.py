@@ -39,8 +39,15 @@ def test_jdbc_defaults_and_credentials_from_the_caller():
     call = jdbc_call(properties={"user": "u", "password": "p", "driver": "d"})
     assert (call.url, call.table) == ("jdbc:x://host/db", "item_master_table")
     assert call.arguments == {
-        "properties": {"user": "u", "password": "p", "driver": "d", "customSchema": MASTER_SCHEMA}
+        "properties": {
+            "fetchsize": "10000",
+            "user": "u",
+            "password": "p",
+            "driver": "d",
+            "customSchema": MASTER_SCHEMA,
+        }
     }
+    assert jdbc_call(properties={"fetchsize": "7"}).arguments["properties"]["fetchsize"] == "7"
     assert list(call.columns) == MASTER_COLUMNS
 
 
@@ -57,6 +64,26 @@ def test_jdbc_parallel_reads():
     }
 
 
+@pytest.mark.parametrize(
+    "given",
+    [
+        {"column": "id"},
+        {"column": "id", "lower_bound": 0, "upper_bound": 9},
+        {"lower_bound": 0},
+        {"num_partitions": 4},
+    ],
+)
+def test_ranges_need_all_their_settings(given):
+    with pytest.raises(ValueError, match="column, lower_bound, upper_bound and num_partitions"):
+        JdbcTable("jdbc:x", **given)
+
+
+def test_predicates_and_ranges_exclude_each_other():
+    ranges = {"column": "id", "lower_bound": 0, "upper_bound": 9, "num_partitions": 2}
+    with pytest.raises(ValueError, match="either"):
+        JdbcTable("jdbc:x", predicates=["1 = 1"], **ranges)
+
+
 def test_credentials_are_not_printed():
     assert "secret" not in repr(JdbcTable("jdbc:x", properties={"password": "secret"}))
     assert "secret" not in repr(KafkaSource("s", options={"kafka.sasl.jaas.config": "secret"}))
@@ -146,4 +173,4 @@ def test_job_sets_up_the_session_before_it_reads(spark, tmp_path):
         )
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
     assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    assert spark.conf.get("spark.sql.maxBroadcastTableSize") == f"{256 * 1024 * 1024}b"
+    assert spark.conf.get("spark.sql.maxBroadcastTableSize") == "8589934592b"

@@ -21,6 +21,9 @@ def test_accepted_and_refused_texts(spark, ansi):
     spark.conf.set("spark.sql.ansi.enabled", ansi)
     good = [("2024-01-01", "10:00:00.123"), ("2024-01-01", "10:00:00.1")]
     bad = [
+        ("2024-01-01", "10:00:00.123\n"),
+        ("2024-01-01", "10:00:00.123\r"),
+        ("2024-01-01", "10:00:00.123\r\n"),
         ("2024-01-01", "10:00:00"),
         ("2024-01-01", "10:00:00.123456"),
         ("2024-1-1", "10:00:00.000"),
@@ -57,6 +60,12 @@ def odd_texts(n=4000):
             else:
                 time = "".join(text)
         yield (date, time)
+    # The pattern allows nothing around it, not even what a cast would trim.
+    for odd in ("\n", "\r", "\r\n", " ", "\t", "\n\n", "\x0b", "\u2028", "\u0085"):
+        for date, time in (("2024-01-01" + odd, ""), (odd + "2024-01-01", "")):
+            yield (date, "10:00:00.123")
+        for time in ("10:00:00.123" + odd, odd + "10:00:00.123", "10:00:00" + odd):
+            yield ("2024-01-01", time)
     # Hours that daylight saving skips or repeats in two of the zones below.
     for day in ("2024-03-10", "2024-11-03", "2024-03-31", "2024-10-27"):
         for hour in range(4):

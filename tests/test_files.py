@@ -7,8 +7,8 @@ import pytest
 from tillflow.plans.batch_job import run_batch_job
 from tillflow.plans.statistics import sales_statistics
 from tillflow.schemas import GROUP_COLUMNS, SALES_SCHEMA, STATISTICS_COLUMNS, STATISTICS_SCHEMA
-from tillflow.sinks.files import write_statistics_csv
-from tillflow.sources.files import read_csv, read_master, read_sales
+from tillflow.sinks.files import write_statistics
+from tillflow.sources.files import read_csv, read_master, read_sales, read_statistics_csv
 from test_statistics import CASE_A, CASE_A_REPORT
 from util import plan, rows, short
 
@@ -77,7 +77,7 @@ def test_batch_job_refuses_a_repeated_code(spark, inputs, tmp_path):
 
 def test_output_format(spark, inputs, tmp_path):
     report = sales_statistics(read_sales(spark, inputs[0]), read_master(spark, inputs[1]))
-    write_statistics_csv(report, str(tmp_path / "one"), files=1)
+    write_statistics(report, str(tmp_path / "one"), files=1)
     parts = glob.glob(str(tmp_path / "one" / "part-*.csv"))
     assert len(parts) == 1
     lines = open(parts[0]).read().splitlines()
@@ -91,7 +91,7 @@ def test_output_format(spark, inputs, tmp_path):
 @pytest.mark.parametrize("files", [None, 1, 3])
 def test_files_in_name_order_are_sorted(spark, inputs, tmp_path, files):
     report = sales_statistics(read_sales(spark, inputs[0]), read_master(spark, inputs[1]))
-    write_statistics_csv(report, str(tmp_path / "out"), files)
+    write_statistics(report, str(tmp_path / "out"), files)
     parts = sorted(glob.glob(str(tmp_path / "out" / "part-*.csv")))
     if files:
         assert len(parts) <= files
@@ -120,3 +120,50 @@ def test_a_report_without_rows_still_has_a_header(spark, inputs, tmp_path, files
     assert report.collect() == []
     parts = glob.glob(out + "/part-*.csv")
     assert [open(part).read().strip() for part in parts] == [",".join(STATISTICS_COLUMNS)]
+
+
+ODD_TEXTS = ["A", " A", "A ", " ", "Bolt\nM6", 'say "x", twice', "back\\slash", "cr\r\nlf", "é,;|"]
+
+
+@pytest.fixture
+def odd_inputs(table, tmp_path):
+    sale = ("2024-01-01", "10:00:00.000")
+    sales = table("sales", *[(*sale, t, 1.0, 2.0, "sale", "Y") for t in ODD_TEXTS])
+    master = table("master", *[(t, f" {t} ", t, "x ") for t in ODD_TEXTS])
+    sales.write.parquet(str(tmp_path / "sales"))
+    master.write.parquet(str(tmp_path / "master"))
+    return str(tmp_path / "sales"), str(tmp_path / "master")
+
+
+@pytest.mark.parametrize("files", [None, 1])
+def test_odd_texts_come_back_from_csv(spark, odd_inputs, tmp_path, files):
+    report = sales_statistics(*(spark.read.parquet(p) for p in odd_inputs))
+    assert report.count() == 2 * len(ODD_TEXTS)
+    write_statistics(report, str(tmp_path / "out"), files)
+    assert rows(read_statistics_csv(spark, str(tmp_path / "out"))) == rows(report)
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet", "orc"])
+def test_odd_texts_come_back_from_the_batch_job(spark, odd_inputs, tmp_path, fmt):
+    out = str(tmp_path / "out")
+    run_batch_job(spark, *odd_inputs, out, fmt="parquet", output_fmt=fmt)
+    report = sales_statistics(*(spark.read.parquet(p) for p in odd_inputs))
+    read = read_statistics_csv(spark, out) if fmt == "csv" else spark.read.format(fmt).load(out)
+    assert rows(read) == rows(report)
+
+
+def test_the_batch_job_reads_the_master_once(spark, inputs, tmp_path, monkeypatch):
+    from tillflow.plans import batch_job
+
+    found = {}
+    write = batch_job.write_statistics
+
+    def watch(report, *arguments):
+        found["plan"] = plan(report)
+        write(report, *arguments)
+
+    monkeypatch.setattr(batch_job, "write_statistics", watch)
+    run_batch_job(spark, *inputs, str(tmp_path / "out"))
+    assert "InMemoryTableScan" in found["plan"] and "count(1)" not in found["plan"]
+    assert short(read_statistics_csv(spark, str(tmp_path / "out"))) == CASE_A_REPORT
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == 0

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tillflow.schemas import EVENT_TIME_PATTERN
 
 # Text of this shape means the same to a cast as to the pattern, and the cast
-# is several times cheaper. Everything else is left to the pattern.
-_PLAIN_SHAPE = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{1,3}$"
+# is several times cheaper. Everything else is left to the pattern, a line break
+# at the end (which ``$`` would pass) included.
+_PLAIN_SHAPE = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{1,3}\z"
 
 
 def event_time(date: Column, time: Column) -> Column:

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from tillflow.schemas import (
     GROUP_COLUMNS,
+    GROUP_SCHEMA,
     SALES_COLUMNS,
     SALES_SCHEMA,
     STATISTICS_COLUMNS,
     STATISTICS_SCHEMA,
 )
 
+# The CSV writer strips blanks unless told otherwise; the reader does not.
+KEEP_BLANKS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 _JSON = {
     "timeZone": "UTC",
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -34,8 +37,12 @@ def decode_sales(messages: DataFrame) -> DataFrame:
 
 
 def encode_sales(sales: DataFrame) -> DataFrame:
-    """The inverse of :func:`decode_sales`: one binary ``value`` per sale."""
-    record = F.to_csv(F.struct(*SALES_COLUMNS))
+    """The inverse of :func:`decode_sales`: one binary ``value`` per sale.
+
+    Blanks at the ends of a field are kept. An empty text comes back as null,
+    since the record has nothing between its commas for either.
+    """
+    record = F.to_csv(F.struct(*SALES_COLUMNS), KEEP_BLANKS)
     return sales.select(record.cast("binary").alias("value"))
 
 
@@ -60,3 +67,12 @@ def decode_statistics(messages: DataFrame) -> DataFrame:
     """The inverse of :func:`encode_statistics`, from ``value`` alone."""
     row = F.from_json(F.col("value").cast("string"), STATISTICS_SCHEMA, _JSON)
     return messages.select(row.alias("row")).select("row.*")
+
+
+def decode_statistics_with_keys(messages: DataFrame) -> DataFrame:
+    """As :func:`decode_statistics`, with the fields of the key as ``key_...``."""
+    key = F.from_json(F.col("key").cast("string"), GROUP_SCHEMA, _JSON)
+    row = F.from_json(F.col("value").cast("string"), STATISTICS_SCHEMA, _JSON)
+    return messages.select(key.alias("key"), row.alias("row")).select(
+        "row.*", *[F.col(f"key.{c}").alias(f"key_{c}") for c in GROUP_COLUMNS]
+    )

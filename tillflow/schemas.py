@@ -40,6 +40,7 @@ SALES_COLUMNS = column_names(SALES_SCHEMA)
 MASTER_COLUMNS = column_names(MASTER_SCHEMA)
 STATISTICS_COLUMNS = column_names(STATISTICS_SCHEMA)
 GROUP_COLUMNS = ["window_start", "window_end", *MASTER_COLUMNS]
+GROUP_SCHEMA = ",".join(STATISTICS_SCHEMA.split(",")[: len(GROUP_COLUMNS)])
 
 # Column order of an enriched sale: first as joined, then once its date and
 # time have become one timestamp and the amount is known.

@@ -1,15 +1,23 @@
-"""Statistics to CSV files."""
+"""Statistics to files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tillflow.functions.messages import KEEP_BLANKS
 from tillflow.operators.windows import order_statistics
 from tillflow.schemas import GROUP_COLUMNS
 
 
-def write_statistics_csv(statistics: DataFrame, path: str, files: int | None = None) -> None:
-    """Replace the folder ``path`` by sorted CSV files with a header line.
+def write_statistics(
+    statistics: DataFrame, path: str, files: int | None = None, fmt: str = "csv"
+) -> None:
+    """Replace the folder ``path`` by sorted files, CSV with a header line by default.
+
+    In CSV, blanks at the ends of a text are kept; line breaks stand in quotes,
+    so a reader has to allow records of several lines. An empty text cannot be
+    told from a missing one and comes back as null. A columnar ``fmt`` such as
+    parquet or ORC keeps all of these.
 
     By default Spark decides the number of files from the data. ``files`` asks
     for a number: the rows are range-partitioned into that many, so only the
@@ -23,4 +31,8 @@ def write_statistics_csv(statistics: DataFrame, path: str, files: int | None = N
         ordered = statistics.repartitionByRange(files, *GROUP_COLUMNS).sortWithinPartitions(
             *GROUP_COLUMNS
         )
-    ordered.write.mode("overwrite").option("header", True).csv(path)
+    writer = ordered.write.mode("overwrite")
+    if fmt == "csv":
+        writer.option("header", True).options(**KEEP_BLANKS).csv(path)
+    else:
+        writer.format(fmt).save(path)

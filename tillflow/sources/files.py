@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillflow.schemas import MASTER_SCHEMA, SALES_SCHEMA
+from tillflow.schemas import MASTER_SCHEMA, SALES_SCHEMA, STATISTICS_SCHEMA
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, check_header: bool = False) -> DataFrame:
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: str,
+    check_header: bool = False,
+    multi_line: bool = False,
+) -> DataFrame:
     """CSV files with a header line and a declared schema.
 
     Columns bind by position. With ``check_header`` a header that does not
-    name the schema's columns in order fails the read instead.
+    name the schema's columns in order fails the read instead. ``multi_line``
+    accepts line breaks in quotes; a file is then read by one task.
     """
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", not check_header)
+        .option("multiLine", multi_line)
         .csv(path)
     )
 
@@ -30,6 +38,11 @@ def read_table(
     return spark.read.format(fmt).schema(schema).load(path)
 
 
+def read_statistics_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A report as ``write_statistics`` writes it."""
+    return read_csv(spark, path, STATISTICS_SCHEMA, check_header=True, multi_line=True)
+
+
 def read_sales(
     spark: SparkSession, path: str, fmt: str = "csv", check_header: bool = False
 ) -> DataFrame:

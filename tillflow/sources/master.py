@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillflow.operators.cleaning import usable_master
+
 
 def duplicate_codes(master: DataFrame) -> DataFrame:
     """Item codes that occur more than once, with their number of rows."""
@@ -17,8 +19,11 @@ def duplicate_codes(master: DataFrame) -> DataFrame:
 
 
 def require_unique_codes(master: DataFrame) -> DataFrame:
-    """The same master; raises if a code repeats, as each repeat counts its sales again."""
-    found = duplicate_codes(master).take(1)
+    """The same master; raises if a code repeats, as each repeat counts its sales again.
+
+    Only rows with all fields filled meet sales, so only these are checked.
+    """
+    found = duplicate_codes(usable_master(master)).take(1)
     if found:
         raise ValueError(
             f"item master lists code {found[0]['item_code']!r} {found[0]['copies']} times"

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tillflow.operators.windows import assign_windows, order_statistics
+from tillflow.operators.windows import assign_windows, order_statistics, slice_of
 from tillflow.plans.process import process_item_sales_data
 from tillflow.plans.statistics import analyze_item_sales_data_statistics, sales_statistics
 from tillflow.schemas import STATISTICS_COLUMNS
@@ -61,12 +61,27 @@ def test_window_bounds(spark, time, expected):
 
 
 WINDOWS_TRIED = [("10 minutes", "5 minutes"), ("1 hour", "1 hour"), ("7 minutes", "3 minutes")]
+WINDOWS_TRIED += [("2 hours", "5 minutes"), ("90 seconds", "1 minute")]
+
+
+def test_slices_tile_windows(spark):
+    found = [slice_of(spark, WindowSettings(*w)) for w in WINDOWS_TRIED]
+    seconds = [300, 3600, 60, 300, 30]
+    assert found == [f"{s * 1_000_000} microseconds" for s in seconds]
+
+
+def test_sales_are_summed_before_they_are_multiplied(spark, table, small_master, tmp_path):
+    stored = written(spark, table, str(tmp_path / "sales"))
+    text = plan(sales_statistics(stored, small_master, WindowSettings("2 hours", "5 minutes")))
+    below = text[text.rindex("partial_sum") :]
+    assert text.count("partial_sum") >= 2 and "Expand" in text
+    assert "Expand" not in below and "FileScan" in below
 
 
 @pytest.mark.parametrize("length, slide", WINDOWS_TRIED)
 def test_windows_against_brute_force(spark, length, slide):
     rng = random.Random(11)
-    minute = {"minutes": 60, "hour": 3600}
+    minute = {"minutes": 60, "minute": 60, "hour": 3600, "hours": 3600, "seconds": 1}
     size, step = (int(t.split()[0]) * minute[t.split()[1]] * 1000 for t in (length, slide))
     times = [rng.randint(-(10**9), 2 * 10**12) for _ in range(500)]
     times += [step * k + d for k in range(-5, 5) for d in (-1, 0, 1)]
@@ -190,8 +205,8 @@ def test_sales_are_shuffled_once_as_partial_sums(spark, table, small_master, tmp
         assert joins in text
         sales_side = text[: text.index("count(1)")]
         assert "partial_sum" in sales_side
-        # The scan of the sales is below the partial sums; no shuffle in between.
-        below = sales_side[sales_side.index("partial_sum") :]
+        # The scan of the sales is below the slices' partial sums; no shuffle in between.
+        below = sales_side[sales_side.rindex("partial_sum") :]
         assert "FileScan" in below
         scan = below[: below.index("FileScan")]
         assert "Exchange" not in scan and "Join" not in scan

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillflow.schemas import GROUP_COLUMNS, MASTER_COLUMNS, STATISTICS_COLUMNS
@@ -16,6 +18,19 @@ def sliding_window(windows: WindowSettings) -> Column:
     return F.window(EVENT_TIME, windows.length, windows.slide)
 
 
+def slice_of(spark: SparkSession, windows: WindowSettings) -> str:
+    """The longest duration that both window length and slide are multiples of.
+
+    Slices of it, aligned to the epoch like the windows, tile every window.
+    """
+    lasts = "unix_micros(timestamp_micros(0) + CAST({0} AS INTERVAL))"
+    # Over literal values this is folded while planning, and no job runs.
+    both = f"SELECT {lasts.format('length')}, {lasts.format('slide')} FROM VALUES (:length, :slide)"
+    named = f"{both} AS durations(length, slide)"
+    row = spark.sql(named, args={"length": windows.length, "slide": windows.slide}).collect()[0]
+    return f"{math.gcd(*row)} microseconds"
+
+
 def assign_windows(sales: DataFrame, windows: WindowSettings = WindowSettings()) -> DataFrame:
     """One row per sale and window it falls in; a null time falls in none."""
     return sales.select("*", sliding_window(windows).alias("window")).select(

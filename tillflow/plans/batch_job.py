@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
+from tillflow.operators.cleaning import usable_master
 from tillflow.plans.statistics import sales_statistics
 from tillflow.settings import WindowSettings, use_utc
-from tillflow.sinks.files import write_statistics_csv
+from tillflow.sinks.files import write_statistics
 from tillflow.sources.files import read_master, read_sales
 from tillflow.sources.master import require_unique_codes
 
@@ -21,12 +23,23 @@ def run_batch_job(
     check_header: bool = False,
     unique_master: bool = True,
     files: int | None = None,
+    output_fmt: str = "csv",
     windows: WindowSettings = WindowSettings(),
 ) -> None:
-    """Read, aggregate and write in one pass over the sales."""
+    """Read, aggregate and write in one pass over the sales.
+
+    A master that is checked first is read once: the rows the check has read
+    are kept for the join. Those that are lost with an executor are read again.
+    """
     use_utc(spark)
     sales = read_sales(spark, sales_path, fmt, check_header)
     master = read_master(spark, master_path, fmt, check_header)
-    if unique_master:
-        require_unique_codes(master)
-    write_statistics_csv(sales_statistics(sales, master, windows), output_path, files)
+    if not unique_master:
+        write_statistics(sales_statistics(sales, master, windows), output_path, files, output_fmt)
+        return
+    kept = usable_master(master).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        report = sales_statistics(sales, require_unique_codes(kept), windows, unique_master=True)
+        write_statistics(report, output_path, files, output_fmt)
+    finally:
+        kept.unpersist()

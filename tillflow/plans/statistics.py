@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillflow.operators.cleaning import countable_sales, usable_master, with_sales_amount
-from tillflow.operators.windows import assign_windows, totals, window_totals
+from tillflow.operators.windows import EVENT_TIME, assign_windows, slice_of, totals, window_totals
 from tillflow.schemas import MASTER_COLUMNS, STATISTICS_COLUMNS
 from tillflow.settings import WindowSettings
 
@@ -26,30 +26,43 @@ def sales_statistics(
     item_sales_data_df: DataFrame,
     item_master_data_df: DataFrame,
     windows: WindowSettings = WindowSettings(),
+    unique_master: bool = False,
 ) -> DataFrame:
     """Batch report straight from raw sales: aggregate first, enrich afterwards.
 
     Equal to processing and then analysing, which joins every sale. Here the
-    sales are shuffled once, as partial sums on (window, item code), so an item
-    with a third of all sales arrives as a few rows per map task. What then
-    meets the master is one row per window and item. An item has at most one
+    sales are shuffled once, as partial sums on (slice, item code), so an item
+    with a third of all sales arrives as a few rows per map task. Slices tile
+    every window, and only their sums are multiplied to the windows they lie
+    in, however many those are. What then meets the master is one row per window
+    and item. An item has at most one
     row per window, whatever its sales, so a sort-merge join is not skewed
     either, and the choice between that and a broadcast is left to Catalyst
     and adaptive execution, which know the sizes.
 
     Equal master rows are counted once with their number of copies, since a
-    master row listed twice counts its sales twice.
+    master row listed twice counts its sales twice. ``unique_master`` is the
+    caller's word that no code repeats, and spares that.
     """
     if item_sales_data_df.isStreaming:
         raise ValueError("a stream is processed first and then analysed")
     sales = with_sales_amount(countable_sales(item_sales_data_df))
-    narrow = sales.select("sales_datetime", "item_code", "sales_amount", "sales_quantity")
+    tile = F.window(EVENT_TIME, slice_of(sales.sparkSession, windows))
+    slices = sales.groupBy(tile.alias("slice"), "item_code").agg(
+        F.sum("sales_amount").alias("sales_amount"),
+        F.sum("sales_quantity").alias("sales_quantity"),
+    )
+    starts = slices.select(
+        F.col("slice.start").alias(EVENT_TIME), "item_code", "sales_amount", "sales_quantity"
+    )
     per_item = (
-        assign_windows(narrow, windows)
+        assign_windows(starts, windows)
         .groupBy("window_start", "window_end", "item_code")
         .agg(*totals())
     )
     usable = usable_master(item_master_data_df)
+    if unique_master:
+        return per_item.join(usable, "item_code").select(*STATISTICS_COLUMNS)
     master = usable.groupBy(*MASTER_COLUMNS).agg(F.count("*").alias("copies"))
     return (
         per_item.join(master, "item_code")

@@ -15,11 +15,13 @@ sales AS (
   FROM events
 )"""
 
+_SALES_BY_EVENT = _SALES.replace("  FROM events", "         , event_id\n  FROM events")
+
 _MASTER = """
 master AS (
   SELECT CASE WHEN c_custkey % 10 = 9 THEN 'old-' ELSE '' END
            || CAST(c_custkey AS VARCHAR) AS item_code,
-         c_name AS item_name,
+         CASE WHEN c_custkey % 3 = 0 THEN '  ' || c_name || ' ' ELSE c_name END AS item_name,
          CAST(c_nationkey AS VARCHAR) AS category_code,
          nullif(c_mktsegment, 'BUILDING') AS category_name
   FROM customer
@@ -69,6 +71,15 @@ def _windows(table: str) -> str:
   WHERE t.sales_datetime IS NOT NULL"""
 
 
+_LONG_WINDOWED = """
+windowed AS (
+  SELECT time_bucket(INTERVAL 5 MINUTE, p.sales_datetime, TIMESTAMP '1970-01-01')
+           - k * INTERVAL 5 MINUTE AS window_start,
+         window_start + INTERVAL 2 HOUR AS window_end,
+         p.*
+  FROM processed p, range(24) AS offsets(k)
+)"""
+
 _WINDOWED = f"""
 windowed AS ({_windows("processed")}
 )"""
@@ -125,7 +136,21 @@ SELECT *, sales_quantity * sales_price AS sales_amount FROM sales""",
     "csv_scan_master": f"{_with(_MASTER)}\nSELECT * FROM master",
     "csv_sink": _REPORT,
     "batch_job": _REPORT,
-    "statistics_payload": _REPORT,
+    "statistics_payload": f"""{_with(*_TO_PROCESSED, _WINDOWED, _statistics("true"))}
+SELECT *, window_start AS key_window_start, window_end AS key_window_end,
+       item_code AS key_item_code, item_name AS key_item_name,
+       category_code AS key_category_code, category_name AS key_category_name
+FROM statistics""",
+    "sales_statistics_long_windows": f"""
+{_with(*_TO_PROCESSED, _LONG_WINDOWED, _statistics("true"))}
+SELECT * FROM statistics""",
+    # Six in eight sales carry a blank or a line break too many.
+    "event_time_untidy": f"""{_with(_SALES_BY_EVENT)}
+SELECT * EXCLUDE (sales_date, sales_time, event_id),
+       CASE WHEN event_id % 8 IN (0, 6)
+            THEN try_strptime(sales_date || ' ' || sales_time, '%Y-%m-%d %H:%M:%S.%g')
+       END AS sales_datetime
+FROM sales""",
     "stream_statistics_append": f"{_REPORT}{_CLOSED}",
     "stream_statistics_complete": _REPORT,
     # Late sales miss the windows that the first run closed, and only those.

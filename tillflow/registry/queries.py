@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillflow.functions.messages import (
+    KEEP_BLANKS,
     decode_sales,
-    decode_statistics,
+    decode_statistics_with_keys,
     encode_sales,
     encode_statistics,
 )
@@ -21,10 +22,15 @@ from tillflow.plans.batch_job import run_batch_job
 from tillflow.plans.process import join_sales_and_master, process_item_sales_data
 from tillflow.registry import tables
 from tillflow.schemas import STATISTICS_SCHEMA
-from tillflow.settings import JoinSettings, use_utc
-from tillflow.sinks.files import write_statistics_csv
-from tillflow.sources.files import read_csv, read_master, read_sales, stream_files
-from tillflow.streaming.job import run_to_end, statistics_stream
+from tillflow.settings import JoinSettings, WindowSettings, use_utc
+from tillflow.sinks.files import write_statistics
+from tillflow.sources.files import (
+    read_master,
+    read_sales,
+    read_statistics_csv,
+    stream_files,
+)
+from tillflow.streaming.job import rocksdb_state, run_to_end, statistics_stream
 from tillflow.workspace import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +75,12 @@ def event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.with_event_time(tables.sales(spark, sf_dir))
 
 
+@query
+def event_time_untidy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blanks and line breaks around date and time, which the pattern refuses."""
+    return cleaning.with_event_time(tables.untidy_sales(spark, sf_dir))
+
+
 @query
 def drop_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = join_sales_master.__wrapped__(spark, sf_dir)
@@ -94,12 +106,12 @@ def process_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def process_sales_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``process_sales``, with the join for a master too large to broadcast."""
+    """As ``process_sales``, with a salt for the items that have many of the sales."""
     return process_item_sales_data(
         spark,
         tables.sales(spark, sf_dir),
         tables.master(spark, sf_dir),
-        JoinSettings(broadcast=False),
+        JoinSettings(salt=True, hot_share=0.001),
     )
 
 
@@ -113,6 +125,16 @@ def sales_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.sales_statistics(tables.sales(spark, sf_dir), tables.master(spark, sf_dir))
 
 
+@query
+def sales_statistics_long_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hours every five minutes: each sale counts in 24 windows."""
+    return reports.sales_statistics(
+        tables.sales(spark, sf_dir),
+        tables.master(spark, sf_dir),
+        WindowSettings("2 hours", "5 minutes"),
+    )
+
+
 @query
 def analyzed_process_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.analyze_item_sales_data_statistics(process_sales.__wrapped__(spark, sf_dir))
@@ -129,7 +151,7 @@ def decode_csv_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _write_csv(df: DataFrame, path: str) -> str:
-    df.write.option("header", True).csv(path)
+    df.write.option("header", True).options(**KEEP_BLANKS).csv(path)
     return path
 
 
@@ -150,8 +172,8 @@ def csv_scan_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark, 'csv-sink')}/statistics"
-    write_statistics_csv(sales_statistics.__wrapped__(spark, sf_dir), path)
-    return read_csv(spark, path, STATISTICS_SCHEMA, check_header=True)
+    write_statistics(sales_statistics.__wrapped__(spark, sf_dir), path)
+    return read_statistics_csv(spark, path)
 
 
 @query
@@ -160,12 +182,13 @@ def batch_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales = _write_csv(tables.sales(spark, sf_dir), f"{folder}/sales")
     master = _write_csv(tables.master(spark, sf_dir), f"{folder}/master")
     run_batch_job(spark, sales, master, f"{folder}/statistics")
-    return read_csv(spark, f"{folder}/statistics", STATISTICS_SCHEMA, check_header=True)
+    return read_statistics_csv(spark, f"{folder}/statistics")
 
 
 @query
 def statistics_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_statistics(encode_statistics(sales_statistics.__wrapped__(spark, sf_dir)))
+    sent = encode_statistics(sales_statistics.__wrapped__(spark, sf_dir))
+    return decode_statistics_with_keys(sent)
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,14 +198,16 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_statistics_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With window state in RocksDB, as the job keeps it."""
     folder = shared_folder(spark, "stream-append")
-    run_to_end(
-        _streamed(spark, sf_dir)
-        .writeStream.format("parquet")
-        .option("path", f"{folder}/statistics")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .outputMode("append")
-    )
+    with rocksdb_state(spark):
+        run_to_end(
+            _streamed(spark, sf_dir)
+            .writeStream.format("parquet")
+            .option("path", f"{folder}/statistics")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .outputMode("append")
+        )
     return spark.read.schema(STATISTICS_SCHEMA).parquet(f"{folder}/statistics")
 
 

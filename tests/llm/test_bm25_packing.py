@@ -107,7 +107,10 @@ def test_bm25_scores_and_greedy_order():
 
 
 def test_neighbours_share_a_window(spark, documents):
-    texts = [f"common words here {'zebra quagga okapi ' * 30 if i % 10 == 0 else 'filler text ' * 45}{i}" for i in range(200)]
+    texts = [
+        "common words here " + ("zebra quagga okapi " * 30 if i % 10 == 0 else "filler text " * 45) + str(i)
+        for i in range(200)
+    ]
     found = pack_documents(documents(texts), PACKING).collect()
     together = {}
     for r in found:
@@ -121,4 +124,4 @@ def test_crowded_routes_get_several_shards(spark):
     assert found[6][1] == 3 and found[5][1] == 1
     ranges = [set(range(f, f + p)) for r, (f, p) in found.items() if r != 6]
     crowded = set(range(found[6][0], found[6][0] + 3))
-    assert all(not crowded & other for other in ranges) or len(crowded) == 3
+    assert all(not crowded & other for other in ranges)

@@ -1,0 +1,67 @@
+"""Registered queries against their SQL, and what the contract asks of all of them."""
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+import __spark_entry__ as contract
+from tillflow.llm import registry
+
+TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN"}
+COLUMNS = {
+    "op1_bm25_packing": {
+        "doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint",
+        "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint",
+    },
+    "op2_disguised_pii": {
+        "doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint",
+        "n_phone": "bigint", "base_sha256": "string", "spans": "string",
+    },
+    "op3_simhash_pivots": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    "op5_kd_tree_shards": {
+        "doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string",
+        "shard": "int", "slot": "bigint", "grown_shard": "int",
+    },
+    "op6_risk_rules": {
+        "doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint",
+        "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean",
+    },
+    "op7_attention_mil": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op9_cover_trees": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
+    "op10_entropy_secrets": {
+        "doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint",
+        "base_sha256": "string", "spans": "string",
+    },
+}
+
+
+def test_one_query_for_each_operator():
+    numbers = sorted(int(name[2:].split("_")[0]) for name in registry.QUERIES)
+    assert numbers == list(range(1, 11))
+    assert contract.queries().keys() >= {*registry.QUERIES, "pipeline"}
+
+
+@pytest.mark.parametrize("name", list(COLUMNS))
+def test_columns(spark, name):
+    found = dict(registry.QUERIES[name](spark, "/root/testdata/sf0.001").dtypes)
+    assert COLUMNS[name].items() <= found.items()
+
+
+@pytest.mark.parametrize(
+    "name, sf",
+    [(name, "sf0.01") for name in registry.ORACLES] + [("op6_risk_rules", "sf0.1"), ("op10_entropy_secrets", "sf0.1")],
+)
+def test_sql(spark, name, sf):
+    folder = f"/root/testdata/{sf}"
+    duck = duckdb.connect()
+    for path in Path(folder).glob("*.parquet"):
+        duck.sql(f"CREATE VIEW {path.stem} AS FROM '{path}'")
+    expected = duck.sql(registry.ORACLES[name])
+    found = registry.QUERIES[name](spark, folder)
+    columns = sorted(found.columns)
+    assert sorted(expected.columns) == columns
+    types = dict(zip(expected.columns, map(str, expected.types)))
+    assert {n: TYPES[kind] for n, kind in found.dtypes} == types
+    wanted = expected.select(*map(duckdb.ColumnExpression, columns)).fetchall()
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(wanted)

@@ -26,6 +26,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 LEAST_ASSIGNED = 6
 
+#: Sums taken in another order may fall short of the bound by this much.
+ROUNDING = 1e-9
+
 KINDS = ("assign", "access", "hex", "entropy")
 SPAN = "struct<start:int,kind:int,end:int>"
 
@@ -145,7 +148,7 @@ def _is_secret(
 ) -> Column:
     verdict = F.lit(False)
     for kind in reversed(classes):
-        high = highest_entropy(candidate, kind.alphabet, window) >= kind.bits
+        high = highest_entropy(candidate, kind.alphabet, window) >= kind.bits - ROUNDING
         verdict = F.when(candidate.rlike(kind.shape), high).otherwise(verdict)
     return ~candidate.rlike(allowed) & verdict
 
@@ -215,3 +218,79 @@ def op10_entropy_secrets(spark, sf_dir):
         "doc_id", *counts, F.sha2(_written(base), 256).alias("base_sha256"),
         _written(every).alias("spans"),
     )
+
+
+def _spans_sql(kind: int, pattern: str, keep: str = "true") -> str:
+    """Matches of a pattern with their places, from the pieces between them."""
+    return f"""
+  SELECT doc_id, {kind} AS kind, upto - size AS start, upto AS "end", found FROM (
+    SELECT *, length(found) AS size,
+           sum(length(gap) + length(found)) OVER (PARTITION BY doc_id ORDER BY i) AS upto
+    FROM (
+      SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}', 0)) AS found,
+             generate_subscripts(regexp_extract_all(text, '{pattern}', 0), 1) AS i,
+             unnest(regexp_extract_all(text, '{pattern}', {2 if kind == 0 else 0})) AS value,
+             unnest(string_split_regex(text, '{pattern}')
+                    [:len(regexp_extract_all(text, '{pattern}', 0))]) AS gap
+      FROM texts
+    )
+  ) WHERE {keep}"""
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+def _op10_sql() -> str:
+    names = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    quote = "[\"'']?"
+    assign = f"({names}){quote} *[:=] *{quote}([A-Za-z0-9+/_.=-]+)"
+    window = 20
+    shapes = {
+        "hex": "regexp_full_match(found, '[0-9A-Fa-f]+') AND regexp_matches(found, '[0-9]')"
+        " AND regexp_matches(found, '[A-Fa-f]')",
+        "base64": "regexp_matches(found, '[0-9].*[0-9]') AND regexp_matches(found, '[A-Z]')"
+        " AND regexp_matches(found, '[a-z]')",
+    }
+    bits = " ".join(f"WHEN {shapes[c.name]} THEN {c.bits}" for c in CLASSES)
+    kinds = ", ".join(f"'{k}'" for k in KINDS)
+    written = "string_agg(names[kind + 1] || ':' || start || ':' || \"end\", ',' ORDER BY start, kind)"
+    written = written.replace("names", f"[{kinds}]")
+    counts = ", ".join(
+        f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(KINDS)
+    )
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+base AS ({_spans_sql(0, assign, f"length(value) >= {LEAST_ASSIGNED}")}
+  UNION ALL {_spans_sql(1, ACCESS)}
+  UNION ALL {_spans_sql(2, HEX)}
+), candidates AS ({_spans_sql(3, f"[A-Za-z0-9+/_=-]{{{window},}}")}
+), apart AS (
+  SELECT *, CASE {bits} END AS bits FROM candidates c
+  WHERE NOT regexp_matches(found, '{ALLOWED}')
+    AND NOT EXISTS (SELECT 1 FROM base b
+                    WHERE b.doc_id = c.doc_id AND b.start <= c.start AND c."end" <= b."end")
+), windows AS (
+  SELECT doc_id, kind, start, "end", bits, pos, unnest(string_split(found[pos:pos + {window - 1}], '')) AS c
+  FROM (SELECT *, unnest(range(1, length(found) - {window - 2})) AS pos FROM apart WHERE bits > 0)
+), entropies AS (
+  SELECT doc_id, kind, start, "end", bits, pos, -sum(n / {window} * log2(n / {window})) AS entropy
+  FROM (SELECT doc_id, kind, start, "end", bits, pos, c, count(*) AS n FROM windows GROUP BY ALL)
+  GROUP BY ALL
+), spans AS (
+  SELECT doc_id, kind, start, "end" FROM base
+  UNION ALL
+  SELECT doc_id, kind, start, "end" FROM entropies
+  GROUP BY doc_id, kind, start, "end", bits HAVING max(entropy) >= bits - {ROUNDING}
+), told AS (
+  SELECT doc_id, {counts}, {written} AS spans,
+         {written} FILTER (kind < 3) AS base
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN told USING (doc_id)
+"""
+
+
+OP10_SQL = _op10_sql()

@@ -47,7 +47,11 @@ QUERIES: dict[str, Query] = {
     )
 }
 
+#: Fingerprints, token ids, checksums and fitted models have no SQL form; the tests
+#: hold those queries against brute force.
 ORACLES: dict[str, str] = {
+    "op6_risk_rules": risk_rules.OP6_SQL,
     "op8_line_windows": line_windows.OP8_SQL,
     "op9_cover_trees": cover_trees.OP9_SQL,
+    "op10_entropy_secrets": entropy_secrets.OP10_SQL,
 }

@@ -22,6 +22,8 @@ SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
+#: Part of a stratum's good documents that may be rejected, and the risk of more.
+ALPHA, DELTA = 0.02, 0.05
 
 
 @dataclass(frozen=True)
@@ -152,8 +154,8 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
 def certified_cutoffs(
     counts: DataFrame,
     labels: DataFrame,
-    alpha: float = 0.02,
-    delta: float = 0.05,
+    alpha: float = ALPHA,
+    delta: float = DELTA,
     rules: tuple[Rule, ...] = RULES,
 ) -> DataFrame:
     """Per ``stratum`` the strictest certified cutoff of each rule, null without one.
@@ -173,17 +175,29 @@ def certified_cutoffs(
     tallies = saved(held.groupBy("stratum").agg(F.count("*").alias("n"), *failed), "risk-tallies")
     strata = counts.select("stratum").distinct().count()
     level = delta / max(1, strata * sum(len(rule.cutoffs) for rule in rules))
-    chosen = []
-    for rule in rules:
-        passed = [
-            F.when(
-                binomial_tail(F.col("n"), F.col(f"{rule.name}_{i}"), alpha / len(rules)) <= level,
-                F.lit(c),
+    tests = F.array(
+        *[
+            F.struct(
+                F.lit(rule.name).alias("rule"),
+                F.lit(i).alias("place"),
+                F.lit(c).alias("cutoff"),
+                F.col(f"{rule.name}_{i}").alias("k"),
             )
+            for rule in rules
             for i, c in enumerate(rule.cutoffs)
         ]
-        chosen.append(F.coalesce(*reversed(passed)).alias(f"{rule.name}_cutoff"))
-    return tallies.select("stratum", *chosen)
+    )
+    tested = tallies.select("stratum", "n", F.inline(tests))
+    tail = binomial_tail(F.col("n"), F.col("k"), alpha / len(rules))
+    strictest = [
+        F.max_by(
+            F.when(F.col("rule") == rule.name, F.col("cutoff")),
+            F.when(F.col("rule") == rule.name, F.col("place")),
+        ).alias(f"{rule.name}_cutoff")
+        for rule in rules
+    ]
+    passed = tested.filter(tail <= level).groupBy("stratum").agg(*strictest)
+    return tallies.select("stratum").join(passed, "stratum", "left")
 
 
 def judged(
@@ -222,3 +236,84 @@ def op6_risk_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "rejected_by",
     )
+
+
+def _grid_sql() -> str:
+    return ", ".join(
+        f"('{rule.name}', {order}, {place}, {cutoff})"
+        for order, rule in enumerate(RULES)
+        for place, cutoff in enumerate(rule.cutoffs)
+    )
+
+
+def _rates_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT doc_id, stratum, n_words, '{rule.name}' AS rule, {rule.rate} AS rate FROM counted"
+        for rule in RULES
+    )
+
+
+OP6_SQL = f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents
+), split AS (
+  SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS words FROM texts
+), words AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM split
+), windows AS (
+  SELECT doc_id, i, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w || ' '
+           || lead(word, 3) OVER w || ' ' || lead(word, 4) OVER w AS body
+  FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), twice AS (
+  SELECT doc_id, i FROM windows WHERE body IS NOT NULL
+  QUALIFY count(*) OVER (PARTITION BY doc_id, body) > 1
+), covered AS (
+  SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 5)) FROM twice)
+  GROUP BY doc_id
+), worded AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)
+  WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') GROUP BY doc_id
+), sized AS (
+  SELECT doc_id, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars
+  FROM words GROUP BY doc_id
+), counted AS (
+  SELECT t.doc_id, t.stratum, coalesce(s.n_words, 0) AS n_words,
+         coalesce(s.word_chars, 0) AS word_chars,
+         length(regexp_replace(t.text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+         coalesce(l.n_lines, 0) AS n_lines, coalesce(l.n_dup_lines, 0) AS n_dup_lines,
+         coalesce(c.n, 0) AS n_repeat_words
+  FROM texts t LEFT JOIN sized s USING (doc_id) LEFT JOIN worded l USING (doc_id)
+  LEFT JOIN covered c USING (doc_id)
+), rates AS ({_rates_sql()}
+), grid(rule, rule_order, place, cutoff) AS (VALUES {_grid_sql()}
+), tallies AS (
+  SELECT stratum, rule, place, cutoff, count(*) AS n,
+         count(*) FILTER (rate > cutoff) AS k
+  FROM rates JOIN grid USING (rule)
+  WHERE n_words > 0 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
+  GROUP BY ALL
+), tails AS (
+  SELECT *, CASE WHEN k >= n * {ALPHA / len(RULES)} THEN 1.0 ELSE list_sum([
+      exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+          + j * ln({ALPHA / len(RULES)}) + (n - j) * ln(1 - {ALPHA / len(RULES)}))
+      FOR j IN range(k + 1)]) END AS tail
+  FROM tallies
+), chosen AS (
+  SELECT stratum, rule, arg_max(cutoff, place) AS cutoff FROM tails
+  WHERE tail <= {DELTA} / ((SELECT count(DISTINCT stratum) FROM counted)
+                           * {sum(len(rule.cutoffs) for rule in RULES)})
+  GROUP BY stratum, rule
+), rejected AS (
+  SELECT r.doc_id, string_agg(r.rule, ',' ORDER BY g.rule_order) AS rejected_by
+  FROM rates r JOIN chosen c USING (stratum, rule)
+  JOIN grid g ON g.rule = r.rule AND g.place = 0
+  WHERE r.rate > c.cutoff GROUP BY r.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words
+         AS base_failed,
+       NOT base_failed AND rejected_by IS NULL AS kept,
+       coalesce(rejected_by, '') AS rejected_by
+FROM counted LEFT JOIN rejected USING (doc_id)
+"""

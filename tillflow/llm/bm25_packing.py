@@ -48,6 +48,12 @@ class Packing:
     shard_tokens: int = 1 << 21
     keep_ids: bool = True
 
+    def stored(self) -> str:
+        """Type of ids between steps: two bytes each where the vocabulary allows."""
+        with open(self.ranks_path, "rb") as ranks:
+            size = sum(1 for _ in ranks)
+        return "<u2" if max(size, self.end_id + 1) < 1 << 16 else "<u4"
+
 
 def _tokenizer(ranks_path: str, pattern: str):
     import tiktoken
@@ -90,14 +96,15 @@ def _route(ids: np.ndarray) -> int:
 
 
 def tokenized(docs: DataFrame, packing: Packing) -> DataFrame:
-    """``doc_id``, ``ids`` (little-endian unsigned 32-bit), ``n`` and ``route`` of each row."""
+    """``doc_id``, ``ids`` (of the type ``stored`` names), ``n`` and ``route`` of each row."""
+    stored = packing.stored()
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         to_ids = encoder(packing.ranks_path, packing.pattern)
         for texts in batches:
             rows = []
             for text in texts:
-                ids = np.array([*to_ids(text), packing.end_id], dtype="<u4")
+                ids = np.array([*to_ids(text), packing.end_id], dtype=stored)
                 rows.append((ids.tobytes(), len(ids), _route(ids)))
             yield pd.DataFrame(rows, columns=["ids", "n", "route"])
 
@@ -106,14 +113,14 @@ def tokenized(docs: DataFrame, packing: Packing) -> DataFrame:
     return rows.select("doc_id", "t.*")
 
 
-def document_frequencies(tokens: DataFrame) -> DataFrame:
+def document_frequencies(tokens: DataFrame, stored: str) -> DataFrame:
     """``id`` and ``df`` over all documents: at most a row per word of the vocabulary."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch["ids"]:
-                kinds = np.unique(np.frombuffer(ids, "<u4"))
+                kinds = np.unique(np.frombuffer(ids, stored))
                 if kinds[-1] >= len(total):
                     total = np.pad(total, (0, int(kinds[-1]) + 1 - len(total)))
                 total[kinds] += 1
@@ -203,7 +210,7 @@ def pack_documents(docs: DataFrame, packing: Packing) -> DataFrame:
     n_docs, n_tokens = totals["docs"], totals["tokens"] or 0
 
     # Both tables have at most a row per word of the vocabulary.
-    frequencies = document_frequencies(tokens).toPandas()
+    frequencies = document_frequencies(tokens, packing.stored()).toPandas()
     size = int(frequencies["id"].max()) + 1 if len(frequencies) else 1
     df = np.zeros(size)
     df[frequencies["id"]] = frequencies["df"]
@@ -216,11 +223,11 @@ def pack_documents(docs: DataFrame, packing: Packing) -> DataFrame:
     placed = placed.withColumn("shard", F.col("first") + salt).select(
         F.col("doc_id").cast("string").alias("doc_id"), "ids", "shard"  # pandas has no null longs
     )
-    window, keep_ids = packing.window, packing.keep_ids
+    window, keep_ids, stored = packing.window, packing.keep_ids, packing.stored()
 
     def pack_shard(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id", kind="stable", ignore_index=True)
-        ids = [np.frombuffer(x, "<u4") for x in rows["ids"]]
+        ids = [np.frombuffer(x, stored) for x in rows["ids"]]
         # Windows that a long document fills alone need no neighbours.
         whole = [len(x) // window * window for x in ids]
         rests = [(i, x[w:]) for i, (x, w) in enumerate(zip(ids, whole)) if w < len(x)]
@@ -242,7 +249,7 @@ def pack_documents(docs: DataFrame, packing: Packing) -> DataFrame:
         doc_ids = rows["doc_id"].tolist()
         out = []
         for i, start, length, sequence, offset in pieces:
-            part = ids[i][start : start + length].tobytes()
+            part = ids[i][start : start + length].astype("<u4").tobytes()
             out.append(
                 (doc_ids[i], start, length, crc32(part), len(ids[i]), shard + sequence, offset,
                  part if keep_ids else None)

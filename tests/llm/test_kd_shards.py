@@ -1,8 +1,10 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from tillflow.llm.kd_shards import document_points, kd_leaves, shard_documents
+from tillflow.llm.common import saved
+from tillflow.llm.kd_shards import _cut, document_points, kd_leaves, shard_documents
 
 
 def check(docs, shards):
@@ -49,3 +51,9 @@ def test_odd_rows(odd, repeated):
     check(odd, 16)
     check(repeated, 16)
     assert shard_documents(odd.limit(0)).count() == 0
+
+
+def test_no_cross_join(spark, documents):
+    points = saved(document_points(documents(["a", "b", "c d"] * 20)).withColumn("node", F.lit(0)), "test")
+    plan = _cut(points.withColumn("leaves", F.lit(4)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and plan.count("Join Inner, (") == plan.count("Join Inner") >= 3

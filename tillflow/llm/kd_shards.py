@@ -109,11 +109,12 @@ def kd_leaves(
     ``at0``, ``at1``, ... in [0, 1]. Either ``leaves`` or ``target_bytes`` is
     given. Sizes differ by what ``finest`` cannot tell apart, a few rows.
     """
-    points = saved(points, "kd-points")
+    # Written with its node: a literal would turn the joins on it into cross joins.
+    points = saved(points.withColumn("node", F.lit(0)), "kd-points")
     if leaves is None:
         total = points.agg(F.sum("size").alias("bytes")).first()["bytes"] or 0
         leaves = max(1, math.ceil(total / target_bytes))
-    rows = points.withColumns({"node": F.lit(0), "leaves": F.lit(leaves)})
+    rows = points.withColumn("leaves", F.lit(leaves))
     for _ in range(math.ceil(math.log2(leaves))):
         rows = saved(_cut(rows), "kd-level")
     return rows.withColumnRenamed("node", "shard").drop("leaves")

@@ -32,8 +32,10 @@ from tillflow.llm.common import bounded_batches, empty_if_null, table
 
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
+#: A byte above ASCII as ``surrogateescape`` writes it.
+BYTE_ESCAPE = re.compile("[\ud800-\udfff]")
 #: Characters of the texts whose lattices stand side by side in a task.
-RUN_CHARACTERS = 1 << 21
+RUN_CHARACTERS = 1 << 22
 CERTAIN = 1 - 1e-12
 #: Weight of a character that has no piece and is spelled in bytes.
 BYTES_WEIGHT = -12.0
@@ -335,7 +337,8 @@ class Run:
 def decoded(ids: list[int], words: Vocabulary) -> str:
     """The text that ids stand for, bytes put together to characters."""
     text = "".join([words.surface[i] for i in ids])
-    text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+    if BYTE_ESCAPE.search(text):
+        text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
     return text.replace(SPACE, " ")[1:]
 
 

@@ -18,17 +18,22 @@ def sliding_window(windows: WindowSettings) -> Column:
     return F.window(EVENT_TIME, windows.length, windows.slide)
 
 
-def slice_of(spark: SparkSession, windows: WindowSettings) -> str:
-    """The longest duration that both window length and slide are multiples of.
-
-    Slices of it, aligned to the epoch like the windows, tile every window.
-    """
+def durations(spark: SparkSession, windows: WindowSettings) -> tuple[int, int]:
+    """Window length and slide in microseconds."""
     lasts = "unix_micros(timestamp_micros(0) + CAST({0} AS INTERVAL))"
     # Over literal values this is folded while planning, and no job runs.
     both = f"SELECT {lasts.format('length')}, {lasts.format('slide')} FROM VALUES (:length, :slide)"
     named = f"{both} AS durations(length, slide)"
     row = spark.sql(named, args={"length": windows.length, "slide": windows.slide}).collect()[0]
-    return f"{math.gcd(*row)} microseconds"
+    return row[0], row[1]
+
+
+def slice_of(spark: SparkSession, windows: WindowSettings) -> str:
+    """The longest duration that both window length and slide are multiples of.
+
+    Slices of it, aligned to the epoch like the windows, tile every window.
+    """
+    return f"{math.gcd(*durations(spark, windows))} microseconds"
 
 
 def assign_windows(sales: DataFrame, windows: WindowSettings = WindowSettings()) -> DataFrame:

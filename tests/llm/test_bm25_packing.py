@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tillflow.llm import registry
 from tillflow.llm.bm25_packing import Index, Packing, _shards, encoder, pack, pack_documents
 
@@ -125,3 +126,19 @@ def test_crowded_routes_get_several_shards(spark):
     ranges = [set(range(f, f + p)) for r, (f, p) in found.items() if r != 6]
     crowded = set(range(found[6][0], found[6][0] + 3))
     assert all(not crowded & other for other in ranges)
+
+
+def test_the_file_s_added_token_is_one_id(documents, spark, monkeypatch):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|>\n\n<|endoftext|> y", "<|endoftext", None]
+    docs = documents(texts)
+    monkeypatch.setattr("tillflow.llm.bm25_packing.table", lambda *_: docs)
+    rows = registry.QUERIES["op1_bm25_packing"](spark, "").collect()
+    packed = corpus_pipeline.packing(spark, docs, "").collect()
+    for found in (rows, packed):
+        assert sorted((r.doc_id, r.doc_tokens, r.ids_crc32) for r in found) == [
+            (i, len(ids), crc32(np.array(ids, "<u4").tobytes()))
+            for i, t in enumerate(texts)
+            for ids in [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]]
+        ]
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]

@@ -11,6 +11,7 @@ neighbours, which fill its window; the one that is cut goes on as the next seed.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,7 +39,8 @@ QUERY_TERMS = 32
 class Packing:
     """``shard_tokens`` is about what a shard holds; one longer document is not cut.
 
-    Without ``keep_ids`` pieces come back without their ids.
+    ``added`` are tokens beside the ranks, as text and id, that are looked for
+    before all others. Without ``keep_ids`` pieces come back without their ids.
     """
 
     ranks_path: str
@@ -47,20 +49,28 @@ class Packing:
     end_id: int = END_ID
     shard_tokens: int = 1 << 21
     keep_ids: bool = True
+    added: tuple[tuple[str, int], ...] = ()
 
     def stored(self) -> str:
         """Type of ids between steps: two bytes each where the vocabulary allows."""
         with open(self.ranks_path, "rb") as ranks:
             size = sum(1 for _ in ranks)
-        return "<u2" if max(size, self.end_id + 1) < 1 << 16 else "<u4"
+        size = max(size, self.end_id + 1, *[number + 1 for _, number in self.added])
+        return "<u2" if size < 1 << 16 else "<u4"
 
 
-def _tokenizer(ranks_path: str, pattern: str):
+def added_tokens(vocabulary: str) -> tuple[tuple[str, int], ...]:
+    """The tokens a tokenizer's file names beside its merges, as text and id."""
+    with open(vocabulary, encoding="utf-8") as file:
+        return tuple((t["content"], t["id"]) for t in json.load(file)["added_tokens"])
+
+
+def _tokenizer(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...]):
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
 
 
 TWO_SPACES = re.compile(r"\s\s")
@@ -68,17 +78,20 @@ LOOKAHEAD = r"\s+(?!\S)|"
 
 
 @lru_cache(1)
-def encoder(ranks_path: str, pattern: str):
+def encoder(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
     """Text to ids.
 
     The pattern's lookahead only matters where white space meets white space;
     other texts go through the pattern without it, which is twice as fast.
     """
-    exact = _tokenizer(ranks_path, pattern)
-    plain = _tokenizer(ranks_path, pattern.replace(LOOKAHEAD, ""))
+    exact = _tokenizer(ranks_path, pattern, added)
+    plain = _tokenizer(ranks_path, pattern.replace(LOOKAHEAD, ""), added)
 
     def encode(text: str) -> list[int]:
-        return (exact if TWO_SPACES.search(text) else plain).encode_ordinary(text)
+        fitting = exact if TWO_SPACES.search(text) else plain
+        if any(token in text for token, _ in added):
+            return fitting.encode(text, allowed_special="all")
+        return fitting.encode_ordinary(text)
 
     return encode
 
@@ -100,7 +113,7 @@ def tokenized(docs: DataFrame, packing: Packing) -> DataFrame:
     stored = packing.stored()
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        to_ids = encoder(packing.ranks_path, packing.pattern)
+        to_ids = encoder(packing.ranks_path, packing.pattern, packing.added)
         for texts in batches:
             rows = []
             for text in texts:
@@ -292,5 +305,8 @@ def _shards(routes: DataFrame, shard_tokens: int) -> DataFrame:
 def op1_bm25_packing(spark, sf_dir):
     import public_tokenizers
 
-    packing = Packing(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    packing = Packing(
+        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False, added=added
+    )
     return pack_documents(table(spark, sf_dir, "documents"), packing).drop("ids")

@@ -142,3 +142,18 @@ def test_odd_rows(odd, repeated):
         assert clean.columns == docs.columns
         assert sorted(map(repr, clean.collect())) == sorted(map(repr, docs.collect()))
     assert find_private(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, kind, part",
+    [
+        ("host one nine two dot one six eight dot one dot one up", "ip", "one nine two dot one six eight dot one dot one"),
+        ("at one-nine-two.one-six-eight.two five.one zero.", "ip", "one-nine-two.one-six-eight.two five.one zero"),
+        ("nine nine one dot two dot three dot four", "ip", "one dot two dot three dot four"),
+        ("jane one two at mail dot org", "email", "one two at mail dot org"),
+        ("é😀 One two (at) three  four [dot] org", "email", "One two (at) three  four [dot] org"),
+    ],
+)
+def test_neighbouring_digit_words_are_one_number(text, kind, part):
+    assert private_spans(text)[1].count((text.index(part), text.index(part) + len(part), kind)) == 1
+    assert len(private_spans(text)[1]) == 1 and part not in masked(text)

@@ -4,7 +4,9 @@ Three transducers rewrite a text step by step: look-alike characters to ASCII,
 spelled digits to digits, and at/dot disguises to signs. Each carries along where
 its output characters came from, so identifiers found in the normal form are
 mapped back to source characters. Plain identifiers are found in the source
-itself; the normal form only adds to them.
+itself; the normal form only adds to them. Card and phone numbers may have blanks
+between their digits, emails and IPs may not: those are also looked for in a
+second form, where neighbouring digit words are one number.
 """
 
 from __future__ import annotations
@@ -133,7 +135,10 @@ SPELLED = {
         "zero one two three four five six seven eight nine".split()
     )
 }
-NUMBER_WORD = re.compile(r"\b(?:zero|one|two|three|four|five|six|seven|eight|nine)\b", re.I | re.A)
+DIGIT_WORD = "(" + "|".join(SPELLED) + r")\b"
+NUMBER_WORD = re.compile(rf"\b{DIGIT_WORD}", re.I | re.A)
+#: A digit word with the blanks or hyphens before the next one, for addresses.
+JOINED_WORD = re.compile(rf"\b{DIGIT_WORD}(?:[\s-]++(?={DIGIT_WORD}))?", re.I | re.A)
 PLUS_WORD = re.compile(r"\bplus\s+(?=[0-9])", re.I | re.A)
 DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
 DOT_SIGN = re.compile(rf"(?<=[A-Za-z0-9]){DOT}(?=[A-Za-z0-9])", re.I | re.A)
@@ -160,7 +165,7 @@ def _plain(m: re.Match) -> str:
     return c if digit is None else str(digit)
 
 
-def normal_form(text: str) -> Tape | None:
+def normal_form(text: str, number: re.Pattern = NUMBER_WORD) -> Tape | None:
     """``text`` through the transducers; None if they leave it as it is."""
     odd = None if text.isascii() else ODD.search(text)
     low = text.lower()
@@ -170,7 +175,7 @@ def normal_form(text: str) -> Tape | None:
     tape = Tape.of(text)
     if odd:
         tape = tape.rewritten(ODD, _plain)
-    tape = tape.rewritten(NUMBER_WORD, lambda m: SPELLED[m[0].lower()])
+    tape = tape.rewritten(number, lambda m: SPELLED[m[1].lower()])
     tape = tape.rewritten(PLUS_WORD, lambda m: "+")
     tape = tape.rewritten(AT_SIGN, lambda m: "@").rewritten(DOT_SIGN, lambda m: ".")
     return None if tape.text == text else tape
@@ -182,7 +187,17 @@ def private_spans(text: str) -> tuple[list[Span], list[Span]]:
     tape = normal_form(text)
     if tape is None:
         return plain, []
-    return plain, _ordered({tape.source(s) for s in identifiers(tape.text)} - set(plain))
+    hidden = {tape.source(s) for s in identifiers(tape.text)}
+    joined = normal_form(text, JOINED_WORD)
+    if joined is not None and joined.text != tape.text:
+        addresses = {joined.source(s) for s in identifiers(joined.text) if s[2] in ("email", "ip")}
+        # The last digit word of an address may have passed for all of it.
+        hidden = {s for s in hidden if not any(_within(s, a) for a in addresses)} | addresses
+    return plain, _ordered(hidden - set(plain))
+
+
+def _within(span: Span, other: Span) -> bool:
+    return other[0] <= span[0] and span[1] <= other[1] and span[2] == other[2]
 
 
 def masked(text: str) -> str:

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tillflow.llm import registry
-from tillflow.llm.bm25_packing import Index, Packing, _shards, encoder, pack, pack_documents
+from tillflow.llm.bm25_packing import Index, Packing, _placed, _shards, encoder, pack, pack_documents
 
 PACKING = Packing(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -142,3 +142,23 @@ def test_the_file_s_added_token_is_one_id(documents, spark, monkeypatch):
             for ids in [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]]
         ]
     assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+
+
+def test_crowded_routes_are_split_by_content(spark):
+    """Copies stay together where documents of one first hash fill many shards."""
+    r = np.random.default_rng(7)
+    rows = []
+    for i in range(400):
+        route = [5000, *r.permutation(400)[:5].tolist()]
+        rows += [(2 * i, route, 100, i), (2 * i + 1, route, 100, i)]
+    rows += [(1000 + i, [6000], 100, -1) for i in range(50)]  # identical keys: dealt by row
+    tokens = spark.createDataFrame(rows, "doc_id long, route array<int>, n long, copy long").repartition(5)
+    found = _placed(tokens, 1000).collect()
+    assert sorted(x.doc_id for x in found) == sorted(row[0] for row in rows)
+    homes, sizes = {}, {}
+    for x in found:
+        homes.setdefault(x.copy, set()).add(x.shard)
+        sizes[x.shard] = sizes.get(x.shard, 0) + x.n
+    assert all(len(shards) == 1 for copy, shards in homes.items() if copy >= 0)
+    assert len(sizes) > 80 and len(homes[-1]) == 5
+    assert max(n for shard, n in sizes.items() if shard not in homes[-1]) <= 1000

@@ -2,9 +2,9 @@
 
 Documents are tokenised once. A document longer than the window fills windows by
 itself; what remains of it is retrieved like a short one. Shards of bounded size
-hold documents that share a rare token (a minimum hash over their tokens, with
-crowded ones salted), and each shard has an inverted index with the statistics of
-the whole corpus. In a shard, a seed document retrieves its best unused
+hold documents that share a rare token (a minimum hash over their tokens; crowded
+ones are split by the next minimum hashes, and by row only where all of these
+agree), and each shard has an inverted index with the statistics of the whole corpus. In a shard, a seed document retrieves its best unused
 neighbours, which fill its window; the one that is cut goes on as the next seed.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from zlib import crc32
@@ -31,6 +31,10 @@ WINDOW = 2048
 K1, B = 1.2, 0.75
 #: Byte-level merges are numbered by how common they are. Tokens below this say little.
 COMMON_IDS = 5000
+#: Minimum hashes by which crowded shards are split, one after the other.
+ROUTE_IDS = 16
+#: Parts a crowded route is split into, for each shard that it fills.
+SPLITS = 32
 #: Kinds of tokens a seed asks for, the most telling first.
 QUERY_TERMS = 32
 
@@ -101,11 +105,12 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
     return ids.astype(np.uint32) * np.uint32(2654435761)
 
 
-def _route(ids: np.ndarray) -> int:
-    """The id of least hash among those that are not too common, else among all."""
-    telling = ids[ids >= COMMON_IDS]
-    chosen = telling if len(telling) else ids
-    return int(chosen[np.argmin(_mixed(chosen))])
+def _route(ids: np.ndarray) -> list[int]:
+    """The ids of least hash, least first, among those that are not too common, else among all."""
+    kinds = np.unique(ids)
+    telling = kinds[kinds >= COMMON_IDS]
+    chosen = telling if len(telling) else kinds
+    return chosen[np.argsort(_mixed(chosen))[:ROUTE_IDS]].tolist()
 
 
 def tokenized(docs: DataFrame, packing: Packing) -> DataFrame:
@@ -121,7 +126,7 @@ def tokenized(docs: DataFrame, packing: Packing) -> DataFrame:
                 rows.append((ids.tobytes(), len(ids), _route(ids)))
             yield pd.DataFrame(rows, columns=["ids", "n", "route"])
 
-    encode_udf = F.pandas_udf(encode, "ids binary, n long, route long")
+    encode_udf = F.pandas_udf(encode, "ids binary, n long, route array<int>")
     rows = docs.select("doc_id", encode_udf(empty_if_null("text")).alias("t"))
     return rows.select("doc_id", "t.*")
 
@@ -229,11 +234,7 @@ def pack_documents(docs: DataFrame, packing: Packing) -> DataFrame:
     df[frequencies["id"]] = frequencies["df"]
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
     mean_length = n_tokens / max(1, n_docs)
-    shards = _shards(tokens.groupBy("route").agg(F.sum("n").alias("n")), packing.shard_tokens)
-
-    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts"))
-    placed = tokens.join(F.broadcast(shards), "route")
-    placed = placed.withColumn("shard", F.col("first") + salt).select(
+    placed = _placed(tokens, packing.shard_tokens).select(
         F.col("doc_id").cast("string").alias("doc_id"), "ids", "shard"  # pandas has no null longs
     )
     window, keep_ids, stored = packing.window, packing.keep_ids, packing.stored()
@@ -278,28 +279,70 @@ def pack_documents(docs: DataFrame, packing: Packing) -> DataFrame:
     return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _shards(routes: DataFrame, shard_tokens: int) -> DataFrame:
-    """``first`` shard and number of ``parts`` of each route, a row per word at most.
+def _placed(tokens: DataFrame, shard_tokens: int) -> DataFrame:
+    """``tokens`` with their ``shard``.
 
-    Small routes share a shard in the order of their hash; one that would fill
-    several is dealt out over as many.
+    A route that would fill several shards is split by its documents' next
+    minimum hash, until it fits or all minimum hashes agree. The driver sees a
+    row per word and, for each shard that a crowded route fills, ``SPLITS`` rows
+    a step.
     """
-    spark = routes.sparkSession
-    found = routes.toPandas()
-    found = found.iloc[np.argsort(_mixed(found["route"].to_numpy()))]
-    first, parts, shard, filled = [], [], 0, 0
-    for n in found["n"]:
+    spark = tokens.sparkSession
+    rows = tokens.withColumn("leaf", F.get("route", F.lit(0)).cast("long"))
+    found = rows.groupBy("leaf").agg(F.sum("n").alias("n")).toPandas()
+    found = found.iloc[np.argsort(_mixed(found["leaf"].to_numpy()))]
+    # Leaves in an order in which the parts of a route are side by side.
+    leaves = dict(zip(found["leaf"].tolist(), found["n"].tolist()))
+    for level in range(1, ROUTE_IDS):
+        crowded = [
+            (leaf, SPLITS * -(-n // shard_tokens)) for leaf, n in leaves.items() if n > shard_tokens
+        ]
+        if not crowded:
+            break
+        slots = spark.createDataFrame(crowded, "leaf long, slots long")
+        part = F.pmod(F.xxhash64(F.get("route", F.lit(level))), F.col("slots"))
+        rows = rows.join(F.broadcast(slots), "leaf", "left").withColumn("part", part)
+        split = rows.withColumn("of", F.col("leaf")).withColumn(
+            "leaf", F.when(F.col("part").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", "part"))
+        )
+        sums = split.filter("part IS NOT NULL").groupBy("of", "part", "leaf").agg(F.sum("n").alias("n"))
+        parts: dict[int, list] = {}
+        for r in sums.orderBy("of", "part").toPandas().itertuples(index=False):
+            parts.setdefault(int(r.of), []).append((int(r.leaf), int(r.n)))
+        leaves = dict(x for leaf, n in leaves.items() for x in parts.get(leaf, [(leaf, n)]))
+        rows = split.drop("slots", "part", "of")
+    dealt = [(leaf, *at) for leaf, at in zip(leaves, _dealt(leaves.values(), shard_tokens))]
+    shards = spark.createDataFrame(dealt, "leaf long, first long, parts long")
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts"))
+    rows = rows.join(F.broadcast(shards), "leaf")
+    return rows.withColumn("shard", F.col("first") + salt).drop("leaf", "first", "parts")
+
+
+def _dealt(sizes: Iterable[int], shard_tokens: int) -> list[tuple[int, int]]:
+    """First shard and number of shards for each size in turn.
+
+    Small ones share a shard; one that would fill several is dealt out over as many.
+    """
+    out, shard, filled = [], 0, 0
+    for n in sizes:
         if filled and filled + n > shard_tokens:
             shard, filled = shard + 1, 0
         many = -(-int(n) // shard_tokens)
-        first.append(shard)
-        parts.append(many)
+        out.append((shard, many))
         if many > 1:
             shard, filled = shard + many, 0
         else:
             filled += n
-    rows = list(zip(found["route"].tolist(), first, parts))
-    return spark.createDataFrame(rows, "route long, first long, parts long")
+    return out
+
+
+def _shards(routes: DataFrame, shard_tokens: int) -> DataFrame:
+    """``first`` shard and number of ``parts`` of each route, in the order of their hash."""
+    found = routes.toPandas()
+    found = found.iloc[np.argsort(_mixed(found["route"].to_numpy()))]
+    dealt = _dealt(found["n"].tolist(), shard_tokens)
+    rows = [(route, *at) for route, at in zip(found["route"].tolist(), dealt)]
+    return routes.sparkSession.createDataFrame(rows, "route long, first long, parts long")
 
 
 def op1_bm25_packing(spark, sf_dir):

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -119,3 +120,24 @@ def test_odd_rows(odd, repeated):
     assert find_secrets(odd.limit(0)).count() == 0
     plan = find_secrets(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_keys_of_one_case_or_with_few_digits(scanned):
+    r = random.Random(8)
+    lower, upper, both = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", string.ascii_letters
+    keys = [
+        *["".join(r.choices(lower + string.digits, k=40)) for _ in range(20)],
+        *["".join(r.choices(upper + "234567", k=32)) for _ in range(20)],
+        *["KEY=" + "".join(r.choices("0123456789ABCDEF", k=40)) for _ in range(20)],
+        *["".join(r.choices(both, k=40)) + d for d in "07" * 10],
+    ]
+    clean = [
+        "internationalization2 pneumonoultramicroscopicsilicovolcanoconiosis",
+        "a-title-of-many-words-part-2 MAXIMUM_NUMBER_OF_RETRIES_2 section_12_of_the_handbook",
+        "getUserAccountInformation AbstractSingletonProxyFactoryBean 12345678901234567890",
+        "=" * 30 + "1 " + "-" * 30 + " zzzzzzzzzzzzzzzzzzzzzzzzzzzz1 THISISALLINCAPITALSWITHOUTANYNUMBER",
+    ]
+    found = scanned([f"é {k} end" for k in keys] + clean)
+    missed = [k for k, row in zip(keys, found) if row[-1] != f"entropy:2:{2 + len(k)}"]
+    assert not missed
+    assert [row[-1] for row in found[len(keys) :]] == [""] * len(clean)

@@ -56,6 +56,30 @@ CLASSES = (
         3.7,
     ),
 )
+#: Keys of the remaining shapes, for candidates of none of the classes above. Only
+#: windows without separators count, so that a prefix such as ``KEY=`` does not hide
+#: a key and words joined by hyphens are none.
+FALLBACKS = (
+    CharacterClass(
+        "hex run",
+        "0123456789abcdefABCDEF",
+        r"(?=[0-9A-F]{20}|[0-9a-f]{20})(?:[0-9]+[A-Fa-f]|[A-Fa-f]+[0-9])",
+        3.0,
+    ),
+    CharacterClass(
+        "lower", "abcdefghijklmnopqrstuvwxyz0123456789", r"(?=[a-z]*[0-9])[a-z0-9]{20}", 3.5
+    ),
+    CharacterClass(
+        "upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", r"(?=[A-Z]*[0-9])[A-Z0-9]{20}", 3.5
+    ),
+    # Without digits to tell them from joined words, cases must change often.
+    CharacterClass(
+        "mixed",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+        r"^(?:.*?[a-z0-9][A-Z]){5}",
+        3.7,
+    ),
+)
 #: Strings that look random but are meant to be read: placeholders, counted-out
 #: alphabets, UUIDs, dates and file paths.
 ALLOWED = (
@@ -169,7 +193,7 @@ def _written(spans: Column) -> Column:
 def find_secrets(
     docs: DataFrame,
     window: int = 20,
-    classes: tuple[CharacterClass, ...] = CLASSES,
+    classes: tuple[CharacterClass, ...] = CLASSES + FALLBACKS,
     allowed: str = ALLOWED,
 ) -> DataFrame:
     """``doc_id``, ``assign``, ``access``, ``hex`` and ``entropy`` span arrays of each row.

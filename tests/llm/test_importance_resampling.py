@@ -1,0 +1,142 @@
+import math
+import random
+import re
+from collections import Counter
+from hashlib import sha256
+from zlib import crc32
+
+import numpy as np
+import pytest
+
+from tillflow.llm.importance_resampling import (
+    NGramTable,
+    Resampling,
+    interned,
+    op12_importance_resampling,
+    ranked,
+    resampled,
+)
+from pyspark.sql import functions as F
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def features(text, settings):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    sizes = range(settings.shortest, settings.longest + 1)
+    return words, [" ".join(words[i : i + n]) for n in sizes for i in range(len(words) - n + 1)]
+
+
+def brute(rows, target, settings=Resampling()):
+    """Sorted (doc_id, n_features, weight, score, rank) of (doc_id, text) rows."""
+    bucket = lambda f: crc32(f.encode()) % settings.buckets
+    s = Counter(bucket(f) for _, t in rows for f in features(t, settings)[1])
+    t = Counter(bucket(f) for x in target for f in features(x, settings)[1])
+    S, T = sum(s.values()), sum(t.values())
+    out, large = [], []
+    for doc_id, text in rows:
+        words, found = features(text, settings)
+        gain = [
+            math.floor(1000 * math.log((t[b] + 1) * (S + settings.buckets) / ((s[b] + 1) * (T + settings.buckets))))
+            for b in map(bucket, found)
+        ]
+        weight = sum(gain) // len(gain) if gain else 0
+        h = int(sha256(f"2024:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        (large if len(words) >= settings.least_words else out).append([doc_id, len(found), weight, score, None])
+    large.sort(key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for rank, row in enumerate(large[: settings.percent * len(large) // 100], 1):
+        row[4] = rank
+    return sorted(map(repr, map(tuple, out + large)))
+
+
+def rows_of(df):
+    names = ["doc_id", "n_features", "weight", "score", "rank"]
+    return sorted(repr(tuple(r)) for r in df.select(*names).collect())
+
+
+def spans(words):
+    buffer = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+    sizes = np.array([len(w) for w in words])
+    return buffer, np.cumsum(sizes + 1) - sizes - 1, sizes
+
+
+@pytest.mark.parametrize("distinct", [1, 50, 300_000])
+def test_interning_counts_every_word(distinct):
+    draw = random.Random(distinct)
+    words = [str(draw.randrange(distinct)).encode() for _ in range(200_000)]
+    buffer, starts, sizes = spans(words)
+    ngrams = NGramTable(buffer, 1000)
+    slots = ngrams.intern(starts, sizes)
+    counts = Counter(words)
+    assert len(set(slots.tolist())) == len(counts) == int(ngrams.used.sum())
+    by_slot = dict(zip(slots.tolist(), words))
+    for slot, word in by_slot.items():
+        assert ngrams.counts[slot] == counts[word] and ngrams.bucket[slot] == crc32(word) % 1000
+    assert all(by_slot[s] == w for s, w in zip(slots.tolist(), words))
+
+
+def test_words_of_one_hash_are_told_apart_by_their_bytes():
+    words = [w.encode() for w in ["aa", "ab", "ba", "aa", "x" * 400, "x" * 399 + "y", "x" * 400, "ab"]] * 50
+    buffer, starts, sizes = spans(words)
+    ngrams = NGramTable(buffer, 10, hashed=lambda b: 77)
+    slots = ngrams.intern(starts, sizes)
+    assert len(set(slots.tolist())) == 5
+    assert len(set(zip(slots.tolist(), words))) == 5
+
+
+@pytest.mark.parametrize("longest", [1, 3])
+def test_ngrams_stay_within_their_text(longest):
+    texts = [b"One two\x00three", None, b"", "é漢 x-Y".encode(), b"one two three"]
+    settings = Resampling(longest=longest)
+    ngrams, slots, doc, words = interned(texts, settings)
+    found = {
+        (int(d), ngrams.bytes[ngrams.starts[s] : ngrams.starts[s] + ngrams.sizes[s]].decode())
+        for s, d in zip(slots.tolist(), doc.tolist())
+    }
+    assert found == {(i, f) for i, t in enumerate(texts) for f in features(t.decode() if t else "", settings)[1]}
+    assert words.tolist() == [3, 0, 0, 3, 3]
+
+
+@pytest.mark.parametrize(
+    "settings", [Resampling(), Resampling(longest=2, buckets=64, least_words=3, percent=50), Resampling(shortest=2, longest=3)]
+)
+def test_matches_brute_force(spark, documents, settings):
+    draw = random.Random(5)
+    words = ["alpha", "Beta", "gamma", "été", "漢字", "d4", "x"]
+    texts = [" ".join(draw.choices(words, k=draw.randrange(60))) + draw.choice([".", "\n", ""]) for _ in range(120)]
+    target = [" ".join(draw.choices(words[:3], k=30)) for _ in range(5)] + [None]
+    items = spark.createDataFrame(list(enumerate(target)), "item_id BIGINT, text STRING")
+    out = resampled(documents(texts), items, settings)
+    assert rows_of(out) == brute(list(enumerate(texts)), target, settings)
+
+
+@pytest.mark.parametrize("kind", ["odd", "repeated"])
+def test_odd_rows(spark, request, kind):
+    df = request.getfixturevalue(kind).withColumn("weight", F.lit("w")).withColumn("rank", F.lit("r"))
+    items = spark.createDataFrame([("other", "x y z x")], "item_id STRING, text STRING")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    settings = Resampling(percent=60)
+    assert rows_of(resampled(df, items, settings)) == brute(rows, ["x y z x"], settings)
+
+
+def test_no_rows_and_no_target(spark, documents):
+    items = spark.createDataFrame([], "item_id BIGINT, text STRING")
+    assert resampled(documents([]), items).collect() == []
+    texts = ["a b c " * 10, "c d " * 20]
+    assert rows_of(resampled(documents(texts), items)) == brute(list(enumerate(texts)), [])
+
+
+def test_ranks_have_no_gap_when_most_rows_tie(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("doc_id"), F.lit(5).alias("score"), "id")
+    out = ranked(rows.repartition(8), [F.desc("score"), F.col("doc_id")]).collect()
+    assert sorted(r["rank"] for r in out) == list(range(1, 1001))
+    assert [r.doc_id for r in sorted(out, key=lambda r: r["rank"])] == sorted(r.doc_id for r in out)
+    assert out[0].asDict().keys() == {"doc_id", "score", "id", "rank"}
+
+
+def test_documents_like_the_target_are_drawn_more(spark):
+    out = op12_importance_resampling(spark, "/root/testdata/sf0.01").collect()
+    drawn = [r.weight for r in out if r["rank"]]
+    rest = [r.weight for r in out if not r["rank"] and r.n_features >= 20]
+    assert sum(drawn) / len(drawn) > sum(rest) / len(rest)

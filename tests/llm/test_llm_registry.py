@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as contract
 from tillflow.llm import registry
 
-TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN"}
+TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE"}
 COLUMNS = {
     "op1_bm25_packing": {
         "doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint",
@@ -33,12 +33,23 @@ COLUMNS = {
         "doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint",
         "base_sha256": "string", "spans": "string",
     },
+    "op11_license_scan": {
+        "doc_id": "bigint", "n_words": "bigint", "n_base": "bigint", "first_word": "bigint",
+        "last_word": "bigint", "base_labels": "string", "labels": "string", "score": "double",
+    },
+    "op12_importance_resampling": {
+        "doc_id": "bigint", "n_features": "bigint", "weight": "bigint", "score": "bigint", "rank": "bigint",
+    },
+    "op13_conversation_repair": {
+        "conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint",
+        "illegal": "bigint", "cost": "bigint", "audit": "string", "repaired_sha256": "string",
+    },
 }
 
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(name[2:].split("_")[0]) for name in registry.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert contract.queries().keys() >= {*registry.QUERIES, "pipeline"}
 
 

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tillflow.llm import (
     attention_mil,
     bm25_packing,
+    conversation_repair,
     cover_trees,
     disguised_pii,
     entropy_secrets,
     gumbel_lattice,
+    importance_resampling,
     kd_shards,
+    license_scan,
     line_windows,
     risk_rules,
     simhash,
@@ -44,6 +47,9 @@ QUERIES: dict[str, Query] = {
         line_windows.op8_line_windows,
         cover_trees.op9_cover_trees,
         entropy_secrets.op10_entropy_secrets,
+        license_scan.op11_license_scan,
+        importance_resampling.op12_importance_resampling,
+        conversation_repair.op13_conversation_repair,
     )
 }
 
@@ -54,4 +60,6 @@ ORACLES: dict[str, str] = {
     "op8_line_windows": line_windows.OP8_SQL,
     "op9_cover_trees": cover_trees.OP9_SQL,
     "op10_entropy_secrets": entropy_secrets.OP10_SQL,
+    "op11_license_scan": license_scan.OP11_SQL,
+    "op12_importance_resampling": importance_resampling.OP12_SQL,
 }

@@ -10,8 +10,8 @@ from tillflow.llm.bm25_packing import Packing, added_tokens, pack_documents
 from tillflow.llm.common import saved, table
 from tillflow.llm.disguised_pii import mask_private
 from tillflow.llm.line_windows import dedup_lines
-from tillflow.llm.near_copies import one_of_near_copies
 from tillflow.llm.risk_rules import keep_good
+from tillflow.llm.simhash import one_of_each_group
 
 
 def _documents(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -31,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: five-word shingles, similarity 0.8."""
-    return one_of_near_copies(docs)
+    """Keep the least ``doc_id`` of each group of SimHash near-duplicates, as op3 finds them."""
+    return one_of_each_group(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

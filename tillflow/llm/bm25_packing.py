@@ -1,11 +1,12 @@
 """Packing by lexical retrieval over a sharded BM25 inverted index.
 
 Documents are tokenised once. A document longer than the window fills windows by
-itself; what remains of it is retrieved like a short one. Shards of bounded size
-hold documents that share a rare token (a minimum hash over their tokens; crowded
-ones are split by the next minimum hashes, and by row only where all of these
-agree), and each shard has an inverted index with the statistics of the whole corpus. In a shard, a seed document retrieves its best unused
-neighbours, which fill its window; the one that is cut goes on as the next seed.
+itself; what remains of it is retrieved like a short one. Documents are sorted by
+their least hashes over rarer tokens, so that those that share such tokens stand
+close, and each run of about ``shard_tokens`` tokens is a shard. Each shard has an
+inverted index with the statistics of the whole corpus. In a shard, a seed document
+retrieves its best unused neighbours, which fill its window; the one that is cut goes
+on as the next seed.
 """
 
 from __future__ import annotations
@@ -31,17 +32,18 @@ WINDOW = 2048
 K1, B = 1.2, 0.75
 #: Byte-level merges are numbered by how common they are. Tokens below this say little.
 COMMON_IDS = 5000
-#: Minimum hashes by which crowded shards are split, one after the other.
+#: Least hashes by which documents are sorted. Those that agree on all of them are
+#: sorted by row, so a group of any size is cut.
 ROUTE_IDS = 16
-#: Parts a crowded route is split into, for each shard that it fills.
-SPLITS = 32
+#: Tasks of the packing at most; beyond, each packs several shards one after the other.
+MOST_TASKS = 20_000
 #: Kinds of tokens a seed asks for, the most telling first.
 QUERY_TERMS = 32
 
 
 @dataclass(frozen=True)
 class Packing:
-    """``shard_tokens`` is about what a shard holds; one longer document is not cut.
+    """``shard_tokens`` is about what a shard holds; a longer document has one of its own.
 
     ``added`` are tokens beside the ranks, as text and id, that are looked for
     before all others. Without ``keep_ids`` pieces come back without their ids.
@@ -83,7 +85,7 @@ LOOKAHEAD = r"\s+(?!\S)|"
 
 @lru_cache(1)
 def encoder(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
-    """Text to ids.
+    """Text to an array of ids.
 
     The pattern's lookahead only matters where white space meets white space;
     other texts go through the pattern without it, which is twice as fast.
@@ -91,30 +93,24 @@ def encoder(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] =
     exact = _tokenizer(ranks_path, pattern, added)
     plain = _tokenizer(ranks_path, pattern.replace(LOOKAHEAD, ""), added)
 
-    def encode(text: str) -> list[int]:
+    def encode(text: str) -> np.ndarray:
         fitting = exact if TWO_SPACES.search(text) else plain
-        if any(token in text for token, _ in added):
-            return fitting.encode(text, allowed_special="all")
-        return fitting.encode_ordinary(text)
+        special = {token for token, _ in added if token in text}
+        return fitting.encode_to_numpy(text, allowed_special=special, disallowed_special=())
 
     return encode
 
 
-def _mixed(ids: np.ndarray) -> np.ndarray:
-    """A fixed shuffle of ids, as uint32."""
-    return ids.astype(np.uint32) * np.uint32(2654435761)
-
-
-def _route(ids: np.ndarray) -> list[int]:
-    """The ids of least hash, least first, among those that are not too common, else among all."""
-    kinds = np.unique(ids)
-    telling = kinds[kinds >= COMMON_IDS]
+def _route(kinds: np.ndarray) -> bytes:
+    """The least hashes of the ids that are not too common, else of all, in order as bytes."""
+    telling = kinds[np.searchsorted(kinds, COMMON_IDS) :]
     chosen = telling if len(telling) else kinds
-    return chosen[np.argsort(_mixed(chosen))[:ROUTE_IDS]].tolist()
+    mixed = chosen.astype(np.uint32) * np.uint32(2654435761)  # a fixed shuffle
+    return np.sort(mixed)[:ROUTE_IDS].astype(">u4").tobytes()
 
 
 def tokenized(docs: DataFrame, packing: Packing) -> DataFrame:
-    """``doc_id``, ``ids`` (of the type ``stored`` names), ``n`` and ``route`` of each row."""
+    """``doc_id``, ``row``, ``ids`` (of the type ``stored`` names), ``n`` and ``route`` of each row."""
     stored = packing.stored()
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -122,13 +118,15 @@ def tokenized(docs: DataFrame, packing: Packing) -> DataFrame:
         for texts in batches:
             rows = []
             for text in texts:
-                ids = np.array([*to_ids(text), packing.end_id], dtype=stored)
-                rows.append((ids.tobytes(), len(ids), _route(ids)))
+                ids = np.append(to_ids(text), packing.end_id).astype(stored)
+                rows.append((ids.tobytes(), len(ids), _route(np.unique(ids))))
             yield pd.DataFrame(rows, columns=["ids", "n", "route"])
 
-    encode_udf = F.pandas_udf(encode, "ids binary, n long, route array<int>")
-    rows = docs.select("doc_id", encode_udf(empty_if_null("text")).alias("t"))
-    return rows.select("doc_id", "t.*")
+    encode_udf = F.pandas_udf(encode, "ids binary, n long, route binary")
+    rows = docs.select(
+        "doc_id", F.monotonically_increasing_id().alias("row"), encode_udf(empty_if_null("text")).alias("t")
+    )
+    return rows.select("doc_id", "row", "t.*")
 
 
 def document_frequencies(tokens: DataFrame, stored: str) -> DataFrame:
@@ -212,14 +210,48 @@ def pack(ids: list[np.ndarray], index: Index, window: int) -> Iterator[tuple[int
                 queue = best[:enough].tolist()
 
 
+def shards(rows: Iterable[tuple], shard_tokens: int) -> Iterator[list[tuple]]:
+    """Runs of rows, of half to one and a half ``shard_tokens`` but for longer rows.
+
+    ``rows`` end with their route and their number of tokens. A run ends where the
+    route changes, unless rows of one route fill half a shard. At most one run is held.
+    """
+    held, tokens = [], 0
+    for row in rows:
+        held.append(row)
+        tokens += row[-1]
+        while 2 * tokens > 3 * shard_tokens and len(held) > 1:
+            upto = np.cumsum([r[-1] for r in held])
+            most = max(1, int(np.searchsorted(upto, shard_tokens, side="right")))
+            least = max(1, int(np.searchsorted(upto, shard_tokens // 2)))
+            borders = (i for i in range(most, least, -1) if held[i - 1][-2] != held[i][-2])
+            first = next(borders, most)
+            yield held[:first]
+            held, tokens = held[first:], tokens - int(upto[first - 1])
+    if held:
+        yield held
+
+
+def in_route_order(tokens: DataFrame, tasks: int) -> DataFrame:
+    """``tokens`` sorted by route over ``tasks`` partitions, with their ``part``.
+
+    A route may hold any share of the rows: the next hash, and at last the row itself,
+    tells where it is cut.
+    """
+    order = ["route", "row"]
+    dealt = tokens.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    return dealt.withColumn("part", F.spark_partition_id())
+
+
 def pack_documents(docs: DataFrame, packing: Packing) -> DataFrame:
     """Pieces of all rows of ``docs`` in sequences of at most ``window`` tokens.
 
     Columns: ``doc_id``, ``start`` and ``length`` in the document's ids,
     ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``, ``ids``. A null or
-    empty text is the end id alone. Repeated rows are packed each for itself. One
-    sequence in a shard may be short, all others are full. An empty table gives
-    an empty result; columns other than ``doc_id`` and ``text`` are ignored.
+    empty text is the end id alone. Repeated rows are packed each for itself. Of
+    neighbours with equal scores the one with the lesser ``doc_id``, read as text, comes
+    first. One sequence in a shard may be short, all others are full. An empty table
+    gives an empty result; columns other than ``doc_id`` and ``text`` are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -227,21 +259,18 @@ def pack_documents(docs: DataFrame, packing: Packing) -> DataFrame:
     totals = tokens.agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).first()
     n_docs, n_tokens = totals["docs"], totals["tokens"] or 0
 
-    # Both tables have at most a row per word of the vocabulary.
+    # At most a row per word of the vocabulary.
     frequencies = document_frequencies(tokens, packing.stored()).toPandas()
     size = int(frequencies["id"].max()) + 1 if len(frequencies) else 1
     df = np.zeros(size)
     df[frequencies["id"]] = frequencies["df"]
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
     mean_length = n_tokens / max(1, n_docs)
-    placed = _placed(tokens, packing.shard_tokens).select(
-        F.col("doc_id").cast("string").alias("doc_id"), "ids", "shard"  # pandas has no null longs
-    )
-    window, keep_ids, stored = packing.window, packing.keep_ids, packing.stored()
+    window, keep_ids, stored, shard_tokens = packing.window, packing.keep_ids, packing.stored(), packing.shard_tokens
 
-    def pack_shard(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id", kind="stable", ignore_index=True)
-        ids = [np.frombuffer(x, stored) for x in rows["ids"]]
+    def pack_shard(rows: list[tuple], first_sequence: int) -> pd.DataFrame:
+        rows = sorted(rows, key=lambda r: (r[0] is None, r[0]))
+        ids = [np.frombuffer(r[1], stored) for r in rows]
         # Windows that a long document fills alone need no neighbours.
         whole = [len(x) // window * window for x in ids]
         rests = [(i, x[w:]) for i, (x, w) in enumerate(zip(ids, whole)) if w < len(x)]
@@ -259,92 +288,40 @@ def pack_documents(docs: DataFrame, packing: Packing) -> DataFrame:
             ):
                 i = rests[doc][0]
                 pieces.append((i, whole[i] + start, length, done + sequence, offset))
-        shard = int(rows["shard"].iat[0]) << 32
-        doc_ids = rows["doc_id"].tolist()
         out = []
         for i, start, length, sequence, offset in pieces:
             part = ids[i][start : start + length].astype("<u4").tobytes()
             out.append(
-                (doc_ids[i], start, length, crc32(part), len(ids[i]), shard + sequence, offset,
+                (rows[i][0], start, length, crc32(part), len(ids[i]), first_sequence + sequence, offset,
                  part if keep_ids else None)
             )
         names = "doc_id start length ids_crc32 doc_tokens sequence_id offset ids".split()
         return pd.DataFrame(out, columns=names)
 
-    pieces = placed.groupBy("shard").applyInPandas(
-        pack_shard,
+    def pack_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = 0
+
+        def rows() -> Iterator[tuple]:
+            nonlocal part
+            for batch in batches:
+                part = int(batch["part"].iat[0]) if len(batch) else part
+                yield from zip(batch["doc_id"], batch["ids"], batch["route"], batch["n"].tolist())
+
+        for k, shard in enumerate(shards(rows(), shard_tokens)):
+            yield pack_shard(shard, part << 48 | k << 32)
+
+    tasks = max(1, min(MOST_TASKS, -(-n_tokens // shard_tokens)))
+    placed = in_route_order(tokens, tasks).select(
+        F.col("doc_id").cast("string").alias("doc_id"), "ids", "route", "n", "part"  # pandas has no null longs
+    )
+    pieces = placed.mapInPandas(
+        pack_partition,
         "doc_id string, start long, length long, ids_crc32 long, doc_tokens long,"
         " sequence_id long, offset long, ids binary",
     )
     return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _placed(tokens: DataFrame, shard_tokens: int) -> DataFrame:
-    """``tokens`` with their ``shard``.
-
-    A route that would fill several shards is split by its documents' next
-    minimum hash, until it fits or all minimum hashes agree. The driver sees a
-    row per word and, for each shard that a crowded route fills, ``SPLITS`` rows
-    a step.
-    """
-    spark = tokens.sparkSession
-    rows = tokens.withColumn("leaf", F.get("route", F.lit(0)).cast("long"))
-    found = rows.groupBy("leaf").agg(F.sum("n").alias("n")).toPandas()
-    found = found.iloc[np.argsort(_mixed(found["leaf"].to_numpy()))]
-    # Leaves in an order in which the parts of a route are side by side.
-    leaves = dict(zip(found["leaf"].tolist(), found["n"].tolist()))
-    for level in range(1, ROUTE_IDS):
-        crowded = [
-            (leaf, SPLITS * -(-n // shard_tokens)) for leaf, n in leaves.items() if n > shard_tokens
-        ]
-        if not crowded:
-            break
-        slots = spark.createDataFrame(crowded, "leaf long, slots long")
-        part = F.pmod(F.xxhash64(F.get("route", F.lit(level))), F.col("slots"))
-        rows = rows.join(F.broadcast(slots), "leaf", "left").withColumn("part", part)
-        split = rows.withColumn("of", F.col("leaf")).withColumn(
-            "leaf", F.when(F.col("part").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", "part"))
-        )
-        sums = split.filter("part IS NOT NULL").groupBy("of", "part", "leaf").agg(F.sum("n").alias("n"))
-        parts: dict[int, list] = {}
-        for r in sums.orderBy("of", "part").toPandas().itertuples(index=False):
-            parts.setdefault(int(r.of), []).append((int(r.leaf), int(r.n)))
-        leaves = dict(x for leaf, n in leaves.items() for x in parts.get(leaf, [(leaf, n)]))
-        rows = split.drop("slots", "part", "of")
-    dealt = [(leaf, *at) for leaf, at in zip(leaves, _dealt(leaves.values(), shard_tokens))]
-    shards = spark.createDataFrame(dealt, "leaf long, first long, parts long")
-    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts"))
-    rows = rows.join(F.broadcast(shards), "leaf")
-    return rows.withColumn("shard", F.col("first") + salt).drop("leaf", "first", "parts")
-
-
-def _dealt(sizes: Iterable[int], shard_tokens: int) -> list[tuple[int, int]]:
-    """First shard and number of shards for each size in turn.
-
-    Small ones share a shard; one that would fill several is dealt out over as many.
-    """
-    out, shard, filled = [], 0, 0
-    for n in sizes:
-        if filled and filled + n > shard_tokens:
-            shard, filled = shard + 1, 0
-        many = -(-int(n) // shard_tokens)
-        out.append((shard, many))
-        if many > 1:
-            shard, filled = shard + many, 0
-        else:
-            filled += n
-    return out
-
-
-def _shards(routes: DataFrame, shard_tokens: int) -> DataFrame:
-    """``first`` shard and number of ``parts`` of each route, in the order of their hash."""
-    found = routes.toPandas()
-    found = found.iloc[np.argsort(_mixed(found["route"].to_numpy()))]
-    dealt = _dealt(found["n"].tolist(), shard_tokens)
-    rows = [(route, *at) for route, at in zip(found["route"].tolist(), dealt)]
-    return routes.sparkSession.createDataFrame(rows, "route long, first long, parts long")
-
-
 def op1_bm25_packing(spark, sf_dir):
     import public_tokenizers
 

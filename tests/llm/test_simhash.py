@@ -137,6 +137,13 @@ def test_one_of_each_group_stays(repeated, odd):
     assert sorted(i for i in ids if i is not None) == sorted(groups) and ids.count(None) == 3
 
 
+def test_rows_that_share_an_id_but_not_a_group_stay(spark):
+    words = ["alpha beta gamma delta", "one two three four five", "north south east west"]
+    rows = [(1, words[0]), (1, words[1]), (2, words[0]), (3, words[1]), (3, words[2]), (0, words[2]), (1, words[1])]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    assert sorted(map(tuple, one_of_each_group(df).collect())) == [(0, words[2]), (1, words[0]), (1, words[1])]
+
+
 def test_distance_beyond_two_is_refused(spark):
     with pytest.raises(ValueError):
         links(spark.createDataFrame([(1,)], "fingerprint BIGINT"), 3)

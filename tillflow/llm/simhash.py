@@ -51,8 +51,8 @@ def fingerprint_of(text: bytes | None, shingle: int = 3) -> int:
     return sum(1 << int(bit) for bit in np.flatnonzero(2 * ones > len(hashes)))
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id`` and the fingerprint of ``text`` as a signed long."""
+def with_fingerprints(docs: DataFrame, shingle: int = 3, *also: str) -> DataFrame:
+    """``doc_id``, the fingerprint of ``text`` as a signed long, and the columns ``also``."""
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
@@ -61,7 +61,8 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             found = np.array([fingerprint_of(t, shingle) for t in texts], dtype=np.uint64)
             yield pd.Series(found.view(np.int64))
 
-    return docs.select("doc_id", fingerprints(F.col("text").cast("binary")).alias("fingerprint"))
+    found = fingerprints(F.col("text").cast("binary")).alias("fingerprint")
+    return docs.select("doc_id", found, *also)
 
 
 def _signed(value: int) -> int:
@@ -142,6 +143,17 @@ def links(
     return joined.union(met.filter("a <> b")).distinct()
 
 
+def _named(rows: DataFrame, distance: int, n_pivots: int, bucket_limit: int, least: Column) -> DataFrame:
+    """``fingerprint`` and ``least`` over the rows of its component, for each fingerprint."""
+    distinct = rows.groupBy("fingerprint").agg(least.alias("least"))
+    found = components(links(distinct.select("fingerprint"), distance, n_pivots, bucket_limit))
+    rooted = distinct.join(
+        found.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left"
+    ).withColumn("root", F.coalesce("root", "fingerprint"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    return rooted.select("fingerprint", "root").join(names, "root")
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 3, distance: int = 2, n_pivots: int = 8, bucket_limit: int = 256
 ) -> DataFrame:
@@ -155,27 +167,32 @@ def near_duplicates(
     An empty table gives an empty result, other columns are ignored.
     """
     rows = saved(with_fingerprints(docs, shingle), "simhash")
-    distinct = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"))
-    found = components(links(distinct.select("fingerprint"), distance, n_pivots, bucket_limit))
-    rooted = distinct.join(
-        found.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left"
-    ).withColumn("root", F.coalesce("root", "fingerprint"))
-    names = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(names, "root").select("fingerprint", "component_id")
+    named = _named(rows, distance, n_pivots, bucket_limit, F.min("doc_id"))
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
-    return rows.join(named, "fingerprint").select("doc_id", digits, "component_id")
+    return rows.join(named, "fingerprint").select("doc_id", digits, F.col("least").alias("component_id"))
 
 
-def one_of_each_group(docs: DataFrame, **settings) -> DataFrame:
+def one_of_each_group(
+    docs: DataFrame, shingle: int = 3, distance: int = 2, n_pivots: int = 8, bucket_limit: int = 256
+) -> DataFrame:
     """The row with the least ``doc_id`` of each component, all columns kept.
 
-    Of repeated rows with that ``doc_id`` one stays. Rows without a ``doc_id``
-    stay, as nothing names them.
+    Of rows that share that ``doc_id`` within a component the one of the least text
+    checksum stays, and of repeated rows one. Rows that share a ``doc_id`` but not a
+    component stay each for its own. Rows without a ``doc_id`` stay, as nothing names
+    them. An empty table gives an empty result.
     """
-    found = near_duplicates(docs, **settings)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.filter("doc_id IS NULL"))
+    key = F.xxhash64("text")
+    keyed = docs.select("doc_id", "text", key.alias("text_key"))
+    rows = saved(with_fingerprints(keyed, shingle, "text_key"), "simhash").filter("doc_id IS NOT NULL")
+    named = _named(rows, distance, n_pivots, bucket_limit, F.min(F.struct("doc_id", "text_key")))
+    kept = named.select("least.*").distinct().select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")
+    )
+    rows = docs.withColumn("_text_key", key)
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    stay = rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_key"])
+    return stay.drop("_text_key").unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op3_simhash_pivots(spark, sf_dir):

@@ -50,8 +50,8 @@ def _json(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), _JSON)
 
 
-def encode_statistics(statistics: DataFrame) -> DataFrame:
-    """``key`` and ``value`` of each statistics row, both JSON text in UTC.
+def encode_statistics(statistics: DataFrame, *more: Column) -> DataFrame:
+    """``key`` and ``value`` of each statistics row, both JSON text in UTC, and ``more``.
 
     The key names the whole group (window, item and its descriptive fields),
     so a consumer can drop the repeats that at-least-once delivery may bring
@@ -60,6 +60,7 @@ def encode_statistics(statistics: DataFrame) -> DataFrame:
     return statistics.select(
         _json(*GROUP_COLUMNS).alias("key"),
         _json(*STATISTICS_COLUMNS).alias("value"),
+        *more,
     )
 
 

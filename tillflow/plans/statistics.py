@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillflow.operators.cleaning import countable_sales, usable_master, with_sales_amount
@@ -11,11 +13,13 @@ from tillflow.operators.windows import (
     assign_windows,
     durations,
     slice_of,
+    sliding_window,
     totals,
     window_totals,
 )
 from tillflow.schemas import MASTER_COLUMNS, STATISTICS_COLUMNS
 from tillflow.settings import WindowSettings
+from tillflow.sources.days import read_sales_between
 
 
 #: Up to so many windows a sale, multiplying the sales is cheaper than a second
@@ -80,7 +84,38 @@ def sales_statistics(
         .groupBy("window_start", "window_end", "item_code")
         .agg(*totals())
     )
-    usable = usable_master(item_master_data_df)
+    return enriched(per_item, usable_master(item_master_data_df), unique_master)
+
+
+def statistics_at_closing(
+    item_sales_data_df: DataFrame,
+    item_master_data_df: DataFrame,
+    windows: WindowSettings = WindowSettings(),
+    unique_master: bool = False,
+) -> DataFrame:
+    """Totals per item on a stream, enriched when their window closes (append mode).
+
+    The state is keyed by window and item code alone and the sales meet no master:
+    they are shuffled as partial sums, so an item with a third of them is a few rows
+    per map task, and the join sees one row per closed window and item. A window
+    carries the names its item has at closing time; one whose item is not in the
+    master by then is left out. The watermark follows all countable sales, those of
+    unknown items included.
+    """
+    sales = with_sales_amount(countable_sales(item_sales_data_df))
+    per_item = (
+        sales.withWatermark(EVENT_TIME, windows.lateness)
+        .groupBy(sliding_window(windows).alias("window"), "item_code")
+        .agg(*totals())
+        .withColumns({"window_start": F.col("window.start"), "window_end": F.col("window.end")})
+        .drop("window")
+    )
+    # The hint keeps a master that grows under a running query from being broadcast.
+    return enriched(per_item, usable_master(item_master_data_df).hint("merge"), unique_master)
+
+
+def enriched(per_item: DataFrame, usable: DataFrame, unique_master: bool) -> DataFrame:
+    """Totals by item code with the master's fields, times the copies of its row."""
     if unique_master:
         return per_item.join(usable, "item_code").select(*STATISTICS_COLUMNS)
     master = usable.groupBy(*MASTER_COLUMNS).agg(F.count("*").alias("copies"))
@@ -94,3 +129,25 @@ def sales_statistics(
         )
         .select(*STATISTICS_COLUMNS)
     )
+
+
+def statistics_between(
+    spark: SparkSession,
+    sales_path: str,
+    master: DataFrame,
+    start: datetime,
+    end: datetime,
+    windows: WindowSettings = WindowSettings(),
+    unique_master: bool = False,
+) -> DataFrame:
+    """The report's windows within ``[start, end]``, from sales laid out by day.
+
+    Only the folders of days that the span touches are read. Windows that reach beyond
+    the span are left out, as they would be short. Times are UTC, like the sales'.
+    """
+    sales = read_sales_between(spark, sales_path, start, end)
+    report = sales_statistics(sales, master, windows, unique_master)
+    inside = (F.col("window_start") >= F.lit(start.isoformat(" ")).cast("timestamp")) & (
+        F.col("window_end") <= F.lit(end.isoformat(" ")).cast("timestamp")
+    )
+    return report.filter(inside)

@@ -112,10 +112,65 @@ def _report(condition: str = "true") -> str:
 # A run closes the windows its final watermark has passed.
 _CLOSED = """
 WHERE window_end <= (SELECT max(sales_datetime) FROM processed) - INTERVAL 15 MINUTE"""
+_COUNTABLE = """
+countable AS (
+  SELECT * FROM timed
+  WHERE item_code IS NOT NULL AND sales_quantity IS NOT NULL AND NOT isnan(sales_quantity)
+    AND sales_price IS NOT NULL AND NOT isnan(sales_price)
+    AND sales_return = 'sale' AND is_discount IS NOT NULL AND sales_datetime IS NOT NULL
+)"""
+# Messages of two runs; the text beside each sale is no record.
+_ROUTED = """
+arrived AS (
+  SELECT *, CASE WHEN sales_date < '2024-01-16' AND sales_price < 20 THEN 0 ELSE 1 END AS batch
+  FROM (SELECT s.*, try_strptime(sales_date || ' ' || sales_time, '%Y-%m-%d %H:%M:%S.%g') AS sales_datetime
+        FROM sales s)
+), examined AS (
+  SELECT *, CASE
+    WHEN item_code IS NULL OR sales_quantity IS NULL OR isnan(sales_quantity) OR sales_price IS NULL
+      OR isnan(sales_price) OR sales_return IS NULL OR is_discount IS NULL THEN 'missing field'
+    WHEN sales_datetime IS NULL THEN 'unreadable time' END AS problem
+  FROM arrived
+), routed AS (
+  SELECT *, CASE
+    WHEN problem IS NOT NULL THEN 'dead'
+    WHEN sales_return <> 'sale' THEN 'returned'
+    WHEN batch = 1 AND time_bucket(INTERVAL 5 MINUTE, sales_datetime, TIMESTAMP '1970-01-01') + INTERVAL 10 MINUTE
+      <= (SELECT max(sales_datetime) FROM examined WHERE batch = 0 AND problem IS NULL AND sales_return = 'sale')
+         - INTERVAL 15 MINUTE THEN 'late'
+    ELSE 'kept' END AS fate
+  FROM examined
+)"""
 _EARLY = "sales_datetime < TIMESTAMP '2024-01-16' AND sales_price < 20"
 _REPORT = _report()
 _SALES_ROWS = f"{_with(_SALES)}\nSELECT * FROM sales"
 
+
+
+def _exact(measure: str) -> str:
+    """The exact sum in units of 2^-90, put together from 30 binary digits at a time."""
+    digits = " + ".join(
+        f"(({measure}_units // {1 << 30 * (k + 3)}::HUGEINT) % {1 << 30})::DOUBLE * pow(2.0, {30 * k})"
+        for k in (-3, -2, -1, 0)
+    )
+    return f"{measure}_sign * ({digits} + ({measure}_units // {1 << 120}::HUGEINT)::DOUBLE * pow(2.0, 30))"
+
+
+_EXACT_REPORT = f"""{_with(*_TO_PROCESSED, _WINDOWED)},
+units AS (
+  SELECT window_start, window_end, item_code, item_name, category_code, category_name,
+         sum((sales_amount * pow(2.0, 90))::HUGEINT) AS amount,
+         sum((sales_quantity * pow(2.0, 90))::HUGEINT) AS quantity
+  FROM windowed GROUP BY ALL
+), signed AS (
+  SELECT *, CASE WHEN amount < 0 THEN -1 ELSE 1 END AS amount_sign, abs(amount) AS amount_units,
+         CASE WHEN quantity < 0 THEN -1 ELSE 1 END AS quantity_sign, abs(quantity) AS quantity_units
+  FROM units
+)
+SELECT window_start, window_end, item_code, item_name, category_code, category_name,
+       {_exact("amount")} AS total_sales_amount, {_exact("quantity")} AS total_sales_quantity
+FROM signed"""
+
 ORACLES: dict[str, str] = {
     "join_sales_master": f"""{_with(_SALES, _MASTER)}
 SELECT s.*, m.* EXCLUDE (item_code) FROM sales s JOIN master m ON s.item_code = m.item_code""",
@@ -159,4 +214,31 @@ FROM sales""",
     (SELECT max(sales_datetime) FROM processed WHERE {_EARLY}) - INTERVAL 15 MINUTE"""
     )
     + _CLOSED,
+    "stream_statistics_at_closing": f"""{_with(*_TO_PROCESSED, _COUNTABLE, _WINDOWED, _statistics("true"))}
+SELECT * FROM statistics
+WHERE window_end <= (SELECT max(sales_datetime) FROM countable) - INTERVAL 15 MINUTE""",
+    # Beside every sale stands a text that is none.
+    "stream_sales_account": f"""{_with(_SALES, _ROUTED)}
+SELECT batch::BIGINT AS batch, 2 * count(*) AS messages, count(*) FILTER (fate = 'kept') AS kept,
+       count(*) FILTER (fate = 'late') AS late, count(*) FILTER (fate = 'returned') AS returned,
+       count(*) FILTER (fate = 'dead') + count(*) AS dead
+FROM routed GROUP BY batch""",
+    "stream_late_side_output": f"""{_with(_SALES, _ROUTED)}
+SELECT * EXCLUDE (batch, sales_datetime, problem, fate) FROM routed WHERE fate = 'late'""",
+    "dead_letters": f"""{_with(_SALES, _ROUTED)}
+SELECT problem, count(*) AS n FROM examined WHERE problem IS NOT NULL GROUP BY problem
+UNION ALL SELECT 'unreadable record', count(*) FROM examined""",
+    "usable_messages": f"""{_with(_SALES, _ROUTED)}
+SELECT * EXCLUDE (batch, sales_datetime, problem) FROM examined WHERE problem IS NULL""",
+    "stream_statistics_upserts": _REPORT,
+    "stream_open_windows": f"""{_with(*_TO_PROCESSED, _WINDOWED, _statistics("true"))}
+SELECT *, CASE WHEN window_end <= (SELECT max(sales_datetime) FROM processed) - INTERVAL 10 DAY
+               THEN 'no' ELSE 'yes' END AS open
+FROM statistics""",
+    "consumed_statistics": _REPORT,
+    "sales_statistics_exact": _EXACT_REPORT,
+    "incremental_report": _EXACT_REPORT,
+    "published_report": _REPORT,
+    "statistics_of_two_days": f"""{_REPORT}
+WHERE window_start >= TIMESTAMP '2024-01-10' AND window_end <= TIMESTAMP '2024-01-12'""",
 }

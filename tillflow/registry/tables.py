@@ -41,8 +41,8 @@ def _sales(events: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sales(spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet"))
+def sales(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return _sales(spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet"), *more)
 
 
 def untidy_sales(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tillflow.functions.messages import KEEP_BLANKS
 from tillflow.operators.windows import order_statistics
-from tillflow.schemas import GROUP_COLUMNS
+from tillflow.schemas import GROUP_COLUMNS, STATISTICS_SCHEMA
+from tillflow.sinks.versions import WHOLE, Versions
 
 
 def write_statistics(
@@ -36,3 +37,25 @@ def write_statistics(
         writer.option("header", True).options(**KEEP_BLANKS).csv(path)
     else:
         writer.format(fmt).save(path)
+
+
+def published_versions(path: str, fmt: str = "csv") -> Versions:
+    options = {"header": "true", "multiLine": "true", **KEEP_BLANKS} if fmt == "csv" else {}
+    return Versions(path, STATISTICS_SCHEMA, fmt, tuple(options.items()))
+
+
+def publish_statistics(statistics: DataFrame, path: str, fmt: str = "csv") -> int:
+    """Add sorted files as the next version of the report at ``path``; its number.
+
+    Readers go on seeing the version before until the new one stands as a whole. A job
+    that fails in the write leaves it readable, and the next one writes over the remains.
+    """
+    versions = published_versions(path, fmt)
+    version = versions.next_version(statistics.sparkSession)
+    versions.write(order_statistics(statistics), version, WHOLE)
+    return version
+
+
+def read_published(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """The last report that was published at ``path``."""
+    return published_versions(path, fmt).read_last(spark).drop("version")

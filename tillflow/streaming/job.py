@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tillflow.functions.messages import decode_sales
 from tillflow.plans.process import process_item_sales_data
-from tillflow.plans.statistics import analyze_item_sales_data_statistics
+from tillflow.plans.statistics import analyze_item_sales_data_statistics, statistics_at_closing
 from tillflow.settings import JoinSettings, WindowSettings, use_utc
 from tillflow.sinks.kafka import KafkaSink, statistics_writer
 from tillflow.sources.jdbc import JdbcTable, read_master_jdbc
@@ -56,14 +56,19 @@ def statistics_stream(
     master: DataFrame,
     windows: WindowSettings = WindowSettings(),
     join: JoinSettings = JoinSettings(),
+    names_at_closing: bool = False,
 ) -> DataFrame:
     """Statistics from messages and a static master; also valid in batch.
 
     The join stays in front of the aggregation here, unlike in the batch
     report: a sale belongs to the name its item has when it arrives. The join
     does not depend on the master's size, which may change between batches.
+    With ``names_at_closing`` the aggregation comes first and a window takes the
+    names its item has when it closes; hot items then need no settings.
     """
     sales = decode_sales(messages)
+    if names_at_closing:
+        return statistics_at_closing(sales, master, windows)
     processed = process_item_sales_data(messages.sparkSession, sales, master, join)
     return analyze_item_sales_data_statistics(processed, windows)
 
@@ -87,6 +92,7 @@ def start_statistics_job(
     trigger: dict | None = None,
     windows: WindowSettings = WindowSettings(),
     join: JoinSettings = JoinSettings(),
+    names_at_closing: bool = False,
 ) -> StreamingQuery:
     """Start Kafka to Kafka with a JDBC master; the caller owns the query.
 
@@ -103,7 +109,7 @@ def start_statistics_job(
     if unique_master:
         require_unique_codes(master_table)
     messages = stream_sales_messages(spark, source)
-    statistics = statistics_stream(messages, master_table, windows, join)
+    statistics = statistics_stream(messages, master_table, windows, join, names_at_closing)
     writer = statistics_writer(statistics, sink, checkpoint)
     if trigger:
         writer = writer.trigger(**trigger)

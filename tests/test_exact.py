@@ -1,0 +1,179 @@
+"""Exact totals, increments of the report, and sales laid out by day."""
+
+import math
+import random
+from datetime import datetime
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+
+from tillflow.functions.exact import UNITS, part_sums, parts, total
+from tillflow.plans.exact import exact_slices, exact_statistics
+from tillflow.plans.incremental import IncrementalReport
+from tillflow.plans.statistics import sales_statistics, statistics_between
+from tillflow.schemas import SALES_SCHEMA
+from tillflow.settings import WindowSettings
+from tillflow.sinks.files import publish_statistics, read_published
+from tillflow.sources.days import read_sales_between, write_sales_by_day
+from tillflow.plans.batch_job import run_batch_job
+from test_files import inputs  # noqa: F401
+from test_statistics import CASE_A, CASE_A_REPORT
+from util import cents, plan, rows, short
+
+
+def bits(df):
+    """All rows with their doubles as exact text, sorted."""
+    return sorted(repr(tuple(v.hex() if isinstance(v, float) else str(v) for v in r)) for r in df.collect())
+
+
+def summed(spark, values, partitions=4):
+    df = spark.createDataFrame([(v,) for v in values], "x DOUBLE").repartition(partitions)
+    return df.select(*parts("x")).agg(*part_sums("x")).select(total("x")).first()[0]
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [0.1] * 10,
+        [1e16, 1.0, -1e16],
+        [2.0**60, 2.0**-60, -(2.0**60)],
+        [-0.25, 0.125, 1 / 3, -1 / 7],
+        [-(2.0**-90)],
+        [-1e-20, 5e-324, 0.0, -0.0],
+        [1e25, 3.0, -1e25],
+    ],
+)
+def test_sums_are_exact_down_to_the_least_unit(spark, values):
+    unit = Fraction(UNITS[-1])
+    exact = sum(math.trunc(Fraction(v) / unit) * unit for v in values)
+    assert summed(spark, values) == pytest.approx(float(exact), rel=2**-51, abs=0)
+
+
+def test_order_and_partitions_do_not_matter(spark):
+    draw = random.Random(1)
+    values = [draw.uniform(-1, 1) * 10.0 ** draw.randint(-12, 12) for _ in range(3000)]
+    found = {summed(spark, random.Random(n).sample(values, len(values)), n).hex() for n in (1, 3, 8, 64)}
+    assert len(found) == 1
+    assert float.fromhex(found.pop()) == pytest.approx(math.fsum(values), rel=2**-51)
+
+
+def test_a_sum_that_does_not_fit_fails(spark):
+    df = spark.range(3).select(F.lit(2.0**91).alias("x")).select(*parts("x"))
+    assert df.agg(*part_sums("x")).select(total("x")).first()[0] == 3 * 2.0**91
+    df = spark.range(3).select(F.lit(2.0**92).alias("x")).select(*parts("x"))
+    with pytest.raises(Exception, match="ARITHMETIC_OVERFLOW"):
+        df.agg(*part_sums("x")).collect()
+
+
+def many_sales(spark, n=4000):
+    draw = random.Random(9)
+    found = [
+        (f"2024-01-{draw.randint(1, 9):02d}", f"{draw.randrange(24):02d}:{draw.randrange(60):02d}:00.000",
+         draw.choice("AABXC"), draw.uniform(0, 9), draw.uniform(0, 1e6), draw.choice(["sale"] * 5 + ["return"]), "N")
+        for _ in range(n)
+    ]
+    return spark.createDataFrame(found, SALES_SCHEMA)
+
+
+@pytest.mark.parametrize("windows", [WindowSettings(), WindowSettings("3 hours", "20 minutes")])
+def test_the_report_is_the_same_to_the_last_bit(spark, small_master, windows):
+    sales = many_sales(spark)
+    reports = [bits(exact_statistics(sales.repartition(n), small_master, windows)) for n in (1, 8, 211)]
+    assert reports[0] == reports[1] == reports[2] and len(reports[0]) > 100
+    plain = sales_statistics(sales, small_master, windows)
+    assert cents(exact_statistics(sales, small_master, windows)) == cents(plain)
+
+
+def test_masters_that_repeat_a_code_count_again(spark, sales, small_master):
+    twice = exact_statistics(sales(*CASE_A), small_master.unionAll(small_master))
+    assert short(twice) == [(*r[:3], 2 * r[3], 2 * r[4]) for r in CASE_A_REPORT]
+
+
+# Increments
+
+
+def test_increments_equal_one_run(spark, small_master, tmp_path):
+    sales = many_sales(spark)
+    report = IncrementalReport(str(tmp_path / "report"))
+    chunks = sales.randomSplit([0.5, 0.3, 0.2], seed=1)
+    for i, chunk in enumerate(chunks):
+        report.add(chunk, small_master, i)
+    expected = exact_statistics(sales, small_master)
+    assert bits(report.read(spark).select(*expected.columns)) == bits(expected)
+    report.add(chunks[2], small_master, 2)  # the last one again, as after a failure
+    report.compact(spark)
+    assert bits(report.read(spark).select(*expected.columns)) == bits(expected)
+
+
+def test_the_second_increment_reads_no_old_sales_and_few_old_sums(spark, sales, small_master, tmp_path):
+    report = IncrementalReport(str(tmp_path / "report"))
+    report.add(many_sales(spark), small_master, 0)
+    report.add(sales("2024-01-05,10:00:00.000,A,1,2,sale,Y"), small_master, 1)
+    written = report.statistics.read_version(spark, 1)
+    assert {r.window_start.strftime("%d %H:%M") for r in written.collect()} == {"05 09:55", "05 10:00"}
+    touched = report._touched(spark, 1)
+    text = plan(touched)
+    assert "Scan json" not in text and "ExistingRDD" not in text and "report/slices" in text
+    assert "PartitionFilters" in text and "day" in text.split("PartitionFilters")[1][:200]
+    assert all(str(tmp_path / "report" / "slices") in f for f in touched.inputFiles())
+
+
+def test_an_empty_increment_changes_nothing(spark, sales, small_master, tmp_path):
+    report = IncrementalReport(str(tmp_path / "report"))
+    report.add(sales(*CASE_A), small_master, 0)
+    report.add(sales(CASE_A[0]).limit(0), small_master, 1)
+    assert short(report.read(spark)) == CASE_A_REPORT
+
+
+def test_slices_of_parts_add_up(spark, sales):
+    whole = exact_slices(sales(*CASE_A))
+    halves = exact_slices(sales(*CASE_A[:7])).unionAll(exact_slices(sales(*CASE_A[7:])))
+    keys, sums = whole.columns[:2], whole.columns[2:]
+    assert rows(halves.groupBy(*keys).agg(*[F.sum(c) for c in sums])) == rows(whole)
+
+
+# Days
+
+
+def test_a_span_reads_its_days_alone(spark, small_master, tmp_path):
+    sales, path = many_sales(spark), str(tmp_path / "days")
+    odd = spark.createDataFrame([("bad", "10:00:00.000", "A", 1.0, 1.0, "sale", "N")], SALES_SCHEMA)
+    write_sales_by_day(sales.unionAll(odd), path)
+    start, end = datetime(2024, 1, 3, 23, 0), datetime(2024, 1, 5)
+    found = statistics_between(spark, path, small_master, start, end)
+    whole = sales_statistics(sales, small_master)
+    inside = whole.filter("window_start >= TIMESTAMP '2024-01-03 23:00' AND window_end <= TIMESTAMP '2024-01-05'")
+    assert cents(found) == cents(inside) and inside.count() > 100
+    days = {f.split("day=")[1].split("/")[0] for f in read_sales_between(spark, path, start, end).inputFiles()}
+    scanned = plan(found)
+    assert "PartitionFilters: [isnotnull(day" in scanned and days >= {"2024-01-03", "2024-01-04"}
+    metrics = read_sales_between(spark, path, start, end)
+    assert {r.sales_date for r in metrics.select("sales_date").distinct().collect()} == {"2024-01-03", "2024-01-04"}
+    everything = spark.read.schema(SALES_SCHEMA).parquet(path)
+    assert everything.count() == sales.count() + 1
+
+
+# Published reports
+
+
+def test_a_failed_job_leaves_the_old_report(spark, inputs, tmp_path, monkeypatch):  # noqa: F811
+    out = str(tmp_path / "out")
+    run_batch_job(spark, *inputs, out, versioned=True)
+    assert short(read_published(spark, out)) == CASE_A_REPORT
+    from tillflow.plans import batch_job
+
+    def broken(report, path, fmt):
+        late = F.col("window_start") > "2024-01-01 11:00"
+        checked = F.when(late, F.raise_error(F.lit("lost"))).otherwise(F.col("total_sales_amount"))
+        return publish_statistics(report.withColumn("total_sales_amount", checked), path, fmt)
+
+    monkeypatch.setattr(batch_job, "publish_statistics", broken)
+    with pytest.raises(Exception, match="lost"):
+        run_batch_job(spark, *inputs, out, versioned=True)
+    assert short(read_published(spark, out)) == CASE_A_REPORT
+    monkeypatch.undo()
+    run_batch_job(spark, *inputs, out, versioned=True)
+    assert short(read_published(spark, out)) == CASE_A_REPORT
+    with pytest.raises(ValueError):
+        run_batch_job(spark, *inputs, out, versioned=True, files=1)

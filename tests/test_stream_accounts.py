@@ -1,0 +1,241 @@
+"""What a stream leaves beside its report: accounts, side outputs, versions, open state."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tillflow.functions.letters import dead_letters, examined_messages, usable_records
+from tillflow.functions.messages import decode_sales, encode_statistics
+from tillflow.plans.statistics import sales_statistics
+from tillflow.schemas import STATISTICS_SCHEMA
+from tillflow.sinks.upserts import read_upserts, statistics_versions, upsert_writer
+from tillflow.sinks.versions import PART, WHOLE, Versions
+from tillflow.streaming.consumer import statistics_once
+from tillflow.streaming.job import run_to_end, statistics_stream, use_rocksdb_state
+from tillflow.streaming.routing import Routing
+from tillflow.streaming.state import open_windows
+from test_statistics import CASE_A, CASE_A_REPORT
+from test_streaming import Feed, run
+from util import rows, short
+
+
+@pytest.fixture
+def feed(tmp_path):
+    return Feed(tmp_path / "in")
+
+
+@pytest.fixture
+def case_a(feed):
+    for part in (CASE_A[:6], CASE_A[6:7], CASE_A[7:9], CASE_A[9:]):
+        feed.add(*part)
+    return feed
+
+
+# Names at closing
+
+
+def at_closing(feed, spark, master, **more):
+    return statistics_stream(feed.stream(spark), master, names_at_closing=True, **more)
+
+
+@pytest.mark.parametrize("rocksdb", [False, True])
+def test_windows_named_at_closing_are_the_report_s(spark, case_a, small_master, tmp_path, rocksdb):
+    if rocksdb:
+        use_rocksdb_state(spark)
+    sink = run(at_closing(case_a, spark, small_master), tmp_path / "cp")
+    assert sink.rows == CASE_A_REPORT[:7]
+
+
+def test_a_code_listed_twice_counts_twice(spark, case_a, small_master, tmp_path):
+    sink = run(at_closing(case_a, spark, small_master.unionAll(small_master)), tmp_path / "cp")
+    assert sink.rows == [(*r[:3], 2 * r[3], 2 * r[4]) for r in CASE_A_REPORT[:7]]
+
+
+def test_hot_items_reach_the_state_as_partial_sums(spark, feed, small_master, tmp_path):
+    """The shuffle in front of the state carries sums, and the master is joined behind it."""
+    hot = [f"2024-01-01,10:0{i % 5}:00.{i:03d},A,1,2,sale,Y" for i in range(900)]
+    feed.add(*hot, "2024-01-01,10:03:00.000,B,1,5,sale,Y")
+    feed.add("2024-01-01,11:40:00.000,B,1,5,sale,Y")
+    sink = run(at_closing(feed, spark, small_master), tmp_path / "cp")
+    assert sink.rows[:2] == [("09:55", "10:05", "A", 1800.0, 900.0), ("09:55", "10:05", "B", 5.0, 1.0)]
+    first = next(p for p in sink.query.recentProgress if p["numInputRows"] > 900)
+    # Two windows of A and two of B: what one map task hands on, not 901 sales.
+    assert sum(op["numRowsUpdated"] for op in first["stateOperators"]) == 4
+    plan = sink.query._jsq.explainInternal(False)
+    lines = [line.strip(" :+-*()0123456789") for line in plan.splitlines()]
+    at = {name: i for i, line in enumerate(lines) for name in ("SortMergeJoin", "StateStoreSave", "Exchange hashpartitioning(window") if line.startswith(name)}
+    assert at["SortMergeJoin"] < at["StateStoreSave"] < at["Exchange hashpartitioning(window"]
+    below = lines[at["Exchange hashpartitioning(window"] + 1]
+    assert below.startswith("HashAggregate") and "partial_sum" in below
+
+
+# Accounts and side outputs
+
+
+def routed(spark, feed, tmp_path, per_batch=1):
+    routing = Routing(str(tmp_path / "out"))
+    run_to_end(routing.writer(feed.stream(spark, per_batch), str(tmp_path / "cp")))
+    return routing
+
+
+def accounts(spark, routing):
+    return [tuple(r)[:-1] for r in routing.account(spark).select(
+        "batch", "messages", "kept", "late", "returned", "dead", "latest").orderBy("batch").collect()]
+
+
+LATE_FEED = [
+    ["2024-01-01,10:00:00.000,A,1,2,sale,Y", "no record", "2024-01-01,10:00:00.000,A,1,2,return,Y"],
+    ["2024-01-01,10:40:00.000,B,1,5,sale,Y", "2024-01-01,25:40:00.000,B,1,5,sale,Y"],
+    # The watermark is 10:25 now.
+    ["2024-01-01,10:01:00.000,A,100,1,sale,Y", "2024-01-01,10:19:59.999,A,50,1,sale,Y",
+     "2024-01-01,10:20:00.000,A,7,1,sale,Y", "2024-01-01,10:00:00.000,A,1,2,return,Y", ""],
+    ["2024-01-01,10:40:00.000,B,1,,sale,Y"],
+]
+
+
+def test_every_message_has_one_fate(spark, feed, tmp_path):
+    for part in LATE_FEED:
+        feed.add(*part)
+    routing = routed(spark, feed, tmp_path)
+    assert accounts(spark, routing) == [(0, 3, 1, 0, 1, 1), (1, 2, 1, 0, 0, 1), (2, 5, 1, 2, 1, 1), (3, 1, 0, 0, 0, 1)]
+    assert all(n == sum(fates) for _, n, *fates in accounts(spark, routing))
+    late = {(r.sales_time, r.sales_quantity) for r in routing.sales(spark, "late").collect()}
+    assert late == {("10:01:00.000", 100.0), ("10:19:59.999", 50.0)}
+    letters = {(bytes(r.value).decode(), r.problem) for r in routing.dead_letters(spark).collect()}
+    assert letters == {
+        ("no record", "unreadable record"),
+        ("", "unreadable record"),
+        ("2024-01-01,25:40:00.000,B,1,5,sale,Y", "unreadable time"),
+        ("2024-01-01,10:40:00.000,B,1,,sale,Y", "missing field"),
+    }
+
+
+def test_a_batch_that_is_run_again_replaces_itself(spark, feed, tmp_path):
+    for part in LATE_FEED:
+        feed.add(*part)
+    routing = routed(spark, feed, tmp_path)
+    before = accounts(spark, routing), rows(routing.sales(spark)), rows(routing.sales(spark, "late"))
+    again = spark.createDataFrame([(bytearray(line, "utf-8"),) for line in LATE_FEED[2]], "value BINARY")
+    routing.route(again, 2)
+    assert (accounts(spark, routing), rows(routing.sales(spark)), rows(routing.sales(spark, "late"))) == before
+
+
+def test_kept_sales_give_the_report_of_all_that_are_not_late(spark, feed, small_master, tmp_path):
+    for part in LATE_FEED:
+        feed.add(*part)
+    routing = routed(spark, feed, tmp_path)
+    kept = [line for part in LATE_FEED for line in part if ",100,1," not in line and ",50,1," not in line]
+    messages = spark.createDataFrame([(line,) for line in kept], "value STRING")
+    expected = sales_statistics(decode_sales(messages), small_master)
+    assert short(sales_statistics(routing.sales(spark), small_master)) == short(expected)
+
+
+def test_nothing_is_lost_between_the_two_outputs(spark, messages, table):
+    lines = [
+        *CASE_A, None, "", " ", "x", "2024-01-01,10:00:00.000,A,1", "2024-01-01,10:00:00.000,A,1,2,sale,Y,more",
+        "2024-01-01,10:00:00.000,A,x,2,sale,Y", "2024-01-01,10:00:00.000,A,1,NaN,sale,Y", "2024-02-30,10:00:00.000,A,1,2,sale,Y",
+    ]
+    every = messages(*lines)
+    examined = examined_messages(every)
+    good, bad = usable_records(examined), dead_letters(examined)
+    assert good.count() + bad.count() == len(lines) == examined.count()
+    problems = {None if r.value is None else bytes(r.value).decode(): r.problem for r in bad.collect()}
+    assert problems == {
+        CASE_A[5]: "missing field", None: "unreadable record", "": "unreadable record", " ": "unreadable record",
+        "x": "unreadable record", lines[14]: "unreadable record", lines[16]: "unreadable record",
+        lines[17]: "missing field", lines[18]: "unreadable time",
+    }
+    master = table("master", ("A", "Apple", "F", "Fruit"), ("B", "Bolt", "H", "Hardware"))
+    assert short(sales_statistics(good, master)) == short(sales_statistics(decode_sales(every), master))
+
+
+# Update mode
+
+
+def test_upserts_fold_to_the_batch_report(spark, case_a, small_master, tmp_path):
+    path = str(tmp_path / "versions")
+    statistics = statistics_stream(case_a.stream(spark), small_master)
+    run_to_end(upsert_writer(statistics, path, str(tmp_path / "cp"), compact_every=3))
+    assert short(read_upserts(spark, path)) == CASE_A_REPORT
+    kinds = [kind for _, kind in statistics_versions(path).commits(spark)]
+    assert kinds[0] == WHOLE and set(kinds[1:]) <= {PART}
+
+
+def test_a_batch_written_twice_counts_once(spark, case_a, small_master, tmp_path):
+    path = str(tmp_path / "versions")
+    statistics = statistics_stream(case_a.stream(spark), small_master)
+    run_to_end(upsert_writer(statistics, path, str(tmp_path / "cp")))
+    versions = statistics_versions(path)
+    last = versions.commits(spark)[-1][0]
+    kept = versions.read_version(spark, last).drop("version").collect()
+    versions.write(spark.createDataFrame(kept, STATISTICS_SCHEMA), last)
+    assert short(read_upserts(spark, path)) == CASE_A_REPORT
+
+
+# Committed versions
+
+
+def failing(df):
+    """``df`` in four tasks, of which the last one fails."""
+    checked = F.when(F.col("id") == 99, F.raise_error(F.lit("lost"))).otherwise(F.col("id"))
+    return df.repartitionByRange(4, "id").select(checked.cast("long").alias("id"))
+
+
+def test_a_failed_write_leaves_the_version_before(spark, tmp_path):
+    table = Versions(str(tmp_path / "t"), "id BIGINT")
+    assert table.read(spark).count() == 0 and table.next_version(spark) == 0
+    table.write(spark.range(5), 0, WHOLE)
+    with pytest.raises(Exception, match="lost"):
+        table.write(failing(spark.range(100)), 1, WHOLE)
+    assert table.read_last(spark).count() == 5 and table.next_version(spark) == 1
+    table.write(spark.range(7), 1, WHOLE)
+    assert table.read(spark).count() == 7 and table.next_version(spark) == 2
+
+
+def test_latest_and_compaction(spark, tmp_path):
+    table = Versions(str(tmp_path / "t"), "k STRING, v BIGINT")
+    draw, expected = random.Random(2), {}
+    for version in range(12):
+        part = {draw.choice("abcdefgh"): draw.randrange(100) for _ in range(4)}
+        expected.update(part)
+        table.write(spark.createDataFrame(list(part.items()), "k STRING, v BIGINT"), version)
+        if version % 5 == 4:
+            table.compact(spark, ["k"])
+        assert {r.k: r.v for r in table.latest(spark, ["k"]).collect()} == expected
+    assert table.commits(spark) == [(9, WHOLE), (10, PART), (11, PART)]
+
+
+# Open state
+
+
+@pytest.mark.parametrize("rocksdb", [False, True])
+def test_appended_and_open_windows_are_the_report(spark, case_a, small_master, tmp_path, rocksdb):
+    if rocksdb:
+        use_rocksdb_state(spark)
+    sink = run(statistics_stream(case_a.stream(spark), small_master), tmp_path / "cp")
+    still_open = short(open_windows(spark, str(tmp_path / "cp")))
+    assert still_open == CASE_A_REPORT[7:] and sorted(sink.rows + still_open) == CASE_A_REPORT
+
+
+def test_open_windows_of_codes_take_the_master_s_names(spark, case_a, small_master, tmp_path):
+    run(at_closing(case_a, spark, small_master), tmp_path / "cp")
+    found = open_windows(spark, str(tmp_path / "cp"), small_master)
+    assert short(found) == CASE_A_REPORT[7:] and {r.item_name for r in found.collect()} == {"Bolt"}
+
+
+# The consumer
+
+
+def test_repeats_out_of_order_count_once(spark, sales, small_master, tmp_path):
+    report = sales_statistics(sales(*CASE_A), small_master)
+    sent = encode_statistics(report, F.col("window_end").alias("timestamp")).collect()
+    deliveries = [*sent, *sent]
+    random.Random(4).shuffle(deliveries)
+    schema = "key STRING, value STRING, timestamp TIMESTAMP"
+    for i in range(0, len(deliveries), 5):
+        path = str(tmp_path / "in" / f"{i:03d}")
+        spark.createDataFrame(deliveries[i : i + 5], schema).coalesce(1).write.parquet(path)
+    messages = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    sink = run(statistics_once(messages, "1 day"), tmp_path / "cp")
+    assert len(sink.batches) >= 4 and sink.rows == CASE_A_REPORT

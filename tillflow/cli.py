@@ -41,6 +41,9 @@ def parser() -> argparse.ArgumentParser:
     batch.add_argument("--check-header", action="store_true")
     batch.add_argument("--output-format", default="csv", help="csv, parquet, orc")
     batch.add_argument("--files", type=int, help="number of output files")
+    batch.add_argument(
+        "--versioned", action="store_true", help="keep the old report until the new one stands"
+    )
 
     stream = jobs.add_parser("stream", parents=[shared], help="Kafka to Kafka")
     stream.add_argument("--servers", required=True)
@@ -65,6 +68,9 @@ def parser() -> argparse.ArgumentParser:
         "--broadcast-master", action="store_true", help="only if it is small and stays so"
     )
     stream.add_argument("--hot-items", type=_json_file, help="JSON file: tasks by item code")
+    stream.add_argument(
+        "--names-at-closing", action="store_true", help="aggregate before the master is joined"
+    )
     stream.add_argument("--checkpoint", required=True, help="durable shared folder")
     stream.add_argument("--processing-time", help="trigger interval, such as '1 minute'")
     return top
@@ -86,6 +92,7 @@ def main(arguments: list[str] | None = None) -> None:
             files=args.files,
             output_fmt=args.output_format,
             windows=windows,
+            versioned=args.versioned,
         )
         return
     query = start_statistics_job(
@@ -114,5 +121,6 @@ def main(arguments: list[str] | None = None) -> None:
         trigger={"processingTime": args.processing_time} if args.processing_time else None,
         windows=windows,
         join=JoinSettings(broadcast=args.broadcast_master, hot_items=args.hot_items),
+        **({"names_at_closing": True} if args.names_at_closing else {}),
     )
     query.awaitTermination()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +48,7 @@ class IncrementalReport:
         first, last = touched.agg(
             F.min(F.to_date("window_start")), F.max(F.to_date(F.col("window_end") - tile))
         ).first()
-        days = F.col("day").between(F.lit(first or date.min), F.lit(last or date.min))
+        days = F.col("day").between(F.lit(first), F.lit(last)) if first else F.lit(False)
         known = self.slices.read(spark).filter(days)
         sums = windows_of_slices(known.join(needed, [EVENT_TIME, "item_code"], "left_semi"), self.windows)
         return sums.join(touched, GROUP, "left_semi")

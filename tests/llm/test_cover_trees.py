@@ -3,6 +3,7 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tillflow.llm import cover_trees, registry
 from tillflow.llm.cover_trees import (
@@ -110,3 +111,54 @@ def test_rows_repeated_under_one_id(spark):
     asks = spark.createDataFrame([(0, [1.0, 2.0])] * 3, "vec_id BIGINT, embedding ARRAY<FLOAT>")
     found = top_inner_products(df.union(asks))
     assert found.count() == 5 and found.select("rank").distinct().count() == 5
+
+
+def brute_held(rows, k=5):
+    """Sorted (query_id, rank, vec_id, score) by exact integers, held to 64 bits."""
+    low, high = -(2**63), 2**63 - 1
+    whole = [(i, [min(max(math.floor(256 * x), low), high) for x in v]) for i, v in rows]
+    out = []
+    for q, v in whole:
+        if q % 50 == 0:
+            found = [(-min(max(sum(a * b for a, b in zip(v, w)), low), high), i) for i, w in whole if i != q]
+            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(found)[:k], 1)]
+    return sorted(out)
+
+
+def test_finite_components_beyond_64_bits(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=4).tolist()) for i in range(120)]
+    rows[7] = (7, [1e20, -1e20, 3.0, 1e-3])
+    rows[50] = (50, [-1e15, 2e14, 1e9, 0.5])
+    rows[100] = (100, [1e300, 1.0, -1e300, 0.0])
+    df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    for block_rows in (16, 2048):
+        found = top_inner_products(df, block_rows=block_rows).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == brute_held(rows)
+
+
+def test_blocks_of_one_cell_are_met_with_floors(spark, monkeypatch):
+    """A third of all rows in one cell: its blocks beyond the first are met with what that one gave."""
+    met = []
+    searched = cover_trees._searched
+
+    def watch(meetings, k):
+        met.append(meetings.select("cell", "block", F.col("floor").isNotNull().alias("known")).collect())
+        return searched(meetings, k)
+
+    monkeypatch.setattr(cover_trees, "_searched", watch)
+    r = np.random.default_rng(5)
+    rows = [(i, ((i % 3 == 0) * 50 + r.normal(size=4) * (0.01 if i % 3 == 0 else 9)).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    found = top_inner_products(df, block_rows=50).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == brute_held(rows)
+    first, second = met
+    assert {m.block for m in first} == {0} and not any(m.known for m in first)
+    assert all(m.known for m in second) and any(m.block > 0 for m in second)
+
+
+def test_of_vectors_that_share_an_id_the_least_asks(spark):
+    rows = [(0, [2.0, 0.0]), (0, [1.0, 5.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    found = sorted((r["rank"], r.vec_id, r.score) for r in top_inner_products(df).collect())
+    assert found == [(1, 2, 256 * 256 * 5), (2, 1, 256 * 256)]

@@ -97,11 +97,12 @@ def cover_tree(points: np.ndarray, ids: np.ndarray) -> Tree:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of the rows of ``a`` and ``b``."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if most < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return (a.astype(object) @ b.astype(object).T).astype(np.int64)
+    """Exact integer inner products of the rows of ``a`` and ``b``; beyond 64 bits the nearest there is."""
+    x, y = a.astype(np.float64), b.astype(np.float64)
+    if np.abs(x).max(initial=0) * np.abs(y).max(initial=0) * a.shape[1] < 2**53:
+        return (x @ y.T).astype(np.int64)
+    limits = np.iinfo(np.int64)
+    return np.clip(a.astype(object) @ b.astype(object).T, limits.min, limits.max).astype(np.int64)
 
 
 class Best:
@@ -129,7 +130,9 @@ def _reach(q: Tree, a: int, qn: np.ndarray, d: Tree, b: int, dn: np.ndarray) ->
     x, y = q.points[q.centre[a]].astype(np.float64), d.points[d.centre[b]].astype(np.float64)
     bound = x @ y + qn[q.centre[a]] * d.radius[b] + dn[d.centre[b]] * q.radius[a]
     bound += q.radius[a] * d.radius[b]
-    return bound + 1e-9 * abs(bound) + 1e-6
+    # Large products may cancel, so rounding is held against the lengths.
+    lengths = (qn[q.centre[a]] + q.radius[a]) * (dn[d.centre[b]] + d.radius[b])
+    return bound + 1e-9 * lengths + 1e-6
 
 
 def dual_search(queries: Tree, data: Tree, k: int, floor: np.ndarray) -> Best:
@@ -188,7 +191,8 @@ def _grouped(rows: DataFrame, size: int, block_rows: int, name: str) -> DataFram
     def build(block: pd.DataFrame) -> pd.DataFrame:
         ids = block["vec_id"].to_numpy(np.int64)
         tree = cover_tree(_matrix(block["v"], size), ids)
-        return pd.DataFrame({"cell": [block["cell"].iat[0]], name: [pickle.dumps(tree)]})
+        place = {"cell": [block["cell"].iat[0]], "block": [block["block"].iat[0]]}
+        return pd.DataFrame({**place, name: [pickle.dumps(tree)]})
 
     # A row per cell, and there are at most MOST_CENTRES.
     counts = rows.groupBy("cell").agg(F.count("*").alias("n"))
@@ -200,7 +204,7 @@ def _grouped(rows: DataFrame, size: int, block_rows: int, name: str) -> DataFram
     return (
         salted.withColumn("block", salt)
         .groupBy("cell", "block")
-        .applyInPandas(build, f"cell int, {name} binary")
+        .applyInPandas(build, f"cell int, block long, {name} binary")
     )
 
 
@@ -242,7 +246,12 @@ def top_inner_products(
     all rows of another ``vec_id``. Rows repeated under one id are candidates
     each, and ask once. Vectors that are null or hold a null or non-finite
     component take no part, nor do rows without id; shorter vectors count as
-    padded by zeros. An empty table gives an empty result.
+    padded by zeros. Components and scores beyond 64 bits count as the nearest number
+    there is. Of different vectors under one id the least asks. An empty table gives an
+    empty result.
+
+    A query group first meets one block of its own cell. The scores found there are the
+    floors with which it visits all other blocks, those of its cell included.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -269,11 +278,12 @@ def top_inner_products(
         radii[r["cell"]] = r["away"]
 
     data = saved(_grouped(placed, size, block_rows, "data"), "cover-data")
-    asking = placed.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    queries = saved(_grouped(asking, size, block_rows // 4, "query"), "cover-queries")
+    asking = placed.filter(F.col("vec_id") % every == 0).groupBy("vec_id")
+    asking = asking.agg(F.min(F.struct("v", "cell")).alias("least")).select("vec_id", "least.*")
+    queries = saved(_grouped(asking, size, block_rows // 4, "query").drop("block"), "cover-queries")
     queries = queries.withColumn("home", F.col("cell"))
 
-    first = queries.join(data, "cell").withColumn("floor", F.lit(None).cast("binary"))
+    first = queries.join(data.filter("block = 0"), "cell").withColumn("floor", F.lit(None).cast("binary"))
     near = saved(_ranked(_searched(first, k), k), "cover-near")
 
     floors = near.filter(F.col("rank") == k).select("query_id", "score")
@@ -306,11 +316,11 @@ def top_inner_products(
                 reach = points @ centres.T.astype(np.float64) + norms[:, None] * radii[None, :]
                 reach += 1e-9 * (norms[:, None] * (lengths + radii)[None, :]) + 1e-6
                 useful = (reach >= floor[:, None]).any(axis=0) & (radii >= 0)
-                useful[home] = False
                 cells = np.flatnonzero(useful)
-                yield pd.DataFrame({"cell": cells, "query": query, "floor": floor.tobytes()})
+                yield pd.DataFrame({"home": home, "cell": cells, "query": query, "floor": floor.tobytes()})
 
-    second = waiting.mapInPandas(visits, "cell int, query binary, floor binary").join(data, "cell")
+    visited = waiting.mapInPandas(visits, "home int, cell int, query binary, floor binary")
+    second = visited.join(data, "cell").filter((F.col("home") != F.col("cell")) | (F.col("block") > 0))
     far = _searched(second, k)
     best = _ranked(near.drop("rank").unionByName(far), k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -14,6 +15,7 @@ from tillflow.llm.attention_mil import (
     _gradients,
     encoded,
     fitted,
+    learn,
     quality_scores,
     scored,
 )
@@ -92,3 +94,75 @@ def test_odd_rows(odd, repeated, spark):
         assert all(0 <= r.score <= 1 and r.held_out is not None for r in found)
     assert quality_scores(odd.limit(0), labels, fit).count() == 0
     assert {r.score for r in quality_scores(odd, labels.limit(0), fit).collect()} == {0.5}
+
+
+def plain_features(text):
+    """A passage's features, character by character."""
+    pairs, out = {}, []
+    for a, b in zip(text, text[1:]):
+        x = (ord(a) * 2654435761 & 0xFFFFFFFF) ^ (ord(b) * 2246822519 & 0xFFFFFFFF)
+        x ^= x >> 15
+        pairs[x % BUCKETS] = pairs.get(x % BUCKETS, 0) + 1
+    out = [math.log1p(pairs.get(i, 0)) for i in range(BUCKETS)]
+    kinds = [0] * 7
+    for i, c in enumerate(text):
+        space, digit = c == " " or "\t" <= c <= "\r", "0" <= c <= "9"
+        upper, lower = "A" <= c <= "Z", "a" <= c <= "z" or ord(c) >= 192
+        repeat = i > 0 and text[i - 1] == c
+        for k, yes in enumerate((space, c == "\n", digit, upper, lower, repeat, not (space or digit or upper or lower))):
+            kinds[k] += yes
+    size = max(1, len(text))
+    return out + [4 * k / size for k in kinds] + [len(pairs) / max(1, min(len(text), BUCKETS))]
+
+
+def plain_score(model, text):
+    """The gated attention over passages, a passage and a unit at a time."""
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    times = lambda x, m, b: [sum(a * float(r) for a, r in zip(x, column)) + float(c) for column, c in zip(m.T, b)]
+    hidden, energy = [], []
+    for passage in [text[i : i + PASSAGE] for i in range(0, max(1, len(text)), PASSAGE)]:
+        # A pair belongs to the passage it starts in.
+        x = plain_features(passage)
+        x = [(v - float(m)) / float(s) for v, m, s in zip(x, model["mean"], model["spread"])]
+        h = [math.tanh(v) for v in times(x, model["w"], model["b"])]
+        t, s = times(h, model["v"], model["vb"]), times(h, model["u"], model["ub"])
+        energy.append(sum(float(a) * math.tanh(p) * sigmoid(q) for a, p, q in zip(model["a"], t, s)))
+        hidden.append(h)
+    weights = [math.exp(e - max(energy)) for e in energy]
+    z = [sum(w * h[i] for w, h in zip(weights, hidden)) / sum(weights) for i in range(len(hidden[0]))]
+    return sigmoid(sum(a * float(c) for a, c in zip(z, model["c"])) + float(model["c0"]))
+
+
+def test_query_matches_plain_scoring(spark):
+    """Scores of the whole table against the network put down unit by unit."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = learn(docs, labels)
+    found = {r.doc_id: r.score for r in registry.QUERIES["op7_attention_mil"](spark, sf).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert found.keys() == texts.keys()
+    one_passage = {i: t for i, t in texts.items() if len(t) <= PASSAGE}
+    assert len(one_passage) > 20
+    for i, text in one_passage.items():
+        assert found[i] == pytest.approx(plain_score(model, text), abs=2e-4)
+
+
+def test_several_passages_match_plain_scoring():
+    texts = ["word one " * 30, "%%# 12 " * 40]
+    model = fitted(texts * 6, [1, 0] * 6, [1.0] * 12, Fit(steps=8))
+    # Passages end in a pair that does not count anywhere else, so borders are blanks of their own.
+    long = "".join((part * PASSAGE)[: PASSAGE - 1] + " " for part in ("word one ", "%%# 12 ", "Ab é "))
+    x = (encoded(long) - model["mean"]) / model["spread"]
+    for row, part in zip(encoded(long), (long[i : i + PASSAGE] for i in range(0, len(long), PASSAGE))):
+        assert row[BUCKETS:-1] == pytest.approx(plain_features(part)[BUCKETS:-1], abs=0.02)
+    assert len(x) == 3
+    assert scored(model, [long])[0] == pytest.approx(plain_score(model, long), abs=0.05)
+
+
+def test_of_texts_that_share_an_id_the_least_is_learned(spark):
+    rows = [(i, t, "en", "s", 1) for i in range(40) for t in (("good words " if i % 2 else "%%## ") * 20, "zzz " * (i + 3))]
+    schema = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id BIGINT, quality INT, toxic INT")
+    fit = Fit(steps=3)
+    models = [learn(spark.createDataFrame(r, schema).repartition(n), labels, fit) for r, n in ((rows, 1), (rows[::-1], 5))]
+    assert all(np.array_equal(models[0][k], models[1][k]) for k in models[0])

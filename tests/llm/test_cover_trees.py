@@ -120,7 +120,7 @@ def brute_held(rows, k=5):
     out = []
     for q, v in whole:
         if q % 50 == 0:
-            found = [(-min(max(sum(a * b for a, b in zip(v, w)), low), high), i) for i, w in whole if i != q]
+            found = [(-min(max(sum(a * b for a, b in zip(v, w)), -high), high), i) for i, w in whole if i != q]
             out += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(found)[:k], 1)]
     return sorted(out)
 

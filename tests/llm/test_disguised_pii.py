@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -9,6 +10,7 @@ from tillflow.llm import registry
 from tillflow.llm.disguised_pii import (
     KINDS,
     Tape,
+    _outside,
     find_private,
     identifiers,
     mask_private,
@@ -157,3 +159,12 @@ def test_odd_rows(odd, repeated):
 def test_neighbouring_digit_words_are_one_number(text, kind, part):
     assert private_spans(text)[1].count((text.index(part), text.index(part) + len(part), kind)) == 1
     assert len(private_spans(text)[1]) == 1 and part not in masked(text)
+
+
+def test_the_sweep_drops_what_lies_within():
+    r = random.Random(6)
+    draw = lambda: (a := r.randrange(60), a + r.randrange(1, 12), r.choice(["email", "ip"]))
+    for _ in range(300):
+        spans, covers = {draw() for _ in range(12)}, {draw() for _ in range(6)}
+        within = {s for s in spans for c in covers if c[0] <= s[0] and s[1] <= c[1] and s[2] == c[2]}
+        assert _outside(spans, covers) == spans - within

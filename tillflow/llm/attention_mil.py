@@ -180,7 +180,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> dict:
         chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit.documents // 2)
         text = empty_if_null("text")
         found = docs.select("doc_id", text.alias("text")).filter(F.length("text") <= fit.characters)
-        rows = found.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+        # Of texts that share an id the least is learned.
+        rows = found.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
         sample = sorted((r["doc_id"], r["text"]) for r in rows.select("doc_id", "text").collect())
         total = own.count()
         texts += [t for _, t in sample]

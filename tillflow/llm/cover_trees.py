@@ -27,6 +27,8 @@ BASE = 1.3
 LEAF = 32
 BLOCK_ROWS = 2048
 MOST_CENTRES = 1024
+#: No score is beyond this, nor below its negative; so scores can be negated.
+MOST = 2**63 - 1
 NOTHING = np.iinfo(np.int64).min
 
 
@@ -97,12 +99,11 @@ def cover_tree(points: np.ndarray, ids: np.ndarray) -> Tree:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of the rows of ``a`` and ``b``; beyond 64 bits the nearest there is."""
+    """Exact integer inner products of the rows of ``a`` and ``b``, held within ``MOST``."""
     x, y = a.astype(np.float64), b.astype(np.float64)
     if np.abs(x).max(initial=0) * np.abs(y).max(initial=0) * a.shape[1] < 2**53:
         return (x @ y.T).astype(np.int64)
-    limits = np.iinfo(np.int64)
-    return np.clip(a.astype(object) @ b.astype(object).T, limits.min, limits.max).astype(np.int64)
+    return np.clip(a.astype(object) @ b.astype(object).T, -MOST, MOST).astype(np.int64)
 
 
 class Best:
@@ -246,8 +247,8 @@ def top_inner_products(
     all rows of another ``vec_id``. Rows repeated under one id are candidates
     each, and ask once. Vectors that are null or hold a null or non-finite
     component take no part, nor do rows without id; shorter vectors count as
-    padded by zeros. Components and scores beyond 64 bits count as the nearest number
-    there is. Of different vectors under one id the least asks. An empty table gives an
+    padded by zeros. Components beyond 64 bits count as the nearest number
+    there is, and scores beyond 2^63 - 1 either way as that. Of different vectors under one id the least asks. An empty table gives an
     empty result.
 
     A query group first meets one block of its own cell. The scores found there are the

@@ -192,12 +192,21 @@ def private_spans(text: str) -> tuple[list[Span], list[Span]]:
     if joined is not None and joined.text != tape.text:
         addresses = {joined.source(s) for s in identifiers(joined.text) if s[2] in ("email", "ip")}
         # The last digit word of an address may have passed for all of it.
-        hidden = {s for s in hidden if not any(_within(s, a) for a in addresses)} | addresses
+        hidden = _outside(hidden, addresses) | addresses
     return plain, _ordered(hidden - set(plain))
 
 
-def _within(span: Span, other: Span) -> bool:
-    return other[0] <= span[0] and span[1] <= other[1] and span[2] == other[2]
+def _outside(spans: set[Span], covers: set[Span]) -> set[Span]:
+    """The spans that lie within none of ``covers`` of their kind, in one sweep over both."""
+    reach: dict[str, int] = {}
+    out = set()
+    steps = [(s[0], 0, s) for s in covers] + [(s[0], 1, s) for s in spans]
+    for _, is_span, (start, end, kind) in sorted(steps):
+        if not is_span:
+            reach[kind] = max(reach.get(kind, end), end)
+        elif reach.get(kind, -1) < end:
+            out.add((start, end, kind))
+    return out
 
 
 def masked(text: str) -> str:

@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -35,7 +36,7 @@ WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: A byte above ASCII as ``surrogateescape`` writes it.
 BYTE_ESCAPE = re.compile("[\ud800-\udfff]")
 #: Characters of the texts whose lattices stand side by side in a task.
-RUN_CHARACTERS = 1 << 22
+RUN_CHARACTERS = 1 << 18
 CERTAIN = 1 - 1e-12
 #: Weight of a character that has no piece and is spelled in bytes.
 BYTES_WEIGHT = -12.0
@@ -88,14 +89,44 @@ class Vocabulary:
                     states[piece[:i]] = len(states)
                     key = states[piece[: i - 1]] << CHARACTER_BITS | int(self.code[ord(piece[i - 1])])
                     keys.append((key, states[piece[:i]]))
-        keys.sort()
-        self.key, self.next = (np.array(column) for column in zip(*keys))
+        self._place(*(np.array(column) for column in zip(*keys)))
         self.piece = np.full(len(states), -1)
         self.weight = np.zeros(len(states))
         for piece, (i, weight) in pieces.items():
             self.piece[states[piece]], self.weight[states[piece]] = i, weight
         self.longest = max(map(len, pieces))
 
+    def _place(self, keys: np.ndarray, states: np.ndarray) -> None:
+        """An open-addressed table from state and character to the next state."""
+        self.bits = 64 - (4 * len(keys)).bit_length()
+        size = 1 << (64 - self.bits)
+        self.key, self.next = np.full(size, -1), np.zeros(size, np.int32)
+        at, waiting = self._slot(keys), np.arange(len(keys))
+        while len(waiting):
+            free = waiting[self.key[at[waiting]] < 0]
+            self.key[at[free]] = keys[free]  # of several, the last one keeps the slot
+            stays = self.key[at[waiting]] == keys[waiting]
+            self.next[at[waiting[stays]]] = states[waiting[stays]]
+            waiting = waiting[~stays]
+            at[waiting] = (at[waiting] + 1) & (size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.bits)).astype(np.int64)
+
+    def _found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are known, and their next states."""
+        at = self._slot(keys)
+        there = self.key[at]
+        known = there == keys
+        other = np.flatnonzero(~known & (there >= 0))
+        while len(other):
+            at[other] = (at[other] + 1) & (len(self.key) - 1)
+            there = self.key[at[other]]
+            hit = there == keys[other]
+            known[other[hit]] = True
+            other = other[~hit & (there >= 0)]
+        return known, self.next[at[known]]
+
     def matches(self, characters: np.ndarray, left: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per length, the places where a piece starts and its state; ``left`` bounds the length."""
         codes = self.code[characters]
@@ -104,10 +135,8 @@ class Vocabulary:
         for length in range(1, self.longest + 1):
             going = left[places] >= length
             places, state = places[going], state[going]
-            key = state << CHARACTER_BITS | codes[places + length - 1]
-            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            known = self.key[at] == key
-            places, state = places[known], self.next[at[known]]
+            known, state = self._found(state << CHARACTER_BITS | codes[places + length - 1])
+            places, state = places[known], state.astype(np.int64)
             ends = self.piece[state] >= 0
             found.append((places[ends], state[ends]))
         return found
@@ -224,8 +253,10 @@ class Run:
     def __init__(self, texts: list[str], keys: list[str], words: Vocabulary):
         split = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         self.bounds = np.cumsum([0, *map(len, split)])
-        types: dict[str, int] = {}
-        codes = np.array([types.setdefault(w, len(types)) for own in split for w in own], np.int64)
+        types = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        codes = np.fromiter(
+            map(types.__getitem__, chain.from_iterable(split)), np.int64, int(self.bounds[-1])
+        )
         self.ends = np.cumsum(np.array([len(w) for w in types], np.int64)[codes])
         self.lattices = Lattices(list(types), words) if types else None
         self.starts = self.lattices.start[codes] if types else codes

@@ -170,19 +170,21 @@ class Lattices:
             for length, (places, state) in enumerate(matches, 1)
         ]
         groups.append((bare, 1, -1 - characters[bare], np.full(len(bare), BYTES_WEIGHT)))
+        groups = [(node[places], places + length, left[places] == length, *more) for places, length, *more in groups]
         counts = np.zeros(len(node), np.int64)
-        for places, *_ in groups:
-            counts[node[places]] += 1
+        for own, *_ in groups:
+            counts[own] += 1
         self.first = np.concatenate((np.cumsum(counts) - counts, [counts.sum()]))
         total, filled = int(self.first[-1]), self.first[:-1].copy()
         self.node, self.to = np.empty(total, np.int32), np.empty(total, np.int32)
         self.piece, weight = np.empty(total, np.int32), np.empty(total)
-        for places, length, piece, w in reversed(groups):  # long pieces first: they are likely
-            own = node[places]
+        for own, after, ends_word, piece, w in reversed(groups):  # long pieces first: they are likely
             at = filled[own]
-            filled[own] += 1
+            filled[own] = at + 1
             self.node[at], self.piece[at], weight[at] = own, piece, w
-            self.to[at] = np.where(left[places] == length, 0, node[places + length])
+            to = node[after]
+            to[ends_word] = 0
+            self.to[at] = to
         self._weigh(weight)
 
     def _weigh(self, weight: np.ndarray) -> None:
@@ -247,18 +249,27 @@ def _truncated(location: np.ndarray, upper: np.ndarray, u: np.ndarray) -> np.nda
     return location - np.log(np.exp(location - upper) - np.log(u))
 
 
+def _words(text: str) -> list[str]:
+    """The words of a text, each without the blank it begins with."""
+    if not text:
+        return []
+    if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
+        return [w[1:] for w in WORD.findall(SPACE + text.replace(" ", SPACE))]
+    return text.split(" ")
+
+
 class Run:
     """Samples of several texts. Each text's numbers come from a generator of its key."""
 
     def __init__(self, texts: list[str], keys: list[str], words: Vocabulary):
-        split = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        split = [_words(t) for t in texts]
         self.bounds = np.cumsum([0, *map(len, split)])
         types = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
         codes = np.fromiter(
             map(types.__getitem__, chain.from_iterable(split)), np.int64, int(self.bounds[-1])
         )
-        self.ends = np.cumsum(np.array([len(w) for w in types], np.int64)[codes])
-        self.lattices = Lattices(list(types), words) if types else None
+        self.ends = np.cumsum(np.fromiter(map(len, types), np.int64, len(types))[codes] + 1)
+        self.lattices = Lattices([SPACE + w for w in types], words) if types else None
         self.starts = self.lattices.start[codes] if types else codes
         self.sizes = np.diff(np.concatenate(([0], self.ends))[self.bounds])
         self.generators = [np.random.default_rng(xxhash.xxh64_intdigest(k, 42)) for k in keys]
@@ -300,18 +311,21 @@ class Run:
         sizes = np.diff(bounds)
         which = np.repeat(np.arange(len(active)), sizes)
         before = np.concatenate([np.cumsum(logp[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]) - logp
-        here = np.exp(logp)
+        fresh = np.ones(len(path), bool)
+        for a, i in zip(bounds[:-1], active):
+            fresh[a : a + kept[i][0]] = False  # those nodes' sets are on the heap already
+        here = np.ones(len(path))
+        here[fresh] = np.exp(logp[fresh])
         for a, i in zip(bounds[:-1], active):
             at, out = kept[i]
             if out:  # earlier branches at the node where this path left its parent
                 here[a + at] += math.fsum(math.exp(self.lattices.logp[e]) for e in out)
-                here[a : a + at] = 1.0  # those nodes' sets are on the heap already
-        sure = here < CERTAIN
-        location = np.full(len(path), -np.inf)
-        location[sure] = before[sure] + np.log1p(-here[sure])
-        u = self._numbers()[self.ends[words] - self.lattices.left[self.lattices.node[path]]]
+        sure = np.flatnonzero(here < CERTAIN)
+        location = before[sure] + np.log1p(-here[sure])
+        numbers = self._numbers()
+        u = numbers[self.ends[words[sure]] - self.lattices.left[self.lattices.node[path[sure]]]]
         noisy = np.full(len(path), -np.inf)
-        noisy[sure] = _truncated(location[sure], values[active][which][sure], u[sure])
+        noisy[sure] = _truncated(location, values[active][which[sure]], u)
         filled = np.flatnonzero(sizes)
         for _ in range(most):
             best = np.maximum.reduceat(noisy, bounds[:-1][filled])

@@ -17,10 +17,11 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 from zlib import crc32
 
 import numpy as np
@@ -66,8 +67,8 @@ class Vocabulary:
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.byte = np.zeros(256, np.int64)
-        #: What each id stands for; a byte as the escape that encodes to it.
-        self.surface = [""] * model.get_piece_size()
+        #: What each id stands for, with plain blanks; a byte as the escape that encodes to it.
+        self.surface = np.full(model.get_piece_size(), "", object)
         pieces = {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
@@ -77,7 +78,7 @@ class Vocabulary:
                 self.surface[i] = bytes([byte]).decode("utf-8", "surrogateescape")
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 if SPACE not in piece.lstrip(SPACE):
-                    self.surface[i] = piece
+                    self.surface[i] = piece.replace(SPACE, " ")
                     pieces[piece] = i, -alpha * math.log1p(-model.get_score(i))
         alphabet = sorted({c for piece in pieces for c in piece})
         self.code = np.zeros(0x110000, np.int64)
@@ -90,6 +91,10 @@ class Vocabulary:
                     key = states[piece[: i - 1]] << CHARACTER_BITS | int(self.code[ord(piece[i - 1])])
                     keys.append((key, states[piece[:i]]))
         self._place(*(np.array(column) for column in zip(*keys)))
+        #: The states after one character, by its code; 0 where no piece begins so.
+        self.begun = np.zeros(len(alphabet) + 1, np.int64)
+        for i, c in enumerate(alphabet, 1):
+            self.begun[i] = states.get(c, 0)
         self.piece = np.full(len(states), -1)
         self.weight = np.zeros(len(states))
         for piece, (i, weight) in pieces.items():
@@ -130,14 +135,17 @@ class Vocabulary:
     def matches(self, characters: np.ndarray, left: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per length, the places where a piece starts and its state; ``left`` bounds the length."""
         codes = self.code[characters]
-        places, state = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        state = self.begun[codes]
+        places = np.flatnonzero(state)
+        state = state[places]
         found = []
         for length in range(1, self.longest + 1):
-            going = left[places] >= length
-            places, state = places[going], state[going]
-            known, state = self._found(state << CHARACTER_BITS | codes[places + length - 1])
-            places, state = places[known], state.astype(np.int64)
-            ends = self.piece[state] >= 0
+            if length > 1:
+                going = np.flatnonzero(left[places] >= length)
+                places = places[going]
+                known, state = self._found(state[going] << CHARACTER_BITS | codes[places + length - 1])
+                places, state = places[known], state.astype(np.int64)
+            ends = np.flatnonzero(self.piece[state] >= 0)
             found.append((places[ends], state[ends]))
         return found
 
@@ -155,7 +163,7 @@ class Lattices:
         characters = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
         ends = np.cumsum(lengths)
         left = np.repeat(ends, lengths) - np.arange(len(characters))
-        order = np.argsort(left, kind="stable")
+        order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
         node = np.empty(len(order) + 1, np.int64)
         node[order] = np.arange(1, len(order) + 1)
         self.start = node[ends - lengths]
@@ -264,7 +272,7 @@ class Run:
     def __init__(self, texts: list[str], keys: list[str], words: Vocabulary):
         split = [_words(t) for t in texts]
         self.bounds = np.cumsum([0, *map(len, split)])
-        types = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        types = defaultdict(count().__next__)  # a new word takes the next number
         codes = np.fromiter(
             map(types.__getitem__, chain.from_iterable(split)), np.int64, int(self.bounds[-1])
         )
@@ -326,10 +334,10 @@ class Run:
         u = numbers[self.ends[words[sure]] - self.lattices.left[self.lattices.node[path[sure]]]]
         noisy = np.full(len(path), -np.inf)
         noisy[sure] = _truncated(location, values[active][which[sure]], u)
-        filled = np.flatnonzero(sizes)
+        filled = sizes > 0
         for _ in range(most):
             best = np.maximum.reduceat(noisy, bounds[:-1][filled])
-            hit = np.flatnonzero((noisy == best[np.searchsorted(filled, which)]) & (noisy > -np.inf))
+            hit = np.flatnonzero((noisy == np.repeat(best, sizes[filled])) & (noisy > -np.inf))
             for place in hit:
                 j = which[place]
                 i, a, b = active[j], bounds[j], bounds[j + 1]
@@ -379,12 +387,12 @@ class Run:
         return ids.astype("<u4")
 
 
-def decoded(ids: list[int], words: Vocabulary) -> str:
+def decoded(ids: np.ndarray, words: Vocabulary) -> str:
     """The text that ids stand for, bytes put together to characters."""
-    text = "".join([words.surface[i] for i in ids])
-    if BYTE_ESCAPE.search(text):
-        text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
-    return text.replace(SPACE, " ")[1:]
+    text = "".join(words.surface[ids].tolist())
+    if not text.isascii() and BYTE_ESCAPE.search(text):
+        text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace").replace(SPACE, " ")
+    return text[1:]
 
 
 def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -427,7 +435,7 @@ def sampled(docs: DataFrame, sampling: Sampling) -> DataFrame:
                         ids = run.ids(path, words)
                         raw = ids.tobytes()
                         inclusion = -math.expm1(-math.exp(min(logp - after, 700.0)))
-                        same = decoded(ids.tolist(), words) == plain
+                        same = decoded(ids, words) == plain
                         rows.append(
                             (key, place, raw if sampling.keep_ids else None, len(ids), crc32(raw), logp,
                              value, inclusion, same)

@@ -1,4 +1,6 @@
 import math
+import time
+from decimal import Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +67,45 @@ def test_binomial_tail(spark, n, k):
     assert found == pytest.approx(1.0 if k >= n * rate else exact, rel=1e-9)
 
 
+def log_factorial(x):
+    """By Stirling's formula in 50 places, for large ``x``."""
+    x, tau = Decimal(x), Decimal("6.28318530717958647692528676655900576839433879875021")
+    return x * x.ln() - x + (tau * x).ln() / 2 + 1 / (12 * x) - 1 / (360 * x**3)
+
+
+@pytest.mark.parametrize("n, k", [(10**6, 3700), (10**9, 3_990_000), (10**10, 39_999_000), (10**11, 10**6)])
+def test_binomial_tail_of_many_labels_takes_few_steps(spark, n, k):
+    rate = 0.004
+    with localcontext() as context:
+        context.prec = 50
+        p = Decimal(rate)
+        last = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * p.ln() + (n - k) * (1 - p).ln()
+        exact, term, j = Decimal(0), last.exp(), k
+        while j >= 0 and term > exact * Decimal(10) ** -20:
+            exact += term
+            term *= j * (1 - p) / ((n - j + 1) * p)
+            j -= 1
+    row = spark.createDataFrame([(n, k)], "n BIGINT, k BIGINT")
+    started = time.monotonic()
+    found = row.select(binomial_tail(F.col("n"), F.col("k"), rate).alias("p")).first().p
+    assert time.monotonic() - started < 10  # term by term from zero the third took 4 * 10^7 steps
+    assert found == (0 if exact < Decimal("1e-320") else pytest.approx(float(exact), rel=1e-6))
+
+
+@pytest.mark.parametrize("n", [1, 5, 40, 1000, 3000])
+def test_binomial_tails_of_few_labels(spark, n):
+    rate = 0.3
+    rows = spark.createDataFrame([(n, k) for k in range(min(n, 60) + 1)], "n BIGINT, k BIGINT")
+    found = {r.k: r.p for r in rows.select("k", binomial_tail(F.col("n"), F.col("k"), rate).alias("p")).collect()}
+    with localcontext() as context:
+        context.prec = 50
+        exact, p = Decimal(0), Decimal(rate)
+        for k in sorted(found):
+            exact += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+            expected = 1.0 if k >= n * rate else float(exact)
+            assert found[k] == pytest.approx(expected, rel=1e-9, abs=1e-300)
+
+
 def counts(spark, rows):
     return spark.createDataFrame(
         rows,

@@ -198,3 +198,12 @@ def test_one_shuffle_for_the_faults(spark):
     rows = spark.createDataFrame([(1, 0, "user", "Hi.")], SCHEMA)
     plan = repair.conversation_reports(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_a_line_separator_is_no_blank(spark):
+    """U+2028 ends a line for regular expressions, yet the contract's white space is ASCII's."""
+    texts = ["\u2028", " \u0085", "Done.\u2029", "Done.\n", "\r\n"]
+    rows = [(i, 0, "user", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "conv_id LONG, turn INT, role STRING, text STRING")
+    found = {int(r.conv): (r.blank, r.truncated) for r in repair.conversation_reports(df).collect()}
+    assert found == {0: (0, 1), 1: (0, 1), 2: (0, 1), 3: (0, 0), 4: (1, 0)}

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tillflow.llm.common import bounded_batches, saved, table
 
 #: Fixed by the contract: white space, ends of sentences and costs.
-BLANK = r"^[\x20\x09-\x0D]*$"
-OPEN_END = r"[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*$"
+BLANK = r"\A[\x20\x09-\x0D]*\z"
+OPEN_END = r"[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*\z"
 LEGAL = ("su", "ua", "au")
 DELETE, INSERT, REROLE, TRUNCATED = 4, 3, 3, 3
 

@@ -1,11 +1,14 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Vectors are dealt to cells around sampled centres, the top of the tree, and each
-cell to blocks of bounded size. Data blocks and query groups get a cover tree
-each, kept as one row. A query group meets the blocks of its own cell first; the
-scores found there decide which other cells it has to visit. Where group and
-block meet, both trees are descended together: a pair of nodes is dropped when
-no product between their balls can reach the group's worst k-th score.
+Vectors are dealt to cells around sampled centres, the top of the tree. A cell beyond
+one block sets a sample aside as its block 0 and is cut around centres of its own,
+its parts again, until they have the size of a block; only copies are dealt by hash.
+Data blocks and query groups get a cover tree each, kept as one row. A query group
+meets block 0 of its own cell first, and each query then asks the block that its vector
+points to. The scores found there decide which cells, and which blocks of these, the
+group has to visit. Where group and block meet, both trees are
+descended together: a pair of nodes is dropped when no product between their balls
+can reach the group's worst k-th score.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,6 +31,10 @@ BASE = 1.3
 LEAF = 32
 BLOCK_ROWS = 2048
 MOST_CENTRES = 1024
+#: About so many parts at most that a cell or a part of one is cut into at once.
+FAN = 64
+#: Blocks whose balls are held against a query group at once.
+CHUNK = 1024
 #: No score is beyond this, nor below its negative; so scores can be negated.
 MOST = 2**63 - 1
 NOTHING = np.iinfo(np.int64).min
@@ -172,6 +180,16 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return rows.select("vec_id", scaled.alias("v"))
 
 
+def _reached(points: np.ndarray, floor: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """The balls in which some product with one of ``points`` may reach its ``floor``."""
+    norms = np.sqrt((points**2).sum(axis=1))[:, None]
+    lengths = np.sqrt((centres**2).sum(axis=1))
+    reach = points @ centres.T + norms * radii[None, :]
+    # Large products may cancel, so rounding is held against the lengths.
+    reach += 1e-9 * norms * (lengths + radii)[None, :] + 1e-6
+    return (reach >= floor[:, None]).any(axis=0)
+
+
 def _matrix(column: pd.Series, size: int) -> np.ndarray:
     out = np.zeros((len(column), size), np.int64)
     for i, v in enumerate(column):
@@ -186,27 +204,98 @@ def _nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nd
     return cell, np.sqrt(((p - c[cell]) ** 2).sum(axis=1))
 
 
-def _grouped(rows: DataFrame, size: int, block_rows: int, name: str) -> DataFrame:
-    """Cells cut into blocks of about ``block_rows``, each a row with its cover tree."""
+def _chained(points: np.ndarray) -> np.ndarray:
+    """``points`` in an order where each is the nearest of those left to the one before."""
+    values, left, order = points.astype(np.float64), np.arange(1, len(points)), [0]
+    while len(left):
+        at = int(_distances(values[left], values[order[-1]]).argmin())
+        order.append(int(left[at]))
+        left = np.delete(left, at)
+    return points[order]
+
+
+def _trees(rows: DataFrame, size: int, keys: dict[str, str], name: str) -> DataFrame:
+    """The cover tree of each group of ``keys``, with its root's ball."""
 
     def build(block: pd.DataFrame) -> pd.DataFrame:
-        ids = block["vec_id"].to_numpy(np.int64)
-        tree = cover_tree(_matrix(block["v"], size), ids)
-        place = {"cell": [block["cell"].iat[0]], "block": [block["block"].iat[0]]}
-        return pd.DataFrame({**place, name: [pickle.dumps(tree)]})
+        tree = cover_tree(_matrix(block["v"], size), block["vec_id"].to_numpy(np.int64))
+        place = {key: [block[key].iat[0]] for key in keys}
+        ball = {"centre": [tree.points[tree.centre[0]].tolist()], "radius": [tree.radius[0]]}
+        return pd.DataFrame({**place, name: [pickle.dumps(tree)], **ball})
+
+    typed = ", ".join(f"{key} {kind}" for key, kind in keys.items())
+    return rows.groupBy(*keys).applyInPandas(build, f"{typed}, {name} binary, centre array<bigint>, radius double")
+
+
+def _cut(placed: DataFrame, size: int, block_rows: int) -> DataFrame:
+    """``placed`` with a ``block`` of about ``block_rows`` near rows in each cell, and its ``path``.
+
+    Block 0 of a crowded cell is a sample of it and has the empty path. The other rows
+    are cut around sampled vectors, level by level; a path lists the parts a row fell
+    into. Where no two different vectors are drawn, or one part keeps nine tenths of the
+    rows, as with copies, rows are dealt to blocks by hash.
+    """
 
+    def nearest(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        # Parts that are near get near numbers, so that queries of neighbouring paths are alike.
+        around = _chained(_matrix(pd.Series(list(wanted["centres"].iat[0])), size))
+        part, _ = _nearest(_matrix(rows["v"], size), around)
+        return rows.drop(columns="portion").assign(path=[p + f"{k:04d}" for p, k in zip(rows["path"], part)])
+
+    keys = ["cell", "path"]
+    in_all = F.col("n")
+    counts = saved(placed.groupBy("cell").agg(F.count("*").alias("n")), "cover-counts")
     # A row per cell, and there are at most MOST_CENTRES.
-    counts = rows.groupBy("cell").agg(F.count("*").alias("n"))
-    parts = counts.select("cell", F.ceil(F.col("n") / block_rows).alias("parts"))
-    salted = rows.join(F.broadcast(parts), "cell")
-    salt = F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))
-    if name == "data":  # copies under one id may be many; queries of one id stay together
-        salt = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("parts"))
-    return (
-        salted.withColumn("block", salt)
-        .groupBy("cell", "block")
-        .applyInPandas(build, f"cell int, block long, {name} binary")
-    )
+    rows = placed.join(F.broadcast(counts), "cell")
+    # Copies under one id may be many, so the row's place counts too. It is written once,
+    # for a task that is run again behind a shuffle would meet its rows in another order.
+    seat = F.xxhash64("vec_id", F.monotonically_increasing_id())
+    rows = rows.select("cell", "vec_id", "v", "n", F.lit("").alias("path"), seat.alias("seat"))
+    rows = saved(rows, "cover-seats")
+    names = ["cell", "vec_id", "v", "path", "seat"]
+    aside = F.pmod("seat", in_all) < block_rows
+    settled = []
+    open_ = rows.filter(~aside).select(*names, F.lit(MOST).alias("was"))
+    while True:
+        leaves = open_.groupBy(*keys, "was").agg(F.count("*").alias("n"))
+        # A part with most of what was cut is one of copies, or too large for doubles to tell apart.
+        leaves = leaves.filter((in_all > 2 * block_rows) & (in_all < 0.9 * F.col("was"))).drop("was")
+        parts = F.least(F.lit(FAN), F.ceil(in_all / block_rows) + 1)
+        drawn = open_.join(leaves, keys).filter(F.pmod(F.xxhash64("v", "path"), in_all) < parts)
+        # Equal vectors are drawn together and are one centre.
+        centres = drawn.groupBy(*keys, "n").agg(F.sort_array(F.collect_set("v")).alias("centres"))
+        centres = saved(centres.filter(F.size("centres") > 1), "cover-centres")
+        settled.append(open_.join(centres, keys, "left_anti").select(*names))
+        if centres.isEmpty():
+            break
+        portions = F.ceil(in_all / block_rows)
+        split = open_.drop("was").join(centres.select(*keys, in_all.alias("was"), portions.alias("portions")), keys)
+        split = split.withColumn("portion", F.pmod("seat", "portions")).drop("portions")
+        each = F.explode(F.sequence(F.lit(0).cast("long"), portions - 1)).alias("portion")
+        wanted = centres.select(*keys, each, "centres")
+        split = split.groupBy(*keys, "portion").cogroup(wanted.groupBy(*keys, "portion"))
+        schema = "cell int, vec_id long, v array<bigint>, path string, seat long, was long"
+        open_ = saved(split.applyInPandas(nearest, schema), "cover-split")
+
+    rest = reduce(DataFrame.union, settled)
+    # A row per path, in the order of their places.
+    paths = rest.groupBy(*keys).agg(F.ceil(F.count("*") / (2 * block_rows)).alias("salts"))
+    before = Window.partitionBy("cell").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    paths = paths.withColumn("first", F.coalesce(F.sum("salts").over(before), F.lit(0)) + 1)
+    numbered = rest.join(paths, keys).withColumn("block", F.col("first") + F.pmod("seat", "salts"))
+    sample = rows.filter(aside).withColumn("block", F.lit(0).cast("long"))
+    names = [*names[:-1], "block"]
+    return sample.select(*names).union(numbered.select(*names))
+
+
+def _query_groups(asking: DataFrame, group_rows: int) -> DataFrame:
+    """``asking`` with the ``part`` of its cell it asks in: near paths together, hot ones by hash."""
+    paths = asking.groupBy("cell", "path").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("cell").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / group_rows)
+    paths = paths.select("cell", "path", ahead.alias("part"), F.ceil(F.col("n") / group_rows).alias("salts"))
+    salt = F.pmod(F.xxhash64("vec_id"), F.col("salts"))
+    return asking.join(paths, ["cell", "path"]).select("vec_id", "v", "cell", "part", salt.alias("salt"))
 
 
 def _searched(meetings: DataFrame, k: int) -> DataFrame:
@@ -232,6 +321,47 @@ def _searched(meetings: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _members(grouped: DataFrame) -> DataFrame:
+    """The queries of each group, in the order of its tree."""
+
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for group, query in zip(batch["group"], batch["query"]):
+                ids = pickle.loads(query).ids
+                yield pd.DataFrame({"group": group, "at": np.arange(len(ids)), "query_id": ids})
+
+    return grouped.select("group", "query").mapInPandas(names, "group long, at int, query_id long")
+
+
+def _floors(members: DataFrame, worst: DataFrame) -> DataFrame:
+    """Each group's ``scores`` to reach, from a score of each query that has one."""
+    score = F.coalesce("score", F.lit(NOTHING)).alias("score")
+    known = members.join(worst, "query_id", "left").groupBy("group")
+    known = known.agg(F.sort_array(F.collect_list(F.struct("at", score))).alias("known"))
+    return known.select("group", F.col("known.score").alias("scores"))
+
+
+def _led(asked: DataFrame, data: DataFrame, k: int, size: int, at_once: int) -> DataFrame:
+    """Each query's k-th score in the one block it asks, where that has so many."""
+
+    def ask(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        tree = cover_tree(_matrix(queries["v"], size), queries["query_id"].to_numpy(np.int64))
+        best = dual_search(tree, pickle.loads(block["data"].iat[0]), k, np.full(len(tree.ids), NOTHING))
+        worst = [(int(q), int(scores[-1])) for q, (scores, _) in zip(tree.ids, best.found) if len(scores) == k]
+        return pd.DataFrame(worst, columns=["query_id", "score"])
+
+    # Many queries may ask one block, so it is met in portions.
+    keys = ["cell", "block"]
+    portions = asked.groupBy(*keys).agg(F.ceil(F.count("*") / at_once).alias("portions"))
+    dealt = asked.join(portions, keys).withColumn("portion", F.pmod(F.xxhash64("query_id"), F.col("portions")))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).alias("portion")
+    blocks = data.select(*keys, "data").join(portions.select(*keys, each), keys)
+    # A portion may have got no query.
+    blocks = blocks.join(dealt.select(*keys, "portion").distinct(), [*keys, "portion"], "left_semi")
+    met = dealt.drop("portions").groupBy(*keys, "portion").cogroup(blocks.groupBy(*keys, "portion"))
+    return met.applyInPandas(ask, "query_id long, score long")
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order))
@@ -251,8 +381,9 @@ def top_inner_products(
     there is, and scores beyond 2^63 - 1 either way as that. Of different vectors under one id the least asks. An empty table gives an
     empty result.
 
-    A query group first meets one block of its own cell. The scores found there are the
-    floors with which it visits all other blocks, those of its cell included.
+    A query group first meets block 0 of its own cell, a sample of it, and each query the
+    block that its vector points to. The scores found there are the floors that all other
+    blocks, those of its cell included, have to reach.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -278,50 +409,75 @@ def top_inner_products(
     for r in placed.groupBy("cell").agg(F.max("away").alias("away")).collect():  # a row per centre
         radii[r["cell"]] = r["away"]
 
-    data = saved(_grouped(placed, size, block_rows, "data"), "cover-data")
-    asking = placed.filter(F.col("vec_id") % every == 0).groupBy("vec_id")
-    asking = asking.agg(F.min(F.struct("v", "cell")).alias("least")).select("vec_id", "least.*")
-    queries = saved(_grouped(asking, size, block_rows // 4, "query").drop("block"), "cover-queries")
-    queries = queries.withColumn("home", F.col("cell"))
+    rows = saved(_cut(placed, size, block_rows), "cover-blocks")
+    data = saved(_trees(rows, size, {"cell": "int", "block": "long"}, "data"), "cover-data")
+    asking = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id")
+    asking = asking.agg(F.min(F.struct("v", "cell", "path")).alias("least")).select("vec_id", "least.*")
+    parts = _query_groups(asking, max(1, block_rows // 4))
+    queries = _trees(parts, size, {"cell": "int", "part": "long", "salt": "long"}, "query")
+    queries = saved(queries.select("cell", "query"), "cover-queries").withColumn("home", F.col("cell"))
 
     first = queries.join(data.filter("block = 0"), "cell").withColumn("floor", F.lit(None).cast("binary"))
     near = saved(_ranked(_searched(first, k), k), "cover-near")
 
-    floors = near.filter(F.col("rank") == k).select("query_id", "score")
-    lengths = np.sqrt((centres.astype(np.float64) ** 2).sum(axis=1))
-
-    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for group, query in zip(batch["group"], batch["query"]):
-                ids = pickle.loads(query).ids
-                yield pd.DataFrame({"group": group, "at": np.arange(len(ids)), "query_id": ids})
-
-    grouped = saved(
-        queries.withColumn("group", F.monotonically_increasing_id()), "cover-groups"
-    )
-    members = grouped.select("group", "query").mapInPandas(names, "group long, at int, query_id long")
-    known = members.join(floors, "query_id", "left").groupBy("group").agg(
-        F.sort_array(
-            F.collect_list(F.struct("at", F.coalesce("score", F.lit(NOTHING)).alias("score")))
-        ).alias("known")
-    )
-    waiting = grouped.select("group", "home", "query").join(known, "group")
-    waiting = waiting.select("home", "query", F.col("known.score").alias("scores"))
+    grouped = saved(queries.withColumn("group", F.monotonically_increasing_id()), "cover-groups")
+    # A row per centre. A cell's balls are dealt to as many chunks as their number asks for.
+    chunks = np.zeros(len(centres), np.int64)
+    for r in data.groupBy("cell").agg(F.count("*").alias("n")).collect():
+        chunks[r["cell"]] = -(-r["n"] // CHUNK)
+    of_cells = F.element_at(F.array(*[F.lit(int(n)) for n in np.maximum(chunks, 1)]), F.col("cell") + 1)
+    ball = F.struct("block", "centre", "radius")
+    balls = data.withColumn("chunk", F.pmod(F.col("block"), of_cells)).groupBy("cell", "chunk")
+    balls = saved(balls.agg(F.sort_array(F.collect_list(ball)).alias("balls")), "cover-balls")
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for home, query, scores in zip(batch["home"], batch["query"], batch["scores"]):
                 floor = np.asarray(scores, np.int64)
                 points = pickle.loads(query).points.astype(np.float64)
-                norms = np.sqrt((points**2).sum(axis=1))
-                reach = points @ centres.T.astype(np.float64) + norms[:, None] * radii[None, :]
-                reach += 1e-9 * (norms[:, None] * (lengths + radii)[None, :]) + 1e-6
-                useful = (reach >= floor[:, None]).any(axis=0) & (radii >= 0)
-                cells = np.flatnonzero(useful)
-                yield pd.DataFrame({"home": home, "cell": cells, "query": query, "floor": floor.tobytes()})
-
-    visited = waiting.mapInPandas(visits, "home int, cell int, query binary, floor binary")
-    second = visited.join(data, "cell").filter((F.col("home") != F.col("cell")) | (F.col("block") > 0))
+                useful = _reached(points, floor, centres.astype(np.float64), radii) & (radii >= 0)
+                cells = np.repeat(np.flatnonzero(useful), chunks[useful])
+                chunk = [c for n in chunks[useful] for c in range(n)]
+                ask = {"query": query, "floor": floor.tobytes()}
+                yield pd.DataFrame({"home": home, "cell": cells, "chunk": chunk, **ask})
+
+    def held(floors: DataFrame) -> DataFrame:
+        """Query groups beside the balls of the cells they have to visit."""
+        waiting = grouped.join(floors, "group").select("home", "query", "scores")
+        visited = waiting.mapInPandas(visits, "home int, cell int, chunk long, query binary, floor binary")
+        return visited.join(balls, ["cell", "chunk"])
+
+    def point(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for cell, query, told in zip(*(batch[c] for c in ("cell", "query", "balls"))):
+                tree = pickle.loads(query)
+                around = _matrix(pd.Series([b["centre"] for b in told]), size).astype(np.float64)
+                along = tree.points.astype(np.float64) @ around.T
+                block = np.array([b["block"] for b in told])[along.argmax(axis=1)]
+                yield pd.DataFrame({"query_id": tree.ids, "cell": cell, "block": block, "along": along.max(axis=1)})
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for home, cell, query, scores, told in zip(*(batch[c] for c in ("home", "cell", "query", "floor", "balls"))):
+                points = pickle.loads(query).points.astype(np.float64)
+                around = _matrix(pd.Series([b["centre"] for b in told]), size).astype(np.float64)
+                away = np.array([b["radius"] for b in told])
+                block = np.array([b["block"] for b in told])
+                useful = _reached(points, np.frombuffer(scores, np.int64), around, away)
+                useful &= (block > 0) | (home != cell)
+                yield pd.DataFrame({"cell": cell, "block": block[useful], "query": query, "floor": scores})
+
+    members = saved(_members(grouped), "cover-members")
+    worst = near.filter(F.col("rank") == k).select("query_id", "score")
+    pointed = held(_floors(members, worst)).mapInPandas(point, "query_id long, cell int, block long, along double")
+    where = F.max_by(F.struct("cell", "block"), F.struct("along", "cell", "block")).alias("at")
+    asked = pointed.groupBy("query_id").agg(where).select("query_id", "at.*")
+    ask = asking.select(F.col("vec_id").alias("query_id"), "v").join(asked, "query_id")
+    led = _led(saved(ask, "cover-asked"), data, k, size, block_rows)
+    worst = saved(worst.union(led).groupBy("query_id").agg(F.max("score").alias("score")), "cover-floors")
+
+    met = held(_floors(members, worst)).mapInPandas(meet, "cell int, block long, query binary, floor binary")
+    second = met.join(data.select("cell", "block", "data"), ["cell", "block"])
     far = _searched(second, k)
     best = _ranked(near.drop("rank").unionByName(far), k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tillflow.operators.windows import assign_windows, order_statistics, slice_of
+from tillflow.operators.windows import assign_windows, order_statistics, slice_of, sums_of_slices
 from tillflow.plans.process import process_item_sales_data
 from tillflow.plans.statistics import analyze_item_sales_data_statistics, sales_statistics
 from tillflow.schemas import STATISTICS_COLUMNS
@@ -78,6 +78,48 @@ def test_sales_are_summed_before_they_are_multiplied(spark, table, small_master,
     assert "Expand" not in below and "FileScan" in below
 
 
+def test_nothing_is_aggregated_after_it_is_multiplied(spark, table, small_master, tmp_path):
+    """What a task holds must not grow with the number of windows a sale lies in."""
+    stored = written(spark, table, str(tmp_path / "sales"))
+    small_master.write.parquet(str(tmp_path / "master"))
+    master = spark.read.parquet(str(tmp_path / "master"))
+    for threshold in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for unique in (False, True):
+            windows = WindowSettings("2 hours", "5 minutes")
+            text = plan(sales_statistics(stored, master, windows, unique))
+            above = text[: text.index("Expand")]
+            assert not any(x in above for x in ("Aggregate", "Exchange", "Join", "Sort"))
+
+
+SLICED = [(120, 5, 5), (7, 3, 1), (10, 4, 2), (10, 5, 5), (6, 6, 6)]
+
+
+@pytest.mark.parametrize("length, slide, tile", SLICED)
+@pytest.mark.parametrize("apart", [1, 9, 700])
+def test_sums_of_slices_against_brute_force(spark, length, slide, tile, apart):
+    """Around the epoch, at the ends of blocks, and with several rows a slice."""
+    rng = random.Random(length * apart)
+    at = [rng.randint(-60 * apart, 60 * apart) * tile for _ in range(120)]
+    at += [12 * length * k + d * tile for k in (-1, 0, 1) for d in (-2, -1, 0, 1)]
+    given = [(t, rng.choice("AAAB"), n % 7, n / 4) for n, t in enumerate(at)]
+    expected = {}
+    for t, key, n, x in given:
+        for start in range(t - t % slide, t - length, -slide):
+            old = expected.get((start, key), (0, 0.0))
+            expected[start, key] = (old[0] + n, old[1] + x)
+    slices = spark.createDataFrame(given, "t BIGINT, key STRING, n BIGINT, x DOUBLE")
+    slices = slices.withColumn("sales_datetime", F.timestamp_seconds(F.col("t") * 60)).drop("t")
+    windows = WindowSettings(f"{length} minutes", f"{slide} minutes")
+    found = sums_of_slices(slices, ["key"], ["n", "x"], windows)
+    assert found.columns == ["window_start", "window_end", "key", "n", "x"]
+    start, end = (F.unix_seconds(f"window_{side}") / 60 for side in ("start", "end"))
+    rows = found.select(start.cast("long"), (end - start).cast("long"), "key", "n", "x").collect()
+    assert {r[1] for r in rows} == {length}
+    assert len(rows) == len(expected)
+    assert {(r[0], r.key): (r.n, r.x) for r in rows} == expected
+
+
 @pytest.mark.parametrize("length, slide", WINDOWS_TRIED)
 def test_windows_against_brute_force(spark, length, slide):
     rng = random.Random(11)

@@ -14,6 +14,7 @@ from tillflow.operators.windows import (
     durations,
     slice_of,
     sliding_window,
+    sums_of_slices,
     totals,
     window_totals,
 )
@@ -22,6 +23,8 @@ from tillflow.settings import WindowSettings
 from tillflow.sources.days import read_sales_between
 
 
+TOTALS = ["total_sales_amount", "total_sales_quantity"]
+
 #: Up to so many windows a sale, multiplying the sales is cheaper than a second
 #: aggregation, which reduces little where an item sells rarely.
 MOST_WINDOWS_UNSLICED = 2
@@ -39,15 +42,10 @@ def analyze_item_sales_data_statistics(
 
 
 def slice_sums(sales: DataFrame, windows: WindowSettings) -> DataFrame:
-    """Sums per slice and item, as if they were sales at the slice's start."""
+    """Totals per slice and item, at the slice's start."""
     tile = F.window(EVENT_TIME, slice_of(sales.sparkSession, windows))
-    slices = sales.groupBy(tile.alias("slice"), "item_code").agg(
-        F.sum("sales_amount").alias("sales_amount"),
-        F.sum("sales_quantity").alias("sales_quantity"),
-    )
-    return slices.select(
-        F.col("slice.start").alias(EVENT_TIME), "item_code", "sales_amount", "sales_quantity"
-    )
+    slices = sales.groupBy(tile.alias("slice"), "item_code").agg(*totals())
+    return slices.select(F.col("slice.start").alias(EVENT_TIME), "item_code", *TOTALS)
 
 
 def sales_statistics(
@@ -62,11 +60,12 @@ def sales_statistics(
     sales are shuffled once, as partial sums, so an item with a third of all
     sales arrives as a few rows per map task. Where a sale lies in more than
     ``MOST_WINDOWS_UNSLICED`` windows, the sums are per slice first: slices tile
-    every window, and only their sums are multiplied to the windows they lie in.
-    What then meets the master is one row per window and item. An item has at most one
-    row per window, whatever its sales, so a sort-merge join is not skewed
-    either, and the choice between that and a broadcast is left to Catalyst
-    and adaptive execution, which know the sizes.
+    every window. Then the slices meet the master, and the windows are made from the
+    enriched slices, last of all, as there are many times more of them.
+    What meets the master is one row per item and window, or slice, whatever the
+    item's sales, so a sort-merge join is not skewed either, and the choice between
+    that and a broadcast is left to Catalyst and adaptive execution, which know the
+    sizes.
 
     Equal master rows are counted once with their number of copies, since a
     master row listed twice counts its sales twice. ``unique_master`` is the
@@ -77,14 +76,16 @@ def sales_statistics(
     sales = with_sales_amount(countable_sales(item_sales_data_df))
     narrow = sales.select(EVENT_TIME, "item_code", "sales_amount", "sales_quantity")
     length, slide = durations(sales.sparkSession, windows)
+    usable = usable_master(item_master_data_df)
     if length > MOST_WINDOWS_UNSLICED * slide:
-        narrow = slice_sums(narrow, windows)
+        slices = with_master(slice_sums(narrow, windows), usable, unique_master)
+        return sums_of_slices(slices, MASTER_COLUMNS, TOTALS, windows).select(*STATISTICS_COLUMNS)
     per_item = (
         assign_windows(narrow, windows)
         .groupBy("window_start", "window_end", "item_code")
         .agg(*totals())
     )
-    return enriched(per_item, usable_master(item_master_data_df), unique_master)
+    return enriched(per_item, usable, unique_master)
 
 
 def statistics_at_closing(
@@ -114,21 +115,18 @@ def statistics_at_closing(
     return enriched(per_item, usable_master(item_master_data_df).hint("merge"), unique_master)
 
 
-def enriched(per_item: DataFrame, usable: DataFrame, unique_master: bool) -> DataFrame:
+def with_master(sums: DataFrame, usable: DataFrame, unique_master: bool) -> DataFrame:
     """Totals by item code with the master's fields, times the copies of its row."""
     if unique_master:
-        return per_item.join(usable, "item_code").select(*STATISTICS_COLUMNS)
+        return sums.join(usable, "item_code")
     master = usable.groupBy(*MASTER_COLUMNS).agg(F.count("*").alias("copies"))
-    return (
-        per_item.join(master, "item_code")
-        .withColumns(
-            {
-                "total_sales_amount": F.col("total_sales_amount") * F.col("copies"),
-                "total_sales_quantity": F.col("total_sales_quantity") * F.col("copies"),
-            }
-        )
-        .select(*STATISTICS_COLUMNS)
-    )
+    counted = sums.join(master, "item_code")
+    return counted.withColumns({t: F.col(t) * F.col("copies") for t in TOTALS}).drop("copies")
+
+
+def enriched(per_item: DataFrame, usable: DataFrame, unique_master: bool) -> DataFrame:
+    """Statistics rows from totals per window and item code."""
+    return with_master(per_item, usable, unique_master).select(*STATISTICS_COLUMNS)
 
 
 def statistics_between(

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillflow.functions.exact import UNITS, part_sums, parts, total
-from tillflow.plans.exact import exact_slices, exact_statistics
+from tillflow.plans.exact import exact_slices, exact_statistics, windows_of_slices
 from tillflow.plans.incremental import IncrementalReport
 from tillflow.plans.statistics import sales_statistics, statistics_between
 from tillflow.schemas import SALES_SCHEMA
@@ -76,6 +76,22 @@ def many_sales(spark, n=4000):
     return spark.createDataFrame(found, SALES_SCHEMA)
 
 
+@pytest.mark.parametrize("windows", [WindowSettings(), WindowSettings("2 hours", "5 minutes")])
+def test_nothing_is_aggregated_after_it_is_multiplied(spark, windows):
+    text = plan(windows_of_slices(exact_slices(many_sales(spark, 10), windows), windows))
+    above = text[: text.index("Expand")]
+    assert not any(x in above for x in ("Aggregate", "Exchange", "Sort"))
+
+
+def test_windows_whose_exact_sum_does_not_fit_fail(spark):
+    sale = ("10:00:00.000", "A", 2.0**92, 1.0, "sale", "N")
+    given = [("2024-01-01", *sale), ("2024-01-01", "10:05:00.000", *sale[1:])]
+    slices = exact_slices(spark.createDataFrame(given, SALES_SCHEMA))
+    assert slices.count() == 2
+    with pytest.raises(Exception, match="ARITHMETIC_OVERFLOW"):
+        windows_of_slices(slices).collect()
+
+
 @pytest.mark.parametrize("windows", [WindowSettings(), WindowSettings("3 hours", "20 minutes")])
 def test_the_report_is_the_same_to_the_last_bit(spark, small_master, windows):
     sales = many_sales(spark)

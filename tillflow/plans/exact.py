@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillflow.functions.exact import part_names, part_sums, parts, total
 from tillflow.operators.cleaning import countable_sales, usable_master, with_sales_amount
-from tillflow.operators.windows import EVENT_TIME, assign_windows, slice_of
+from tillflow.operators.windows import EVENT_TIME, slice_of, sums_of_slices
 from tillflow.schemas import MASTER_COLUMNS, STATISTICS_COLUMNS
 from tillflow.settings import WindowSettings
 
@@ -29,9 +29,8 @@ def exact_slices(sales: DataFrame, windows: WindowSettings = WindowSettings()) -
 
 
 def windows_of_slices(slices: DataFrame, windows: WindowSettings = WindowSettings()) -> DataFrame:
-    """Exact sums per window and item."""
-    keys = ["window_start", "window_end", "item_code"]
-    return assign_windows(slices, windows).groupBy(*keys).agg(*part_sums(*MEASURES))
+    """Exact sums per window and item; a slice's sums may come in several rows."""
+    return sums_of_slices(slices, ["item_code"], PARTS, windows)
 
 
 def named_totals(per_item: DataFrame, master: DataFrame) -> DataFrame:
